@@ -195,15 +195,18 @@ class ChainModel:
         own = np.array([self.scores(text, a, b) for a, b in spans])
         able = np.zeros_like(own, dtype=bool)
         able[:, 0] = True
+        same = np.zeros_like(able)
         strict = np.zeros(len(spans), dtype=bool)
         for i, (a, b) in enumerate(spans):
             for k, name in enumerate(CLASSES[1:], 1):
                 r = restore(text[a:b], name)
                 able[i, k] = r is not None and r != text[a:b] and not re.search(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", r)
+                same[i, k] = r == text[a:b]
                 strict[i] |= bool(able[i, k]) and name.startswith("utf8")
         relative = np.where(able, own, -1e9)
         relative = relative - relative.max(1, keepdims=True)
         relative = np.maximum(relative, -30)
+        relative = np.where(same, relative[:, :1], relative)  # characters that the chain leaves alone speak for neither
         sentence = np.cumsum([0, *(bool(re.search(r"[.!?]\s", text[p[1] : q[0]])) for p, q in zip(spans, spans[1:]))])
         total = np.zeros((sentence[-1] + 1, len(CLASSES)))
         np.add.at(total, sentence, relative)
