@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra.functions.parse import candidates, group_match, mention_match, yesno
 from evidra.functions.text import normalize_answer
@@ -83,7 +84,7 @@ def lcs_f(a: str, b: str, stem: bool = True) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_l(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     for a, b in batches:
         yield pd.Series([lcs_f(x, y) for x, y in zip(a, b)])

@@ -190,9 +190,9 @@ def overlap_scorer(question: Column, passage: Column) -> Column:
     return F.when(F.size(q) > 0, F.size(F.array_intersect(q, F.array_distinct(bm25_tokens(passage)))) / F.size(q)).otherwise(0.0)
 
 
-def to_trace(run: DataFrame, **columns: str) -> DataFrame:
+def to_trace(ranked: DataFrame, **columns: str) -> DataFrame:
     """Nested record per query for a sink: ``retrieved`` in rank order, and constant fields."""
-    nested = run.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("retrieved"))
+    nested = ranked.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "id", "score"))).alias("retrieved"))
     for name, value in columns.items():
         nested = nested.withColumn(name, F.lit(value))
     return nested

@@ -6,6 +6,7 @@ import hashlib
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def largest_remainder(counts: DataFrame, n: int, least: int = 0) -> DataFrame:
@@ -30,7 +31,7 @@ def largest_remainder(counts: DataFrame, n: int, least: int = 0) -> DataFrame:
             if rest and room[s]:
                 base[s], room[s], rest = base[s] + 1, room[s] - 1, rest - 1
         left = rest
-    return counts.sparkSession.createDataFrame([(r["stratum"], r["available"], base[r["stratum"]]) for r in rows], counts.select("stratum", "available").schema.add("quota", "int"))
+    return counts.sparkSession.createDataFrame([(r["stratum"], r["available"], base[r["stratum"]]) for r in rows], counts.select("stratum", "available").schema.add("quota", T.IntegerType()))
 
 
 def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: int = 224) -> DataFrame:
