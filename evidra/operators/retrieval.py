@@ -76,7 +76,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, drop_self:
     which each keeps its ``k`` best, so what is shuffled is bounded by batches x queries x k."""
     spark = vectors.sparkSession
     ship_package(spark)
-    kind = vectors.schema["id"].dataType.simpleString()
+    kind, asked = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     out = None
     part: list = []
 
@@ -97,7 +97,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, drop_self:
                 f = pd.DataFrame({"query_id": [names[c] for c in cols.ravel()], "id": own[at.ravel()], "score": s[at.ravel(), cols.ravel()]})
                 yield f[f["query_id"] != f["id"]] if drop_self else f
 
-        return vectors.select("id", "vector").mapInPandas(score, f"query_id {kind}, id {kind}, score double")
+        return vectors.select("id", "vector").mapInPandas(score, f"query_id {asked}, id {kind}, score double")
 
     for row in queries.select("query_id", "vector").toLocalIterator():
         part.append(row)
@@ -105,7 +105,7 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, drop_self:
             out, part = (block_of(part) if out is None else out.unionByName(block_of(part))), []
     if part or out is None:
         if not part:
-            return spark.createDataFrame([], f"query_id {kind}, id {kind}, rank int, score double")
+            return spark.createDataFrame([], f"query_id {asked}, id {kind}, rank int, score double")
         out = block_of(part) if out is None else out.unionByName(block_of(part))
     return top_k(out, k)
 

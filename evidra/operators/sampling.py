@@ -43,7 +43,7 @@ def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame,
 def fingerprint(corpus: DataFrame, buckets: int = 4096) -> str:
     """SHA-256 of a corpus ``id, text`` in id order, as a tree: rows are hashed where they lie,
     bucket digests by range of the id's hash, and the bounded list of digests last."""
-    rows = corpus.select(F.sha2("id", 256).alias("k"), F.sha2(F.concat_ws("\n", F.col("id").cast("string"), F.col("text"), F.lit("---")), 256).alias("h"))
+    rows = corpus.select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.sha2(F.concat_ws("\n", F.col("id").cast("string"), F.col("text"), F.lit("---")), 256).alias("h"))
     digests = rows.groupBy(F.conv(F.substring("k", 1, 3), 16, 10).cast("int").alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("d"))
     return hashlib.sha256("".join(r["d"] for r in sorted(digests.collect(), key=lambda r: r["b"])[:buckets]).encode()).hexdigest()
 
