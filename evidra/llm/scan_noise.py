@@ -109,12 +109,19 @@ def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, s
             tries.append((s[: m.start()] + s[m.end() :], m.group(1)))
     if len(s) > 120 or not (document or section):
         return False, None, False
+    known = document | section | {x for d in document for t in section for x in (d + t, t + d)}
+    bodies = []
     for body, number in tries:
         body = re.sub(r"\s*[-–—,|]?\s*\(?(?:rev|version|v|issue|edition)\.?\s*[\d.]+\)?$", "", body.strip(), flags=re.I)
         folded = _fold(body)
-        if len(folded) < 4:
-            continue
-        if any(_near(folded, t) for t in document | section) or any(_near(folded, d + s2) or _near(folded, s2 + d) for d in document for s2 in section):
+        if len(folded) >= 4:
+            bodies.append((folded, number))
+    # an exact title first; then without a number; a near match of the whole line last, lest a
+    # number of one digit pass for a misread character
+    if any(f in known for f, number in bodies if number is None):
+        return True, None, True
+    for folded, number in sorted(bodies, key=lambda x: x[1] is None):
+        if any(_near(folded, t) for t in known):
             return True, number, True
     return False, None, False
 
