@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -51,6 +52,9 @@ _PAGE_FORMS = [
 _HEAD_NUMBER = [re.compile(rf"^{_NUMBER}(?:\s{{2,}}|\s*\|\s*|\s*[-–—]\s+)(?=\S)", re.I), re.compile(rf"(?:\s{{2,}}|\s*\|\s*|\s+[-–—]\s+)(?:page|p\.)?\s*{_NUMBER}$", re.I)]
 
 
+_NUMERALS = frozenset("0123456789ivxlcdmIVXLCDM")
+
+
 def page_value(text: str) -> int | None:
     if text.isdigit():
         return int(text)
@@ -66,6 +70,7 @@ def _fold(text: str) -> str:
     return re.sub(r"[\W_]+", "", text.lower())
 
 
+@lru_cache(maxsize=20_000)
 def titles_of(section_path: str | None, section_title: str | None, source_file: str | None) -> tuple[set[str], set[str]]:
     """Folded titles of the document and of the section, with and without leading numbers."""
     parts = [p for p in (section_path or "").split(" > ") if p.strip()]
@@ -86,6 +91,10 @@ def _near(a: str, b: str) -> bool:
     most = min(len(a), len(b)) // 8
     if not most or abs(len(a) - len(b)) > most:
         return False
+    # of most + 1 pieces of one text, most edits leave one whole in the other
+    step = -(-len(a) // (most + 1))
+    if not any(a[i : i + step] in b for i in range(0, len(a), step)):
+        return False
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
         last, row[0] = row[0], i
@@ -94,22 +103,28 @@ def _near(a: str, b: str) -> bool:
     return row[-1] <= most
 
 
+@lru_cache(maxsize=20_000)
+def _together(document: frozenset[str], section: frozenset[str]) -> frozenset[str]:
+    return document | section | {x for d in document for t in section for x in (d + t, t + d)}
+
+
 def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, str | None, bool]:
     """(is a running header, page number text or None, the number's form is plain)."""
     s = line.strip()
     if not s or len(s) > 160:
         return False, None, False
-    for form, plain in _PAGE_FORMS:
-        if m := form.match(s):
-            if page_value(m.group(1)) is not None:
-                return False, m.group(1), plain
-    tries: list[tuple[str, str | None]] = [(s, None)]
-    for form in _HEAD_NUMBER:
-        if (m := form.search(s)) and page_value(m.group(1)) is not None:
-            tries.append((s[: m.start()] + s[m.end() :], m.group(1)))
+    if len(s) <= 40:
+        for form, plain in _PAGE_FORMS:
+            if m := form.match(s):
+                if page_value(m.group(1)) is not None:
+                    return False, m.group(1), plain
     if len(s) > 120 or not (document or section):
         return False, None, False
-    known = document | section | {x for d in document for t in section for x in (d + t, t + d)}
+    tries: list[tuple[str, str | None]] = [(s, None)]
+    for form, end in zip(_HEAD_NUMBER, (s[0], s[-1])):
+        if end in _NUMERALS and (m := form.search(s)) and page_value(m.group(1)) is not None:
+            tries.append((s[: m.start()] + s[m.end() :], m.group(1)))
+    known = _together(frozenset(document), frozenset(section))
     bodies = []
     for body, number in tries:
         body = re.sub(r"\s*[-–—,|]?\s*\(?(?:rev|version|v|issue|edition)\.?\s*[\d.]+\)?$", "", body.strip(), flags=re.I)
@@ -126,11 +141,9 @@ def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, s
     return False, None, False
 
 
-def _words(text: str) -> Iterator[str]:
-    for m in _WORD.finditer(text):
-        w = m.group().lower()
-        if sum(c.isalpha() for c in w) >= 2 and len(w) <= 40:
-            yield w
+def _kept(seen: Counter[str]) -> list[tuple]:
+    """Rows of the words counted: at least two letters, no endless runs; each word judged once."""
+    return [("word", None, None, w, None, None, None, n) for w, n in seen.items() if len(w) <= 40 and sum(map(str.isalpha, w)) >= 2]
 
 
 def _lines(text: str, document: set[str], section: set[str]) -> list[tuple[str, tuple[bool, str | None, bool]]]:
@@ -180,12 +193,12 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append(("page", block, doc, gap, kind, None, plain, 1))
                 if header or number is not None:
                     body[k] = ""
-            seen.update(_words("\n".join(body)))
+            seen.update(_WORD.findall("\n".join(body).lower()))
         if len(seen) > 200_000:
-            out += [("word", None, None, w, None, None, None, n) for w, n in seen.items()]
+            out += _kept(seen)
             seen.clear()
         yield pd.DataFrame(out, columns=columns)
-    yield pd.DataFrame([("word", None, None, w, None, None, None, n) for w, n in seen.items()], columns=columns)
+    yield pd.DataFrame(_kept(seen), columns=columns)
 
 
 class Trie:
@@ -279,7 +292,9 @@ class Scan:
         plain = self.words.filter((F.col("n") >= min_count) & F.col("token").rlike(r"^[a-z]+(['’][a-z]+)?(-[a-z]+)*$") & (F.length("token") >= 3))
         total = plain.count()
         cut_into = max(1, -(-total // block_words))
-        lookups = single.unionByName(halves).unionByName(whole).groupBy("token").agg(F.sum("n").alias("n")).repartition(blocks.sparkSession.sparkContext.defaultParallelism * 2, "token")
+        lookups = single.unionByName(halves).unionByName(whole).groupBy("token").agg(F.sum("n").alias("n"))
+        # dealt out evenly; by key the exchange of the sums would be taken over, joined to one task
+        lookups = lookups.repartition(blocks.sparkSession.sparkContext.defaultParallelism * 2)
         found = None
         for i in range(cut_into):
             part = plain if cut_into == 1 else plain.filter(F.pmod(F.xxhash64("token"), F.lit(cut_into)) == i)
