@@ -52,26 +52,74 @@ def sentences_of(text: str | None) -> list[str]:
     return out
 
 
-def language_of(text: str | None) -> int:
-    """The block of a text, by the function words it holds."""
-    words = [w.lower() for w in _WORD.findall((text or "")[:20_000])]  # its language only; every sentence is read
-    votes = [sum(w in known for w in words) for known in _FUNCTION_SETS]
-    best = max(range(len(votes)), key=votes.__getitem__)
+_SPOKEN: dict[str, tuple[int, ...]] = {}
+for _i, _words in enumerate(FUNCTION_WORDS.values()):
+    for _w in _words:
+        _SPOKEN[_w] = (*_SPOKEN.get(_w, ()), _i)
+
+
+def language_of(words: list[str]) -> int:
+    """The block of a text's words, by the function words among them."""
+    votes = [0] * len(LANGUAGES)
+    for w in words:
+        for i in _SPOKEN.get(w, ()):
+            votes[i] += 1
+    best = max(range(len(FUNCTION_WORDS)), key=votes.__getitem__)
     return best if votes[best] else len(LANGUAGES) - 1
 
 
-_FUNCTION_SETS = [frozenset(x) for x in FUNCTION_WORDS.values()]
-
-
 @lru_cache(maxsize=400_000)
-def _bucket(feature: str) -> int:
-    return zlib.crc32(feature.encode("utf-8", "surrogatepass")) % BLOCK
-
-
-def features_of(sentence: str, language: int) -> list[int]:
-    words = [w.lower() for w in _WORD.findall(sentence)]
-    base = language * BLOCK
-    return [base + _bucket(w) for w in words] + [base + _bucket(f"{a} {b}") for a, b in zip(words, words[1:])]
+def _bucket(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+class Batch:
+    """Hashed words and pairs of neighbouring words of the sentences of some texts: ``flat``, with
+    the sentence of each feature in ``owner`` and the text of each sentence in ``text``."""
+
+    def __init__(self, texts: list[str | None], whole: bool = False):
+        hashes, sizes, blocks, text = [], [], [], []
+        for i, t in enumerate(texts):
+            parts = sentences_of(t)
+            if whole and not parts and (t or "").strip():
+                parts = [t]
+            words = [[w.lower() for w in _WORD.findall(s)] for s in parts]
+            lang = language_of([w for ws in words for w in ws])
+            for ws in words:
+                hashes += [_bucket(w) for w in ws]
+                sizes.append(len(ws))
+                blocks.append(lang)
+                text.append(i)
+        self._set(np.array(hashes, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array(blocks, dtype=np.int64))
+        self.text = np.array(text, dtype=np.int64)
+
+    def _set(self, h: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> None:
+        owner = np.repeat(np.arange(len(sizes)), sizes)
+        base = (blocks * BLOCK)[owner] if len(owner) else owner
+        within = owner[:-1] == owner[1:]
+        pairs = ((h[:-1] * 1_000_003) ^ h[1:])[within] % BLOCK + base[:-1][within]
+        self.flat = np.concatenate([h % BLOCK + base, pairs])
+        self.owner = np.concatenate([owner, owner[:-1][within]])
+        self.n = len(sizes)
+
+    @classmethod
+    def of(cls, flat: np.ndarray, owner: np.ndarray, n: int) -> Batch:
+        b = cls.__new__(cls)
+        b.flat, b.owner, b.n = flat, owner, n
+        return b
+
+    def take(self, keep: np.ndarray) -> Batch:
+        """The sentences where ``keep`` holds, renumbered."""
+        number = np.cumsum(keep) - 1
+        at = keep[self.owner]
+        return Batch.of(self.flat[at], number[self.owner[at]], int(keep.sum()))
+
+    def plus(self, other: Batch) -> Batch:
+        return Batch.of(np.concatenate([self.flat, other.flat]), np.concatenate([self.owner, other.owner + self.n]), self.n + other.n)
+
+    def count(self, weights: np.ndarray) -> np.ndarray:
+        """Feature counts per subject; ``weights``: sentences by subjects."""
+        return np.array([np.bincount(self.flat, weights=weights[self.owner, c], minlength=BUCKETS) for c in range(weights.shape[1])])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -102,33 +150,30 @@ class SubjectModel:
         self.w *= (np.clip(idf, 0.0, 1.0) ** 2).reshape(1, BUCKETS).astype(np.float32)
         self.slope, self.shift = np.full(k, 0.5), np.full(k, -2.0)
 
-    def evidence(self, feats: list[list[int]]) -> np.ndarray:
+    def evidence(self, xs: Batch) -> np.ndarray:
         """Per sentence and subject: the summed log odds of its features."""
-        n = len(feats)
-        out = np.zeros((n, len(self.subjects)))
-        flat = np.fromiter((f for x in feats for f in x), dtype=np.int64)
-        owner = np.repeat(np.arange(n), [len(x) for x in feats])
-        if len(flat):
+        out = np.zeros((xs.n, len(self.subjects)))
+        if len(xs.flat):
             for c in range(len(self.subjects)):
-                out[:, c] = np.bincount(owner, weights=self.w[c, flat], minlength=n)
+                out[:, c] = np.bincount(xs.owner, weights=self.w[c][xs.flat], minlength=xs.n)
         return out
 
-    def margins(self, feats: list[list[int]]) -> np.ndarray:
+    def margins(self, xs: Batch) -> np.ndarray:
         """The evidence for each subject less that for the strongest other one."""
-        out = self.evidence(feats)
+        out = self.evidence(xs)
         if not len(out):
             return out
         top = np.sort(out, axis=1)
         best, second = top[:, -1:], top[:, -2:-1]
         return out - np.where(out >= best, second, best)
 
-    def posteriors(self, feats: list[list[int]]) -> np.ndarray:
-        z = self.margins(feats) * self.slope + self.shift
+    def posteriors(self, xs: Batch) -> np.ndarray:
+        z = self.margins(xs) * self.slope + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def calibrate(self, feats: list[list[int]], labels: np.ndarray, steps: int = 300) -> None:
+    def calibrate(self, xs: Batch, labels: np.ndarray, steps: int = 300) -> None:
         """Platt scaling, each subject on its own. ``labels`` -1: of no subject."""
-        m = self.margins(feats)
+        m = self.margins(xs)
         for c in range(len(self.subjects)):
             x, y = np.clip(m[:, c], -40, 40), (labels == c).astype(float)
             pos = y.sum()
@@ -150,39 +195,25 @@ class SubjectModel:
             self.slope[c], self.shift[c] = min(max(a, 0.05), 3.0), b
 
 
-def _labelled(examples: DataFrame, bound: int) -> tuple[list[str], list[list[int]], np.ndarray]:
-    rows = examples.select("example_id", "subject_code", "text").filter("text is not null and subject_code is not null").distinct().orderBy("example_id").limit(bound).collect()
-    subjects = sorted({r["subject_code"] for r in rows})
-    feats, labels = [], []
-    for r in rows:
-        lang = language_of(r["text"])
-        for s in sentences_of(r["text"]) or [r["text"]]:
-            feats.append(features_of(s, lang))
-            labels.append(subjects.index(r["subject_code"]))
-    return subjects, feats, np.array(labels)
-
-
-def _count(feats: list[list[int]], weights: np.ndarray) -> np.ndarray:
-    """Feature counts per subject; ``weights``: sentences by subjects."""
-    flat = np.fromiter((f for x in feats for f in x), dtype=np.int64)
-    owner = np.repeat(np.arange(len(feats)), [len(x) for x in feats])
-    return np.array([np.bincount(flat, weights=weights[owner, c], minlength=BUCKETS) for c in range(weights.shape[1])])
-
-
 def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int = 100_000, labelled_weight: float = 5.0) -> SubjectModel:
     """Fit on at most ``bound`` labelled examples, then ``rounds`` of EM over all documents. Each
     round gathers at most ``BUCKETS`` rows of summed counts, whatever the corpus holds."""
-    subjects, feats, labels = _labelled(examples, bound)
+    rows = examples.select("example_id", "subject_code", "text").filter("text is not null and subject_code is not null").distinct().orderBy("example_id").limit(bound).collect()
+    subjects = sorted({r["subject_code"] for r in rows})
+    feats = Batch([r["text"] for r in rows], whole=True)
+    labels = np.array([subjects.index(r["subject_code"]) for r in rows])[feats.text]
     own = np.eye(len(subjects))[labels]
-    base = _count(feats, own)
+    base = feats.count(own)
     docs = documents.select("text").filter(F.col("text").isNotNull())
 
     def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total, within = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for pdf in batches:
-            each = [[f for lang in [language_of(t)] for s in sentences_of(t) for f in features_of(s, lang)] for t in pdf["text"]]
-            total += np.bincount(np.array([f for x in each for f in x], dtype=np.int64), minlength=BUCKETS)
-            within += np.bincount(np.array([f for x in each for f in set(x)], dtype=np.int64), minlength=BUCKETS)
+            xs = Batch(list(pdf["text"]))
+            total += np.bincount(xs.flat, minlength=BUCKETS)
+            if len(xs.flat):
+                once = np.unique(xs.text[xs.owner] * BUCKETS + xs.flat) % BUCKETS
+                within += np.bincount(once, minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pd.DataFrame({"bucket": at.astype("int32"), "n": total[at], "d": within[at]})
 
@@ -190,18 +221,19 @@ def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int
     for bucket, n, d in docs.mapInPandas(tally, "bucket int, n double, d double").groupBy("bucket").agg(F.sum("n"), F.sum("d")).collect():
         corpus[bucket], held[bucket] = n, d  # at most BUCKETS rows
     model = SubjectModel(subjects, base, corpus, held)
-    # sentences of no subject: words that all subjects share, by their spread over the examples
-    spread = (base > 0).sum(0)
-    quiet = [x for x in ([f for f in x if spread[f] > len(subjects) // 3] for x in feats) if x]
+    # sentences of no subject: what is left of the examples without all but their common words
+    common = (base > 0).sum(0) > len(subjects) // 3
+    quiet = Batch.of(feats.flat[common[feats.flat]], feats.owner[common[feats.flat]], feats.n)
+    quiet = quiet.take(np.bincount(quiet.owner, minlength=quiet.n) > 0)
 
     def calibrated(m: SubjectModel) -> SubjectModel:
-        m.calibrate(feats + quiet, np.concatenate([labels, np.full(len(quiet), -1)]))
+        m.calibrate(feats.plus(quiet), np.concatenate([labels, np.full(quiet.n, -1)]))
         return m
 
-    # the base model has seen the examples: calibrate it on folds that it has not
-    folds = np.arange(len(feats)) % 5
-    part = SubjectModel(subjects, _count([x for x, f in zip(feats, folds) if f], own[folds > 0]), corpus, held)
-    part.calibrate([x for x, f in zip(feats, folds) if not f] + quiet, np.concatenate([labels[folds == 0], np.full(len(quiet), -1)]))
+    # the base model has seen the examples: calibrate it on a fold that it has not
+    folds = np.arange(feats.n) % 5
+    part = SubjectModel(subjects, feats.take(folds > 0).count(own[folds > 0]), corpus, held)
+    part.calibrate(feats.take(folds == 0).plus(quiet), np.concatenate([labels[folds == 0], np.full(quiet.n, -1)]))
     model.slope, model.shift = part.slope, part.shift
     spark = documents.sparkSession
     for _ in range(rounds):
@@ -211,26 +243,21 @@ def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int
             m = shared.value
             total = np.zeros((len(m.subjects), BUCKETS), dtype=np.float32)
             for pdf in batches:
-                xs, owner = [], []
-                for i, t in enumerate(pdf["text"]):
-                    lang = language_of(t)
-                    own = [features_of(s, lang) for s in sentences_of(t)]
-                    xs += own
-                    owner += [i] * len(own)
-                if not xs:
+                xs = Batch(list(pdf["text"]))
+                if not xs.n:
                     continue
                 z = m.evidence(xs)
                 p = _softmax(z)
                 # A sentence counts for the subjects that the other sentences of its document speak
                 # for; its own evidence only chooses among them. Set phrases, which occur in
                 # documents of every subject, so spread over all and come to mean none.
-                owner = np.array(owner)
+                owner = xs.text
                 sums = np.zeros((len(pdf), p.shape[1]))
                 np.add.at(sums, owner, p)
                 others = (sums[owner] - p) / np.maximum(1, np.bincount(owner, minlength=len(pdf))[owner] - 1)[:, None]
                 p = _softmax(np.clip(z - z.max(1, keepdims=True), -1.5, 0.0) + np.log(others + 0.005))
                 p[p.max(1) < 0.5] = 0.0
-                total += _count(xs, p).astype(np.float32)
+                total += xs.count(p).astype(np.float32)
             at = np.flatnonzero(total.sum(0) > 0)
             yield pd.DataFrame({"bucket": at.astype("int32"), "n": [x.tolist() for x in total[:, at].T]})
 
@@ -243,27 +270,33 @@ def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int
     return model
 
 
-def subjects_of(text: str | None, model: SubjectModel, share: float = 0.2) -> list[tuple[str, float]]:
-    """(subject, share of sentences). A single stray sentence does not count where the document
-    has another subject."""
-    lang = language_of(text)
-    xs = [features_of(s, lang) for s in sentences_of(text)]
-    if not xs:
-        if not (text or "").strip():
-            return []
-        xs = [features_of(text, lang)]
+def subjects_of(texts: list[str | None], model: SubjectModel, share: float = 0.2) -> list[list[tuple[str, float]]]:
+    """Per text: (subject, share of sentences). A single stray sentence does not count where the
+    text has another subject."""
+    xs = Batch(texts, whole=True)
+    out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    if not xs.n:
+        return out
     p = model.posteriors(xs)
-    best = p.argmax(1)
-    top = p[np.arange(len(xs)), best]
-    support = np.bincount(best[top >= 0.25], minlength=len(model.subjects))
-    # half the posterior will do where another sentence of the document speaks for the subject
-    sure = (top >= 0.5) | ((top >= 0.25) & (support[best] >= 2))
-    n = np.bincount(best[sure], minlength=len(model.subjects))
-    if not n.any():
-        return [(model.subjects[int(p.sum(0).argmax())], 0.0)]
-    most = n.max()
-    out = [(model.subjects[c], n[c] / len(xs)) for c in range(len(n)) if n[c] and n[c] >= share * len(xs) - 1e-9 and (n[c] >= 2 or most == 1)]
-    return out or [(model.subjects[int(n.argmax())], float(most / len(xs)))]
+    starts = np.searchsorted(xs.text, np.arange(len(texts) + 1))
+    for i in range(len(texts)):
+        own = p[starts[i] : starts[i + 1]]
+        size = len(own)
+        if not size:
+            continue
+        best = own.argmax(1)
+        top = own[np.arange(size), best]
+        support = np.bincount(best[top >= 0.25], minlength=len(model.subjects))
+        # half the posterior will do where another sentence of the document speaks for the subject
+        sure = (top >= 0.5) | ((top >= 0.25) & (support[best] >= 2))
+        n = np.bincount(best[sure], minlength=len(model.subjects))
+        most = n.max()
+        if not most:
+            out[i] = [(model.subjects[int(own.sum(0).argmax())], 0.0)]
+            continue
+        kept = [(model.subjects[c], n[c] / size) for c in range(len(n)) if n[c] and n[c] >= share * size - 1e-9 and (n[c] >= 2 or most == 1)]
+        out[i] = kept or [(model.subjects[int(n.argmax())], float(most / size))]
+    return out
 
 
 def assign_subjects(documents: DataFrame, examples: DataFrame, model: SubjectModel | None = None, share: float = 0.2, rounds: int = 4) -> DataFrame:
@@ -276,7 +309,7 @@ def assign_subjects(documents: DataFrame, examples: DataFrame, model: SubjectMod
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
         for pdf in batches:
-            out = [(d, s, v) for d, t in zip(pdf["doc_id"], pdf["text"]) for s, v in subjects_of(t, m, share)]
+            out = [(d, s, v) for d, found in zip(pdf["doc_id"], subjects_of(list(pdf["text"]), m, share)) for s, v in found]
             yield pd.DataFrame(out, columns=["doc_id", "subject_code", "share"]).astype({"doc_id": "int64", "share": "float64"})
 
     return documents.select("doc_id", "text").filter("doc_id is not null").mapInPandas(work, "doc_id bigint, subject_code string, share double")
