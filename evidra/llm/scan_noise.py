@@ -312,13 +312,35 @@ class Scan:
         """Broadcast where the row count allows it; a larger table is joined by shuffle."""
         return F.broadcast(df) if df.count() <= self.small_rows else df
 
-    def misread(self) -> DataFrame:
-        """(block_id, token, candidate): misread words where they stand."""
-        # the same words as counted, but found in whole texts by the JVM; halves of broken words come from the pairs
-        best = self._small(self.best())
+    def _tokens(self) -> DataFrame:
+        """(block_id, w): the words of each block in order, as counted, found by the JVM; halves of
+        words broken at line ends are left out, as they come from the pairs."""
         inner = F.expr(r"transform(regexp_extract_all(text, '(?<![^\\s\"“”„«»‘’\'(\\[{/,;:.–—•-])[A-Za-z0-9|!$@(ﬁﬂ]+(?:[\'’][A-Za-z]+)?(?:-[A-Za-z0-9|!$@(ﬁﬂ]+)*(?![^\\s\"“”„«»‘’\')\\]},;:.!?–—-])', 0), x -> lower(x))")
-        words = self.blocks.withColumn("text", F.regexp_replace("text", "\\S+[-‐¬\u00AD] ?\n\\S+", " ")).select("block_id", F.explode(F.array_distinct(inner)).alias("token"))
-        return words.join(best, "token").select("block_id", "token", "candidate").distinct()
+        return self.blocks.withColumn("text", F.regexp_replace("text", "\\S+[-‐¬\u00AD] ?\n\\S+", " ")).select("block_id", inner.alias("w"))
+
+    def misread(self) -> DataFrame:
+        """(block_id, token): misread words where they stand."""
+        words = self._tokens().select("block_id", F.explode(F.array_distinct("w")).alias("token"))
+        return words.join(self._small(self.best().select("token")), "token").select("block_id", "token").distinct()
+
+    def readings(self) -> DataFrame:
+        """(block_id, token, candidate): the reading of each misread word that its neighbours and
+        its own frequency speak for. Words with one reading need no context; for the others the
+        candidates' pairs with the word before and after are counted over all blocks."""
+        per = self.candidates.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
+        plain = self.best().join(per.filter("c = 1").select("token"), "token", "left_semi").select("token", "candidate")
+        open_ = self.candidates.join(per.filter("c > 1").select("token"), "token", "left_semi")
+        at = self.misread()
+        settled = at.join(self._small(plain), "token").select("block_id", "token", "candidate")
+        around = self._tokens().select("block_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("token"), F.get("w", i + 1).alias("after")))).alias("x")).select("block_id", "x.*")
+        seen = around.join(self._small(open_.select("token").distinct()), "token")
+        wanted = self._small(open_.select("candidate").distinct())
+        pairs = around.filter(F.col("before").isNotNull()).join(wanted.withColumnRenamed("candidate", "token"), "token").groupBy("before", F.col("token").alias("candidate")).agg(F.count(F.lit(1)).alias("n1"))
+        later = around.filter(F.col("after").isNotNull()).join(wanted.withColumnRenamed("candidate", "token"), "token").groupBy("after", F.col("token").alias("candidate")).agg(F.count(F.lit(1)).alias("n2"))
+        tried = seen.join(self._small(open_.select("token", "candidate", "cost", "known")), "token").join(pairs, ["before", "candidate"], "left").join(later, ["after", "candidate"], "left")
+        score = F.log1p(F.coalesce("n1", F.lit(0))) + F.log1p(F.coalesce("n2", F.lit(0))) + 0.3 * F.log1p("known") - 2.0 * F.col("cost")
+        chosen = tried.groupBy("block_id", "token", "candidate").agg(F.max(score).alias("s")).groupBy("block_id", "token").agg(F.max_by("candidate", F.struct("s", "candidate")).alias("candidate"))
+        return settled.unionByName(chosen)
 
     def hyphenation(self) -> DataFrame:
         """(a, b, mark, joined, reading): pairs that are one broken word."""
@@ -357,7 +379,7 @@ class Scan:
         """``block_id, text, repaired``: blocks with noise, made readable: furniture lines gone,
         broken words joined, misread words replaced, lines reflowed into paragraphs."""
         pairs = self.scan.filter("kind = 'pair'").select("block_id", "a", "b", "mark").join(self.hyphenation(), ["a", "b", "mark"])
-        fixes = self.misread().groupBy("block_id").agg(F.collect_set(F.struct("token", "candidate")).alias("words"))
+        fixes = self.readings().groupBy("block_id").agg(F.collect_set(F.struct("token", "candidate")).alias("words"))
         joins = pairs.groupBy("block_id").agg(F.collect_set(F.struct("a", "b", "mark", "reading", "misread")).alias("joins"))
         pages = self.page_numbers().withColumn("page", F.lit(True))
         heads = self.scan.filter("kind = 'header'").select("block_id").distinct().withColumn("head", F.lit(True))

@@ -119,6 +119,13 @@ def test_noise_is_found_and_repaired(spark):
     assert scan_noise.Scan(empty(b)).found().count() == 0
 
 
+def test_context_chooses_among_readings(spark):
+    texts = ["The flat surface stays."] * 30 + ["The fiat money stays."] * 30 + ["The f1at surface stays.", "The f1at money stays."]
+    b = spark.createDataFrame([(f"{i:03}", "d", "paragraph", None, None, None, None, x) for i, x in enumerate(texts)], "block_id string, doc_id string, block_type string, page_start int, section_path string, section_title string, source_file string, text string")
+    got = {r["block_id"]: r["repaired"] for r in scan_noise.Scan(b).repaired().collect()}
+    assert got == {"060": "The flat surface stays.", "061": "The fiat money stays."}
+
+
 # ---- problem 3 ---------------------------------------------------------------------------------
 def test_plans_hold_the_histogram():
     rng = random.Random(5)
