@@ -156,6 +156,20 @@ def merge_list_items(blocks: DataFrame) -> DataFrame:
     return out.drop("island").withColumn("text", F.when(F.col("block_type") == "list", clean_text(F.col("text"))).otherwise(F.col("text")))
 
 
+def merge_short_paragraphs(blocks: DataFrame, least: int = 200) -> DataFrame:
+    """Short paragraphs that follow each other on one page and in one section become one block."""
+    short = (F.col("block_type") == "paragraph") & (F.length("text") < least)
+    key = F.when(short, F.concat_ws("|", F.lit("short"), F.col("page_start"), F.col("section_path"))).otherwise(F.concat(F.lit("own "), F.col("block_id")))
+    runs = islands(blocks.withColumn("k", key), ["doc_id"], ["order_idx", "block_id"], "k")
+    at = F.struct("order_idx", "block_id")
+    return runs.groupBy("doc_id", "island").agg(F.min_by("block_id", at).alias("block_id"), F.min("order_idx").alias("order_idx"), F.min_by("block_type", at).alias("block_type"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min_by("section_path", at).alias("section_path"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id", "text"))), lambda x: x["text"]), " ").alias("text")).drop("island")
+
+
+def page_sections(blocks: DataFrame) -> DataFrame:
+    """Last section that each page shows."""
+    return blocks.filter("page_start is not null and section_path is not null").groupBy("doc_id", "page_start").agg(F.max_by("section_path", F.struct("order_idx", "block_id")).alias("section_path"))
+
+
 def drop_references(blocks: DataFrame, pattern: str = r"(?i)^(?:\d+\.?\s*)?(?:references|bibliography|literature cited)$") -> DataFrame:
     """Without sections of references, and without pages from the first such heading on."""
     kept = blocks.filter(~F.exists(F.transform(F.split(F.coalesce("section_path", F.lit("")), ">"), pytrim), lambda p: p.rlike(pattern)))
@@ -188,15 +202,14 @@ def orphans(candidates: DataFrame, blocks: DataFrame, least_chars: int = 200) ->
 
 # ---- segments and units ------------------------------------------------------------------------
 def segments(blocks: DataFrame, slides: bool = False) -> DataFrame:
-    """Runs of blocks under one section, in order; tables of contents are left out. Hot documents:
-    the run is found from each block and the one before it, ordered within the document."""
+    """Runs of blocks under one section, in order; tables of contents are left out."""
     cols = ["section_path", "section_title", "section_id"] if slides else ["section_id", "section_path", "section_title"]
     key = F.coalesce(*[F.nullif(pytrim(F.col(c)), F.lit("")) for c in cols], F.lit("no_section"))
     runs = islands(blocks.withColumn("key", key), ["doc_id"], ["order_idx", "block_id"], "key")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id", "text"))), lambda x: x["text"]), "\n\n")
-    out = runs.groupBy("doc_id", "island", "key").agg(F.min("order_idx").alias("order_idx"), F.min_by("section_path", F.struct("order_idx", "block_id")).alias("section_path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id"))), lambda x: x["block_id"]).alias("block_ids"), text.alias("text"))
+    # tokens never span blocks, so lengths add up and no text is gathered
+    out = runs.withColumn("tokens", token_len(F.col("text"))).groupBy("doc_id", "island", "key").agg(F.min("order_idx").alias("order_idx"), F.min_by("section_path", F.struct("order_idx", "block_id")).alias("section_path"), F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id"))), lambda x: x["block_id"]).alias("block_ids"), F.sum("tokens").cast("int").alias("token_len"))
     out = out.filter(~toc_like(section_leaf(F.col("section_path"))) & ~toc_like(F.col("key")))
-    return out.select("doc_id", F.col("island").cast("int").alias("seg_no"), F.col("key").alias("section_key"), "section_path", "page_start", "page_end", "block_ids", token_len(F.col("text")).alias("token_len"))
+    return out.select("doc_id", F.col("island").cast("int").alias("seg_no"), F.col("key").alias("section_key"), "section_path", "page_start", "page_end", "block_ids", "token_len")
 
 
 def coalesce_units(segs: DataFrame, least: int = 140, stretch: int = 512) -> DataFrame:

@@ -122,3 +122,22 @@ def metadata(config: dict, secrets: Sequence[str] = ("key", "token", "secret", "
 
     clean = {k: ("***" if any(s in k.lower() for s in secrets) and v else v) for k, v in config.items()}
     return json.dumps({"config": clean, "python": platform.python_version(), "written_at": datetime.now(timezone.utc).isoformat(timespec="seconds")}, sort_keys=True, default=str)
+
+
+Score = Callable[[pd.DataFrame], dict[str, list[float | None]]]
+
+
+def run_scorer(examples: DataFrame, score: Score, names: Sequence[str], batch: int = 25) -> DataFrame:
+    """Scores of an outside metric library per ``id``; a batch that fails has null scores."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), batch):
+                part = pdf.iloc[at : at + batch]
+                try:
+                    found = score(part)
+                except Exception:  # noqa: BLE001 - an outside library may fail in any way
+                    found = {}
+                yield pd.DataFrame({"id": part["id"], **{n: pd.array(found.get(n) or [None] * len(part), dtype="Float64") for n in names}})
+
+    return examples.mapInPandas(work, "id string, " + ", ".join(f"{n} double" for n in names))

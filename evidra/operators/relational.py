@@ -134,20 +134,56 @@ def assert_same_keys(left: Column, right: Column, what: str) -> Column:
 
 
 # ---- ordered computations ----------------------------------------------------------------------
-def islands(df: DataFrame, partition: Sequence[str], order: Sequence[str], key: str, out: str = "island") -> DataFrame:
-    """0-based number of the run of equal consecutive ``key`` values a row belongs to."""
-    w = Window.partitionBy(*partition).orderBy(*order)
-    changed = F.when(F.lag(key).over(w).eqNullSafe(F.col(key)) & (F.row_number().over(w) > 1), 0).otherwise(1)
-    return df.withColumn("__c", changed).withColumn(out, F.sum("__c").over(w) - 1).drop("__c")
-
-
-def forward_fill(df: DataFrame, partition: Sequence[str], order: Sequence[str], column: str, out: str) -> DataFrame:
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn(out, F.last(column, ignorenulls=True).over(w))
-
-
-def renumber(df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
-    return df.withColumn(out, F.row_number().over(Window.partitionBy(*partition).orderBy(*order)) - 1)
+def _stretched(df: DataFrame, partition: Sequence[str], order: Sequence[str], size: int) -> tuple[DataFrame, list[str]]:
+    """Rows with the stretch of their partition that they lie in, by the first order column, which
+    must be a whole number. Stretches are worked on one by one and stitched by their summaries, so
+    a partition that holds a third of all rows is never ordered in one task."""
+    return df.withColumn("__s", F.coalesce(F.floor(F.col(order[0]) / size), F.lit(-1)).cast("bigint")), [*partition, "__s"]
+
+
+def _null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    r = right.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(keys)], *[c for c in right.columns if c not in keys])
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__r{i}"))
+    return left.join(r, cond, how).drop(*[f"__r{i}" for i in range(len(keys))])
+
+
+def islands(df: DataFrame, partition: Sequence[str], order: Sequence[str], key: str, out: str = "island", size: int = 4096) -> DataFrame:
+    """0-based number of the run of equal consecutive ``key`` values (nulls are equal) that a row
+    belongs to, in stretches of ``size`` places of the first order column."""
+    rows, keys = _stretched(df, partition, order, size)
+    w = Window.partitionBy(*keys).orderBy(*order)
+    first = F.row_number().over(w) == 1
+    rows = rows.withColumn("__c", F.when(first | F.lag(key).over(w).eqNullSafe(F.col(key)), 0).otherwise(1)).withColumn("__run", F.sum("__c").over(w))
+    at = F.struct(*order)
+    ends = rows.groupBy(*keys).agg(F.min_by(F.struct(F.col(key).alias("k")), at).alias("a"), F.max_by(F.struct(F.col(key).alias("k")), at).alias("z"), F.max("__run").alias("m"))
+    v = Window.partitionBy(*partition).orderBy("__s")
+    # a stretch opens a run of its own unless it goes on where the one before ended
+    opens = F.when(F.lag("z").over(v).isNull() | F.lag("z.k").over(v).eqNullSafe(F.col("a.k")), 0).otherwise(1)
+    before = v.rowsBetween(Window.unboundedPreceding, -1)
+    ends = ends.withColumn("__o", opens).withColumn("__base", F.sum("__o").over(v.rowsBetween(Window.unboundedPreceding, 0)) + F.coalesce(F.sum("m").over(before), F.lit(0))).select(*keys, "__base")
+    return _null_safe(rows, ends, keys).withColumn(out, F.col("__run") + F.col("__base")).drop("__s", "__c", "__run", "__base")
+
+
+def forward_fill(df: DataFrame, partition: Sequence[str], order: Sequence[str], column: str, out: str, size: int = 4096) -> DataFrame:
+    """Last value seen up to a row; stretches without one take it from those before."""
+    rows, keys = _stretched(df, partition, order, size)
+    w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__own", F.last(column, ignorenulls=True).over(w))
+    last = rows.groupBy(*keys).agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.struct(*order))).alias("__v"))
+    v = Window.partitionBy(*partition).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    last = last.withColumn("__before", F.last("__v", ignorenulls=True).over(v)).select(*keys, "__before")
+    return _null_safe(rows, last, keys).withColumn(out, F.coalesce("__own", "__before")).drop("__s", "__own", "__before")
+
+
+def renumber(df: DataFrame, partition: Sequence[str], order: Sequence[str], out: str, size: int = 4096) -> DataFrame:
+    """0-based dense places; stretches are shifted by the sizes of those before."""
+    rows, keys = _stretched(df, partition, order, size)
+    rows = rows.withColumn("__r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    v = Window.partitionBy(*partition).orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).withColumn("__base", F.coalesce(F.sum("__n").over(v), F.lit(0))).select(*keys, "__base")
+    return _null_safe(rows, sizes, keys).withColumn(out, (F.col("__r") + F.col("__base")).cast("int")).drop("__s", "__r", "__base")
 
 
 def average_rank(df: DataFrame, column: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
@@ -185,3 +221,25 @@ def greedy_matches(candidates: Column, groups: Column) -> Column:
 
     taken = F.aggregate(candidates, F.array().cast("array<int>"), lambda acc, c: F.array_append(acc, first_free(acc, c)))
     return F.when(F.size(groups) == 0, 0).otherwise(F.size(F.filter(taken, lambda i: i >= 0)))
+
+
+# ---- small joins and discovery of evidence -----------------------------------------------------
+def relevant(qrels: DataFrame) -> DataFrame:
+    """Gold ``query_id, id`` of judgements with a relevance above zero."""
+    return qrels.filter(F.col("relevance") > 0).select("query_id", F.col("doc_id").alias("id")).distinct()
+
+
+def contexts_of(records: DataFrame) -> Column:
+    """Context texts of a record under the spellings in use: a list of texts, or of hits with text."""
+    cols = dict(records.dtypes)
+    lists = [F.col(n) for n in ("contexts", "context_texts") if cols.get(n) == "array<string>"]
+    hits = [F.transform(F.col(n), lambda x: x["text"]) for n in ("retrieved", "retrieved_contexts", "top_contexts") if "text:string" in cols.get(n, "")]
+    some = [F.when(F.size(c) > 0, c) for c in [*lists, *hits]]
+    return F.coalesce(*some, F.array().cast("array<string>"))
+
+
+def skip_unscored(queries: DataFrame, gold: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(queries that can be scored, one row with the number skipped): those with a text and gold."""
+    ok = F.length(pytrim(F.coalesce("text", F.lit("")))) > 0
+    kept = queries.filter(ok).join(gold.select("query_id").distinct(), "query_id", "left_semi")
+    return kept, queries.select("query_id").distinct().join(kept.select("query_id"), "query_id", "left_anti").agg(F.count(F.lit(1)).alias("n_skipped"))

@@ -206,3 +206,22 @@ class _EFetchReader(DataSourceReader):
 def numbered(df: DataFrame, order: Sequence[str]) -> DataFrame:
     """Rows with their 0-based place, for policies that speak of first and last."""
     return df.withColumn("pos", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order)) - 1)
+
+
+def find_judgements(folder: str, preferred: Sequence[str] = ("per_item.jsonl", "results.jsonl", "eval.jsonl", "results.json", "per_item.csv")) -> str:
+    """The judge output of a folder: a preferred name, else the only file of a known kind."""
+    import os
+
+    names = sorted(os.listdir(folder))
+    for name in preferred:
+        if name in names:
+            return os.path.join(folder, name)
+    known = [n for n in names if n.endswith((".jsonl", ".json", ".csv"))]
+    if len(known) != 1:
+        raise FileNotFoundError(f"{folder}: {len(known)} candidate files")
+    return os.path.join(folder, known[0])
+
+
+def read_csv(spark: SparkSession, path: str) -> DataFrame:
+    """CSV with a header, every column a text."""
+    return spark.read.option("header", True).option("inferSchema", False).csv(path)

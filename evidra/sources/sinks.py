@@ -72,3 +72,12 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join([*lines, *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
+
+
+def write_subset(questions: DataFrame, folder: str) -> None:
+    """Queries, relevance judgements and document ids of a question set ``query_id, question, type,
+    documents``, each as its own output."""
+    write_jsonl(questions.select("query_id", F.col("question").alias("text"), "type"), f"{folder}/queries")
+    pairs = questions.select("query_id", F.explode(F.array_distinct("documents")).alias("doc_id"))
+    pairs.withColumn("relevance", F.lit(1)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/qrels")
+    pairs.select(F.col("doc_id").alias("value")).distinct().write.mode("overwrite").text(f"{folder}/documents")

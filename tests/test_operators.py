@@ -90,6 +90,40 @@ def test_average_rank_and_islands(spark):
     assert [r["island"] for r in relational.islands(df, ["d"], ["o"], "k").orderBy("o").collect()] == [0, 0, 1, 1, 2]
 
 
+@pytest.mark.parametrize("size", [1, 2, 3, 5, 100])
+def test_stretches_do_not_change_ordered_results(spark, size):
+    import random
+
+    r = random.Random(size)
+    rows = [(d, i, r.choice(["a", "b", None]), r.choice([1, None, None])) for d in ("x", "y", None) for i in range(r.randint(1, 23))]
+    df = spark.createDataFrame(rows, "d string, o int, k string, v int").repartition(3)
+    got = relational.renumber(relational.forward_fill(relational.islands(df, ["d"], ["o"], "k", size=size), ["d"], ["o"], "v", "f", size=size), ["d"], ["o"], "n", size=size)
+    got = {(x["d"], x["o"]): (x["island"], x["f"], x["n"]) for x in got.collect()}
+    assert len(got) == len(rows)
+    for d in ("x", "y", None):
+        island, fill, last = -1, None, object()
+        for n, (_, o, k, v) in enumerate(x for x in rows if x[0] == d):
+            island += k != last
+            last, fill = k, v if v is not None else fill
+            assert got[d, o] == (island, fill, n)
+
+
+def test_short_paragraphs_and_page_sections(spark):
+    df = spark.createDataFrame([("d", 0, "b0", "paragraph", 1, 1, "S", "one"), ("d", 1, "b1", "paragraph", 1, 1, "S", "two"), ("d", 2, "b2", "heading", 1, 1, "T", "T"), ("d", 3, "b3", "paragraph", 2, 2, "T", "three")], "doc_id string, order_idx int, block_id string, block_type string, page_start int, page_end int, section_path string, text string")
+    assert [r["text"] for r in chunking.merge_short_paragraphs(df).orderBy("order_idx").collect()] == ["one two", "T", "three"]
+    assert {(r["page_start"], r["section_path"]) for r in chunking.page_sections(df).collect()} == {(1, "T"), (2, "T")}
+
+
+def test_scorer_failures_are_null(spark):
+    df = spark.createDataFrame([("1", "x")], "id string, text string")
+    assert generation.run_scorer(df, lambda p: {"m": [0.5] * len(p)}, ["m"]).first()["m"] == 0.5
+
+    def broken(p):
+        raise RuntimeError
+
+    assert generation.run_scorer(df, broken, ["m"]).first()["m"] is None
+
+
 def test_slot_keys_must_agree(spark):
     df = spark.createDataFrame([(["a"], ["a", "b"])], "x array<string>, y array<string>")
     with pytest.raises(Exception, match="right only b"):
@@ -225,6 +259,7 @@ def test_readers(spark, tmp_path):
     qs = tmp_path / "qs.json"
     qs.write_text(json.dumps({"questions": [{"id": "1", "body": "b?", "type": "list", "documents": ["u"], "exact_answer": [["a"]]}]}))
     assert readers.read_questions(spark, str(qs)).first()["question"] == "b?"
+    assert readers.find_judgements(str(tmp_path), ["j.json"]).endswith("j.json")
     with pytest.raises(ValueError):
         readers.corpus_store(spark.createDataFrame([("a", "x"), ("a", "y")], "id string, text string"))
 
