@@ -288,3 +288,33 @@ def test_stream(spark, tmp_path):
     (tmp_path / "in/a.jsonl").write_text(json.dumps({"id": "1", "explicit_nic": True}) + "\n")
     incremental.evaluate_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).first()["final_status"] == "explicit_nic"
+
+
+def test_small_pieces(spark, tmp_path):
+    q = spark.createDataFrame([("1", "d1", 1), ("1", "d2", 0)], "query_id string, doc_id string, relevance int")
+    assert [tuple(r) for r in relational.relevant(q).collect()] == [("1", "d1")]
+    assert evaluation.detect_token(spark.createDataFrame([("not_in_context",), ("x",)], "pred_answer string")) == "NOT IN CONTEXT"
+    sinks.write_subset(spark.createDataFrame([("1", "q?", "list", ["a", "a"])], "query_id string, question string, type string, documents array<string>"), str(tmp_path))
+    assert readers.read_qrels(spark, f"{tmp_path}/qrels").count() == 1
+    p = spark.range(1).select(generation.grounded_prompt(F.lit("q?"), F.array(F.lit("C001")), F.array(F.lit("text"))).alias("p")).first()["p"]
+    assert "[C001]\ntext" in p and p.endswith("q?")
+    r = spark.createDataFrame([(["a"], None), ([], [("b",)])], "contexts array<string>, retrieved array<struct<text:string>>")
+    assert [x["c"] for x in r.select(relational.contexts_of(r).alias("c")).collect()] == [["a"], ["b"]]
+    b = spark.createDataFrame([("d", 1, 1, "h1", "x" * 10)], "doc_id string, page_start int, page_end int, text_hash string, text string")
+    c = spark.createDataFrame([("d", 1, 1, "h1", "x"), ("d", 1, 1, "h2", "y"), ("d", 2, 2, "h3", "z")], "doc_id string, page_start int, page_end int, text_hash string, text string")
+    assert {r["text_hash"] for r in chunking.orphans(c, b).collect()} == {"h2", "h3"}
+    assert chunking.apply_patches(c.withColumn("block_id", F.col("text_hash")), None, [("text", "^z")]).count() == 2
+    queries = spark.createDataFrame([("1", "a"), ("2", " "), ("3", "c")], "query_id string, text string")
+    kept, skipped = relational.skip_unscored(queries, spark.createDataFrame([("1", "g")], "query_id string, id string"))
+    assert kept.count() == 1 and skipped.first()["n_skipped"] == 2
+
+
+def test_empty_tables_give_empty_results(spark):
+    e = spark.createDataFrame([], "query_id string, id string, rank int, score double")
+    from evidra.operators import metrics, retrieval
+
+    assert retrieval.linear_fusion(e, e).count() == 0 and retrieval.rrf_fusion(e, e).count() == 0 and retrieval.chunks_to_docs(e).count() == 0
+    assert metrics.ranking_metrics(e, e.select("query_id", "id"), [1]).count() == 0
+    b = spark.createDataFrame([], "doc_id string, order_idx int, block_id string, block_type string, page_start int, page_end int, section_path string, section_title string, section_id string, text string")
+    assert chunking.segments(b).count() == 0 and chunking.merge_list_items(b).count() == 0 and chunking.drop_references(b).count() == 0
+    assert chunking.coalesce_units(spark.createDataFrame([], "doc_id string, seq int, token_len int")).count() == 0
