@@ -334,3 +334,41 @@ def test_subjects_on_held_out_examples(spark):
 
 def test_words_are_whole():
     assert re.fullmatch(scan_noise.WORD, "end-diastolic") and leakage.words_of("A-b, 7.9\nC") == ["a", "b", "7", "9", "c"]
+
+
+# ---- edges shared by the operators -------------------------------------------------------------
+def test_items_with_nulls_repeats_and_clashes(spark, t):
+    s, u, b = t("segments"), t("units"), t("blocks")
+    once = {tuple(r) for r in packing.items_of(s, u, b).collect()}
+    wide = {tuple(r) for r in packing.items_of(nulls(spark, s).unionByName(nulls(spark, s)), nulls(spark, u), nulls(spark, b)).collect()}
+    assert wide == once and min(r[3] for r in once) >= 0
+    assert packing.items_of(empty(s), empty(u), empty(b)).count() == 0
+    bare = packing.items_of(s.withColumn("token_len", F.lit(None).cast("int")), empty(u), empty(b))
+    assert bare.count() > 0 and bare.filter("len <> 0").count() == 0 and packing.pack_items(bare).count() == bare.count()
+
+
+def test_clashing_columns_and_null_rows_change_nothing(spark, t):
+    rows = lambda df: {tuple(r) for r in df.collect()}
+    b, d, items, norm = t("blocks"), t("documents"), t("task_items"), t("text_normalization")
+    model = mojibake.train(b)
+    assert rows(mojibake.find_garbled(nulls(spark, b), nulls(spark, norm).filter("replacements is not null"), model)) == rows(mojibake.find_garbled(b, norm, model))
+    assert rows(leakage.find_leaks(nulls(spark, d), nulls(spark, items))) == rows(leakage.find_leaks(d, items))
+    assert rows(splitting.oversized(nulls(spark, splitting.project_items(b, t("chunks"))))) == rows(splitting.oversized(splitting.project_items(b, t("chunks"))))
+    assert rows(mixing.Mix(nulls(spark, d).drop("tokens").withColumn("tokens", F.lit("x")), t("mix_targets")).selected()) == rows(mixing.Mix(d, t("mix_targets")).selected())
+    assert rows(scan_noise.Scan(nulls(spark, b)).found()) == rows(scan_noise.Scan(b).found())
+
+
+def test_very_long_texts(spark):
+    long = "The pressure gradient limits the index. " * 20_000
+    item = "Which value must the second limit of the pressure gradient reach before the tribunal decides"
+    d = spark.createDataFrame([(1, long + item + " " + long, "big")], "doc_id bigint, text string, source string")
+    t = spark.createDataFrame([("i", item, "none of this is there at all or ever was")], "id string, question string, answer string")
+    assert [tuple(r) for r in leakage.find_leaks(d, t).collect()] == [("i", 1)]
+    pieces = splitting.split_items(d.select(F.lit("x").alias("item"), "text", F.lit(64).alias("overlap"))).cache()
+    assert pieces.filter("n_tokens > 510").count() == 0 and pieces.count() > 600
+    m = mojibake.ChainModel(np.zeros((len(mojibake.CLASSES), mojibake.BUCKETS)), np.zeros(len(mojibake.CLASSES)), 4.0)
+    assert mojibake.repair(long, m, {})[0] is None
+    s = "block_id string, doc_id string, block_type string, page_start int, section_path string, section_title string, source_file string, text string"
+    assert scan_noise.Scan(spark.createDataFrame([("b", "d", "paragraph", 1, None, None, None, long)], s)).found().count() == 0
+    model = A.DefectModel(f := A.Features(), 0)
+    assert model is not None and f.count is None and A.answer_of(long)[0] == long
