@@ -77,8 +77,8 @@ def case_counts(df: DataFrame, column: str, cases: Sequence[str]) -> DataFrame:
     """``case, n, rate`` with a row for every case, also those that never occur."""
     dim = df.sparkSession.createDataFrame([(c,) for c in cases], "case string")
     counts = df.groupBy(F.col(column).alias("case")).agg(F.count(F.lit(1)).alias("n"))
-    total = df.agg(F.count(F.lit(1)).alias("total"))  # one row
-    return dim.join(counts, "case", "left").join(F.broadcast(total)).select("case", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.coalesce("n", F.lit(0)), F.col("total")).alias("rate"))
+    total = df.agg(F.count(F.lit(1))).scalar()
+    return dim.join(counts, "case", "left").select("case", F.coalesce("n", F.lit(0)).alias("n"), F.try_divide(F.coalesce("n", F.lit(0)), total).alias("rate"))
 
 
 # ---- adversarial -------------------------------------------------------------------------------

@@ -28,15 +28,15 @@ def confusion(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def categorical(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """n, agreement, PABAK and Cohen's kappa per group, from the confusion counts alone. Kappa is
     null with fewer than two labels or full expected agreement."""
-    cells = confusion(pairs, by)
-    keys = list(by)
+    keys = list(by) or ["all_"]
+    cells = confusion(pairs.withColumn("all_", F.lit(1)), keys)
     total = cells.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("a") == F.col("b"), F.col("n")).otherwise(0)).alias("same"))
     margins = cells.select(*keys, F.explode(F.array(F.struct(F.col("a").alias("label"), F.col("n").alias("na"), F.lit(0).cast("bigint").alias("nb")), F.struct(F.col("b").alias("label"), F.lit(0).cast("bigint").alias("na"), F.col("n").alias("nb")))).alias("m"))
     margins = margins.groupBy(*keys, "m.label").agg(F.sum("m.na").alias("na"), F.sum("m.nb").alias("nb"))
     chance = margins.groupBy(*keys).agg(F.sum(F.col("na") * F.col("nb")).alias("cross"), F.count(F.lit(1)).alias("n_labels"))
-    j = total.join(chance, keys) if keys else total.join(F.broadcast(chance))
+    j = total.join(chance, keys)
     po, pe = F.col("same") / F.col("n"), F.col("cross") / (F.col("n") * F.col("n"))
-    return j.select(*keys, "n", "n_labels", po.alias("agreement"), (F.col("n") - F.col("same")).alias("disagreements"), (2 * po - 1).alias("pabak"), F.when((F.col("n_labels") >= 2) & (pe < 1), (po - pe) / (1 - pe)).alias("kappa"))
+    return j.select(*by, "n", "n_labels", po.alias("agreement"), (F.col("n") - F.col("same")).alias("disagreements"), (2 * po - 1).alias("pabak"), F.when((F.col("n_labels") >= 2) & (pe < 1), (po - pe) / (1 - pe)).alias("kappa"))
 
 
 def _pearson(x: str, y: str):

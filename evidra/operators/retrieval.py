@@ -13,8 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evidra.functions.text import bm25_tokens, chunk_to_doc
-from evidra.lineage import ship_package
+from evidra.functions.text import BM25_WORD, bm25_tokens, chunk_to_doc
+from evidra.lineage import cut, ship_package
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -33,14 +33,14 @@ def bm25_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     ``id, text``. A term in more than half the documents gets a share of the mean idf instead of
     a negative one. Weights are stored, so that a search is one join and one sum."""
     words = corpus.select("id", bm25_tokens(F.col("text")).alias("terms"))
-    lengths = words.select("id", F.size("terms").alias("dl"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    sizes = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.regexp_count("text", F.lit(BM25_WORD)), F.lit(0))).alias("avgdl"))
+    n_docs, avgdl = sizes.select("n_docs").scalar(), sizes.select("avgdl").scalar()
     tf = words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(stats)).withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean = raw.agg(F.avg("raw").alias("mean"))  # one row, as stats
-    idf = raw.join(F.broadcast(mean)).select("term", "df", F.when(F.col("raw") < 0, EPSILON * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    norm = K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))
-    weighted = tf.join(F.broadcast(stats)).join(idf, "term").select("term", "id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
+    raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+    mean = raw.agg(F.avg("raw")).scalar()
+    idf = raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
+    norm = K1 * (1 - B + B * F.col("dl") / avgdl)
+    weighted = tf.join(idf, "term").select("term", "id", (F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + norm)).alias("weight"))
     return weighted, idf
 
 
@@ -59,6 +59,7 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, matches_only
     best = top_k(scores, k)
     if matches_only:
         return best
+    best = cut(best)  # k rows a query, read twice below
     have = best.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.collect_set("id").alias("seen"))
     short = queries.select("query_id").distinct().join(have, "query_id", "left").filter(F.coalesce("n", F.lit(0)) < k)
     least = [r["id"] for r in corpus.select("id").distinct().orderBy("id").limit(2 * k).collect()]
