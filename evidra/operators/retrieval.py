@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import BM25_WORD, bm25_tokens, chunk_to_doc
-from evidra.lineage import cut, ship_package
+from evidra.lineage import cut, keep, ship_package
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -36,6 +36,7 @@ def bm25_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     sizes = corpus.agg(F.count(F.lit(1)).alias("n_docs"), F.avg(F.coalesce(F.regexp_count("text", F.lit(BM25_WORD)), F.lit(0))).alias("avgdl"))
     n_docs, avgdl = sizes.select("n_docs").scalar(), sizes.select("avgdl").scalar()
     tf = words.select("id", F.size("terms").alias("dl"), F.explode("terms").alias("term")).groupBy("id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = keep(tf)  # read for document frequencies, for their mean, and for the weights
     raw = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).withColumn("raw", F.log(n_docs - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = raw.agg(F.avg("raw")).scalar()
     idf = raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
@@ -44,11 +45,19 @@ def bm25_index(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     return weighted, idf
 
 
-def bm25_scores(postings: DataFrame, queries: DataFrame) -> DataFrame:
+def bm25_scores(postings: DataFrame, queries: DataFrame, small: int = 200_000, salts: int = 16) -> DataFrame:
     """Scores of all documents that share a term with a query ``query_id, text``; repeated query
     words count repeatedly."""
     terms = queries.select("query_id", F.explode(bm25_tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return postings.join(terms, "term").groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
+    if terms.count() <= small:
+        # few query words meet the postings where they lie; what is shuffled is already summed
+        joined = postings.join(F.broadcast(terms), "term")
+    else:
+        # frequent words have long postings: these are dealt out over salts, query words copied
+        salt = F.pmod(F.xxhash64("id"), F.lit(salts)).cast("int")
+        copies = terms.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = postings.withColumn("salt", salt).join(copies, ["term", "salt"])
+    return joined.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
 def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, matches_only: bool = False) -> DataFrame:

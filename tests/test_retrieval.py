@@ -31,6 +31,13 @@ def test_bm25_by_hand(spark):
     assert got[1] == pytest.approx(want) and set(got) == {0, 1, 2, 3, 4} and got[0] == 0.0
 
 
+def test_bm25_paths_agree(spark):
+    c, q = corpus(spark, ["a b c", "a a d", "e f", "b d d e"]), queries(spark, ["a d", "e e b"])
+    postings, _ = retrieval.bm25_index(c)
+    few, many = (retrieval.bm25_scores(postings, q, small=n).orderBy("query_id", "id").collect() for n in (100, 0))
+    assert [(r["query_id"], r["id"], round(r["score"], 12)) for r in few] == [(r["query_id"], r["id"], round(r["score"], 12)) for r in many]
+
+
 def test_bm25_negative_idf_is_floored(spark):
     terms = {r["term"]: r["idf"] for r in retrieval.bm25_index(corpus(spark, ["a b", "a c", "a d"]))[1].collect()}
     raw = {"a": math.log(0.5) - math.log(3.5), "b": math.log(2.5) - math.log(1.5)}
