@@ -381,7 +381,7 @@ ORACLE: dict[str, str] = {
     "stratified_quota": """
         WITH c AS (SELECT source AS stratum, count(DISTINCT doc_id) AS available FROM documents WHERE source IS NOT NULL GROUP BY source),
         b AS (SELECT *, least(3, available) AS base, available - least(3, available) AS room FROM c),
-        l AS (SELECT *, (100 - sum(base) OVER ()) AS rest, (100 - sum(base) OVER ()) * room::DOUBLE / sum(room) OVER () AS share FROM b),
+        l AS (SELECT *, least(100, sum(available) OVER ()) - sum(base) OVER () AS rest, coalesce((least(100, sum(available) OVER ()) - sum(base) OVER ()) * room::DOUBLE / nullif(sum(room) OVER (), 0), 0) AS share FROM b),
         r AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, stratum) AS at_, rest - sum(floor(share)) OVER () AS over_ FROM l)
         SELECT stratum, available, (base + floor(share) + CASE WHEN at_ <= over_ THEN 1 ELSE 0 END)::BIGINT AS quota FROM r
     """,
