@@ -8,11 +8,14 @@ A page number counts if it differs from ``page_start`` by the constant of its do
 
 Defined results: null or empty texts have no noise; a block repeated in the table gives one row
 per kind; blocks without a page or title are judged by form alone; extra columns are ignored.
+Words are of any script; what a wrong decoding leaves ("fÃ¼r") is no word, as far as its form tells.
 """
 
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,10 +36,32 @@ MISREADINGS: list[tuple[str, str]] = [
 _BY_READ: dict[str, list[str]] = {}
 for _read, _print in MISREADINGS:
     _BY_READ.setdefault(_read, []).append(_print)
-#: A word as scanned: letters, and signs or digits that letters are misread as.
-WORD = r"[A-Za-z0-9|!$@(ﬁﬂ]+(?:['’][A-Za-z]+)?(?:-[A-Za-z0-9|!$@(ﬁﬂ]+)*"
-_WORD = re.compile(r"(?<![^\s\"'“”„«»‘’(\[{/,;:.–—•-])" + WORD + r"(?![^\s\"'“”„«»‘’)\]},;:.!?–—-])")
-_LETTERS = re.compile(r"^[A-Za-zﬁﬂ]+(?:['’][A-Za-z]+)?(?:-[A-Za-zﬁﬂ]+)*$")
+
+
+def _letter_ranges() -> str:
+    """Letters of every script with their combining marks as ranges, as ``re`` has no ``\\p{L}``."""
+    out: list[list[int]] = []
+    for i in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(i))[0] in "LM":
+            if out and out[-1][1] == i - 1:
+                out[-1][1] = i
+            else:
+                out.append([i, i])
+    return "".join(f"{chr(a)}-{chr(b)}" for a, b in out)
+
+
+def _word(letter: str) -> str:
+    """A word as scanned: letters, and signs or digits that letters are misread as."""
+    return rf"[{letter}0-9|!$@(]+(?:['’][{letter}]+)?(?:-[{letter}0-9|!$@(]+)*"
+
+
+_BEFORE, _AFTER = r"(?<![^\s\"'“”„«»‘’(\[{/,;:.–—•-])", r"(?![^\s\"'“”„«»‘’)\]},;:.!?–—-])"
+_WORD = re.compile(_BEFORE + _word(_letter_ranges()) + _AFTER)
+#: The same for the JVM, and words of the vocabulary, which hold no misread signs or ligatures.
+JVM_WORD = _BEFORE + _word(r"\p{L}\p{M}") + _AFTER
+PLAIN = r"^[\p{L}\p{M}&&[^ﬀ-ﬆ]]+(['’][\p{L}\p{M}]+)?(-[\p{L}\p{M}&&[^ﬀ-ﬆ]]+)*$"
+#: Encodings that UTF-8 is wrongly read in.
+_WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp1253", "cp1254", "iso8859_2", "iso8859_15", "cp437", "cp850", "cp866", "mac_roman", "koi8_r")
 _BREAK = re.compile(rf"([^\W_][\w|!$@('’-]*)([{MARKS}] ?)$")
 _FIRST = re.compile(r"^\s*([^\W_]?[\w|!$@(-]*)")
 _ROMAN = re.compile(r"^m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$", re.I)
@@ -141,6 +166,28 @@ def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, s
     return False, None, False
 
 
+@lru_cache(maxsize=100_000)
+def decoded_wrongly(word: str) -> bool:
+    """Whether a word in its own case is what a wrong decoding leaves: UTF-8 once its bytes are
+    read anew, an accented capital after a small letter, or scripts mixed within a Latin word.
+    A Greek letter may lead ("Δp"), or stand on its own side of a hyphen."""
+    if word.isascii():
+        return False
+    for encoding in _WRONG:
+        try:
+            word.encode(encoding).decode("utf-8")
+            return True
+        except UnicodeError:
+            pass
+    if any(a.islower() and b.isupper() and not b.isascii() for a, b in zip(word, word[1:])):
+        return True
+    for part in re.split(r"[-'’]", word):
+        scripts = [unicodedata.name(c, "?").split()[0] for c in part if c.isalpha()]
+        if "LATIN" in scripts and ({"CYRILLIC", "SUPERSCRIPT", "MODIFIER"} & set(scripts) or "GREEK" in scripts[1:]):
+            return True
+    return False
+
+
 def _kept(seen: Counter[str]) -> list[tuple]:
     """Rows of the words counted: at least two letters, no endless runs; each word judged once."""
     return [("word", None, None, w, None, None, None, n) for w, n in seen.items() if len(w) <= 40 and sum(map(str.isalpha, w)) >= 2]
@@ -193,7 +240,7 @@ def _scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     out.append(("page", block, doc, gap, kind, None, plain, 1))
                 if header or number is not None:
                     body[k] = ""
-            seen.update(_WORD.findall("\n".join(body).lower()))
+            seen.update(w.lower() for w in _WORD.findall("\n".join(body)) if w.isascii() or not decoded_wrongly(w))
         if len(seen) > 200_000:
             out += _kept(seen)
             seen.clear()
@@ -289,7 +336,7 @@ class Scan:
         whole = self.pairs.filter(F.trim("mark") == "-").groupBy(F.col("compound").alias("token")).agg(F.sum("n").cast("bigint").alias("n")).join(self.words.select("token"), "token", "left_anti")
         # the trie holds plain words that are seen often enough; it is built and searched in
         # blocks of a bounded number of words, and the union over all blocks is complete
-        plain = self.words.filter((F.col("n") >= min_count) & F.col("token").rlike(r"^[a-z]+(['’][a-z]+)?(-[a-z]+)*$") & (F.length("token") >= 3))
+        plain = self.words.filter((F.col("n") >= min_count) & F.col("token").rlike(PLAIN) & (F.length("token") >= 3))
         total = plain.count()
         cut_into = max(1, -(-total // block_words))
         lookups = single.unionByName(halves).unionByName(whole).groupBy("token").agg(F.sum("n").alias("n"))
@@ -315,7 +362,7 @@ class Scan:
     def _tokens(self) -> DataFrame:
         """(block_id, w): the words of each block in order, as counted, found by the JVM; halves of
         words broken at line ends are left out, as they come from the pairs."""
-        inner = F.expr(r"transform(regexp_extract_all(text, '(?<![^\\s\"“”„«»‘’\'(\\[{/,;:.–—•-])[A-Za-z0-9|!$@(ﬁﬂ]+(?:[\'’][A-Za-z]+)?(?:-[A-Za-z0-9|!$@(ﬁﬂ]+)*(?![^\\s\"“”„«»‘’\')\\]},;:.!?–—-])', 0), x -> lower(x))")
+        inner = F.transform(F.regexp_extract_all("text", F.lit(JVM_WORD), F.lit(0)), F.lower)
         return self.blocks.withColumn("text", F.regexp_replace("text", "\\S+[-‐¬\u00AD] ?\n\\S+", " ")).select("block_id", inner.alias("w"))
 
     def misread(self) -> DataFrame:

@@ -126,6 +126,19 @@ def test_context_chooses_among_readings(spark):
     assert got == {"060": "The flat surface stays.", "061": "The fiat money stays."}
 
 
+def test_words_with_accents_are_known_and_repaired(spark):
+    texts = ["Une évaluation à l’arrêt chez Ångelin."] * 30 + ["Une éva|uation à l’arrêt.", "Chez Ånge|in Une évaluation."]
+    b = spark.createDataFrame([(f"{i:03}", "d", "paragraph", None, None, None, None, x) for i, x in enumerate(texts)], "block_id string, doc_id string, block_type string, page_start int, section_path string, section_title string, source_file string, text string")
+    s = scan_noise.Scan(b)
+    assert {(r["block_id"], r["noise"]) for r in s.found().collect()} == {("030", "misread"), ("031", "misread")}
+    assert {r["block_id"]: r["repaired"] for r in s.repaired().collect()} == {"030": "Une évaluation à l’arrêt.", "031": "Chez Ångelin Une évaluation."}
+
+
+@pytest.mark.parametrize("word, wrong", [("évaluation", False), ("Élancourt-Vey", False), ("Âmbrio", False), ("Ãlvor", False), ("Δp", False), ("оценка", False), ("e\u0301té", False), ("Âµm", True), ("mÃªme", True), ("naĂŻve", True), ("SГЈo", True), ("rÈsumÈ", True), ("fⁿr", True), ("SauvΘtre", True)])
+def test_wrongly_decoded_words(word, wrong):
+    assert scan_noise._WORD.fullmatch(word) and scan_noise.decoded_wrongly(word) == wrong
+
+
 # ---- problem 3 ---------------------------------------------------------------------------------
 def test_plans_hold_the_histogram():
     rng = random.Random(5)
