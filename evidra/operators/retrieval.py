@@ -80,10 +80,27 @@ def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, matches_only
 
 
 # ---- dense -------------------------------------------------------------------------------------
+def _best_of_batch(s: np.ndarray, place: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of a batch's scores ``rows x queries`` that hold each query's ``k`` best by
+    rounded score, then by ``place``, a row's place in the order of ids. Whatever may round to the
+    k-th score or above stays, but of equal scores only the ``k`` first in place."""
+    n = len(s)
+    edge = np.partition(s, n - k, axis=0)[n - k] if 0 < k < n else np.full(s.shape[1], -np.inf)
+    row, col = np.nonzero(~(s < edge - 2e-9))
+    value = s[row, col]
+    order = np.lexsort((place[row], value, col))
+    row, col, value = row[order], col[order], value[order]
+    first = np.r_[True, (col[1:] != col[:-1]) | (value[1:] != value[:-1])]
+    at = np.arange(len(row))
+    keep = at - np.maximum.accumulate(np.where(first, at, 0)) < k
+    return row[keep], col[keep]
+
+
 def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, drop_self: bool = True, block: int = 4096) -> DataFrame:
     """Exact inner-product top ``k``. ``vectors``: id, vector; ``queries``: query_id, vector. The
     stated query set is walked in blocks; a block is one matrix product per batch of vectors, of
-    which each keeps its ``k`` best, so what is shuffled is bounded by batches x queries x k."""
+    which each keeps its ``k`` best by the total order and those within rounding of the k-th, so what
+    is shuffled is bounded by batches x queries x k for each distinct score at that edge."""
     spark = vectors.sparkSession
     ship_package(spark)
     kind, asked = vectors.schema["id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
@@ -100,12 +117,18 @@ def dense_search(vectors: DataFrame, queries: DataFrame, k: int = 10, drop_self:
                 if not len(pdf):
                     continue
                 own = pdf["id"].to_numpy()
-                s = np.stack(pdf["vector"].to_numpy()).astype(np.float64) @ q
-                keep = min(len(own), k + (1 if drop_self else 0) + 8)  # a few more, for ties at the edge
-                at = np.argpartition(-s, keep - 1, axis=0)[:keep]
-                cols = np.repeat(np.arange(len(names))[None, :], keep, axis=0)
-                f = pd.DataFrame({"query_id": [names[c] for c in cols.ravel()], "id": own[at.ravel()], "score": s[at.ravel(), cols.ravel()]})
-                yield f[f["query_id"] != f["id"]] if drop_self else f
+                place = np.empty(len(own), dtype=np.int64)
+                place[pdf["id"].reset_index(drop=True).sort_values(kind="stable", na_position="first").index] = np.arange(len(own))
+                same = pd.Series(own).groupby(own).indices if drop_self else {}
+                x = np.stack(pdf["vector"].to_numpy()).astype(np.float64)
+                for a in range(0, len(names), 256):  # copies may all tie: few queries at a time
+                    s = x @ q[:, a : a + 256]
+                    for c, name in enumerate(names[a : a + 256]):
+                        if name in same:
+                            s[same[name], c] = -np.inf
+                    row, col = _best_of_batch(s, place, k)
+                    f = pd.DataFrame({"query_id": [names[a + c] for c in col], "id": own[row], "score": s[row, col]})
+                    yield f[f["query_id"] != f["id"]] if drop_self else f
 
         return vectors.select("id", "vector").mapInPandas(score, f"query_id {asked}, id {kind}, score double")
 

@@ -133,3 +133,22 @@ def test_quota_sums_and_bounds(spark):
 def test_fingerprint_sees_order_and_text(spark):
     a, b = corpus(spark, ["x", "y"]), corpus(spark, ["y", "x"])
     assert sampling.fingerprint(a) == sampling.fingerprint(a.repartition(3)) != sampling.fingerprint(b)
+
+
+@pytest.mark.parametrize("drop_self", [True, False])
+def test_dense_ties_beyond_a_batch_edge(spark, drop_self):
+    """A group of copies holds most rows: the least ids of it are kept, whatever the batches."""
+    import random
+
+    rng = random.Random(7)
+    ids = list(range(900))
+    rng.shuffle(ids)
+    data = [(i, [1.0, 0.5] if i % 3 else [0.1 * (i % 7), 0.2]) for i in ids]
+    v = spark.createDataFrame(data, "id bigint, vector array<double>").repartition(2)
+    q = spark.createDataFrame([(1, [1.0, 0.5]), (2, [0.3, 0.9]), (899, [-1.0, 0.1])], "query_id bigint, vector array<double>")
+    got = [(r["query_id"], r["id"]) for r in retrieval.dense_search(v, q, 5, drop_self).orderBy("query_id", "rank").collect()]
+    want = []
+    for name, w in ((1, (1.0, 0.5)), (2, (0.3, 0.9)), (899, (-1.0, 0.1))):
+        scored = sorted((-round(x[0] * w[0] + x[1] * w[1], 9), i) for i, x in data if not (drop_self and i == name))
+        want += [(name, i) for _, i in scored[:5]]
+    assert got == want
