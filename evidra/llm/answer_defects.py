@@ -22,7 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.lineage import bounded_sample, ship_package
@@ -311,11 +311,26 @@ def _break(rng: np.random.Generator, pairs: list[tuple[str, str]], features: Fea
     return rows, labels
 
 
-def _sketch(generations: DataFrame, pattern: str, group: int, two: bool) -> np.ndarray:
-    """Hashed counts of words (or of two words in a row) over all answers."""
+#: A word as the JVM finds it, and two in a row. The second one is looked ahead at, so that it
+#: begins the next pair.
+_W = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
+_PAIR = rf"({_W}) (?=({_W}))"
+_END = r"[.!?](?=[\s\"\\]|$)"
+
+
+def _found(pattern: str, group: int) -> Column:
     text = F.lower(F.regexp_replace(F.col("raw_output"), r"\d+", "0"))
-    words = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    rows = generations.select(F.explode(words).alias("w")).select(F.regexp_replace("w", r"\s+", " ").alias("w")).groupBy(F.pmod(F.crc32(F.encode("w", "UTF-8")), F.lit(SKETCH)).alias("b")).count().collect()
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _all_pairs() -> Column:
+    """Every two neighbouring words of an answer."""
+    return F.transform(F.arrays_zip(_found(_PAIR, 1).alias("a"), _found(_PAIR, 2).alias("b")), lambda x: F.concat_ws(" ", x["a"], x["b"]))
+
+
+def _sketch(generations: DataFrame, words: Column) -> np.ndarray:
+    """Hashed counts of words (or of two words in a row) over all answers."""
+    rows = generations.select(F.explode(words).alias("w")).groupBy(F.pmod(F.crc32(F.encode("w", "UTF-8")), F.lit(SKETCH)).alias("b")).count().collect()
     out = np.zeros(SKETCH, dtype=np.float32)  # at most SKETCH rows arrive, however large the table
     for b, n in rows:
         out[b] = n
@@ -331,13 +346,9 @@ def train(generations: DataFrame, sample_rows: int = 3000, seed: int = 224, roun
     """Fit on at most ``sample_rows`` records, a bounded sample. In each round records that the
     last model judges broken leave the sound ones; clear cases join the broken ones."""
     ok = eligible(generations)
-    w = r"[\p{L}\p{N}]+(?:[-'’][\p{L}\p{N}]+)*"
     f = Features()
-    f.count, f.ends = _sketch(ok, w, 0, False), _sketch(ok, rf"({w})[.!?](?=[\s\"\\]|$)", 1, False)
-    f.pair_count, f.pair_ends = _sketch(ok, rf"({w} (?={w}))", 1, True), _sketch(ok, rf"({w} {w})[.!?](?=[\s\"\\]|$)", 1, True)
-    # two words in a row overlap, so each is counted from the first word on, then from the second
-    a, b = (_sketch(ok, rf"{lead}({w} {w})", 1, True) for lead in ("", rf"{w} "))
-    f.pair_count = a + b
+    f.count, f.ends = _sketch(ok, _found(_W, 0)), _sketch(ok, _found(f"({_W}){_END}", 1))
+    f.pair_count, f.pair_ends = _sketch(ok, _all_pairs()), _sketch(ok, _found(f"({_W} {_W}){_END}", 1))
     rows = bounded_sample(ok.select("id", "question", "raw_output").distinct(), sample_rows, "id", seed=seed).collect()
     pairs = []
     for _, q, raw in rows:

@@ -63,6 +63,20 @@ def test_defects_on_held_out_breaks(spark):
     assert right >= total - 2
 
 
+def test_every_pair_of_words_is_counted_once(spark):
+    text = "One two three four-a five six 7 eight nine ten d'un twelve, thirteen fourteen fifteen."
+    g = spark.createDataFrame([(text,), (None,), ("alone",), ("",)], "raw_output string")
+    counts = A._sketch(g, A._all_pairs())
+    want = np.zeros(A.SKETCH)
+    for part in text.split(","):
+        w = A.words_of(part)
+        for a, b in zip(w, w[1:]):
+            want[A._h(f"{a} {b}", A.SKETCH)] += 1
+    assert (counts == want).all() and counts.sum() == 13
+    ends = A._sketch(g, A._found(f"({A._W} {A._W}){A._END}", 1))
+    assert ends.sum() == 1 and (counts >= ends).all()
+
+
 def test_defects_edges(spark, t):
     g = nulls(spark, t("generations"))
     model = A.train(g, sample_rows=200, rounds=0)
