@@ -2,8 +2,9 @@
 
 A multi-label linear classifier on hashed n-grams and pair features, trained on answers broken
 here on purpose (cut, copied from the question, swapped for another language, refused, emptied)
-and on the table's own answers. Thresholds are calibrated on held-out pairs. Word statistics
-behind the pair features cover all rows; only the classifier is fitted on a bounded sample.
+and on the table's own answers. Thresholds are calibrated on held-out pairs. Word and
+language statistics behind the pair features cover all rows, in a bounded number of hash buckets;
+only the classifier is fitted on a bounded sample.
 
 Defined results: a null ``raw_output`` is an empty answer, unless the call failed or was not
 made; a null question has no words, so nothing copies it and no language differs from it;
@@ -15,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 import zlib
-from collections import Counter, defaultdict
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -30,6 +31,9 @@ from evidra.lineage import bounded_sample, ship_package
 LABELS = ["empty", "truncated", "refusal", "copies_question", "other_language"]
 HASHED = 1 << 15
 SKETCH = 1 << 18
+GRAMS = 1 << 14
+#: Buckets of a language's lexicon; at most a quarter of them are known words.
+LEXICON = 1 << 20
 LANGUAGES = ("en", "de", "fr", "es")
 #: Frequent function words by which sample texts get their language.
 FUNCTION_WORDS = {
@@ -112,36 +116,29 @@ class Features:
     """Language models and word statistics, then vectors of a question and an answer."""
 
     grams: dict[str, np.ndarray] = field(default_factory=dict)
-    lexicon: dict[str, frozenset[str]] = field(default_factory=dict)
+    lexicon: dict[str, np.ndarray] = field(default_factory=dict)
     count: np.ndarray | None = None
     ends: np.ndarray | None = None
     pair_count: np.ndarray | None = None
     pair_ends: np.ndarray | None = None
 
-    def fit_languages(self, texts: list[str]) -> None:
-        by = defaultdict(list)
-        for t in texts:
-            w = words_of(t)
-            votes = {g: sum(x in FUNCTION_WORDS[g] for x in w) for g in LANGUAGES}
-            best = max(votes, key=votes.get)
-            if votes[best] >= 2 and votes[best] >= 2 * sorted(votes.values())[-2]:
-                by[best].append(w)
-        for g in LANGUAGES:
-            counts = np.full(1 << 14, 0.1)
-            seen = Counter()
-            for w in by[g]:
-                seen.update(set(w))
-                for x in w:
-                    for tri in _trigram_ids(x):
-                        counts[tri] += 1
+    def fit_languages(self, grams: np.ndarray, texts: np.ndarray) -> None:
+        """``grams``, ``texts``: per language, trigrams and texts with a word, by hash bucket. A word
+        is known from two texts on; where more than a quarter of the buckets would be known, from
+        as many as keep it at that, so that a lexicon does not end up knowing everything."""
+        for k, g in enumerate(LANGUAGES):
+            counts = grams[k] + 0.1
             self.grams[g] = np.log(counts / counts.sum())
-            self.lexicon[g] = frozenset(x for x, n in seen.items() if n >= 2) | frozenset(FUNCTION_WORDS[g])
+            fourth = int(np.partition(texts[k], -(LEXICON // 4))[-(LEXICON // 4)])
+            known = texts[k] >= max(2, fourth + 1)
+            known[[_word_id(w) for w in FUNCTION_WORDS[g]]] = True
+            self.lexicon[g] = known
 
     def language(self, words: list[str]) -> dict[str, tuple[float, float]]:
         """Per language: mean log probability of character trigrams; share of known words."""
         tri = [t for w in words if not w.startswith("0") for t in _trigram_ids(w)]
-        alpha = [w for w in words if not w.startswith("0")]
-        return {g: (float(self.grams[g][tri].mean()) if tri else 0.0, sum(w in self.lexicon[g] for w in alpha) / max(1, len(alpha))) for g in LANGUAGES}
+        alpha = [_word_id(w) for w in words if not w.startswith("0")]
+        return {g: (float(self.grams[g][tri].mean()) if tri else 0.0, float(self.lexicon[g][alpha].mean()) if alpha else 0.0) for g in LANGUAGES}
 
     def vector(self, question: str | None, answer: str, broken: bool, hide: str | None = None) -> tuple[list[int], list[float]]:
         """(hashed n-gram buckets, pair features). ``hide``: a language to take for unknown."""
@@ -178,7 +175,12 @@ class Features:
 @lru_cache(maxsize=100_000)
 def _trigram_ids(word: str) -> tuple[int, ...]:
     w = f"<{word}>"
-    return tuple(_h(w[i : i + 3], 1 << 14) for i in range(max(1, len(w) - 2)))
+    return tuple(_h(w[i : i + 3], GRAMS) for i in range(max(1, len(w) - 2)))
+
+
+@lru_cache(maxsize=100_000)
+def _word_id(word: str) -> int:
+    return _h(word, LEXICON)
 
 
 class DefectModel:
@@ -342,20 +344,51 @@ def eligible(generations: DataFrame) -> DataFrame:
     return generations.filter(F.col("error").isNull() & ~F.coalesce(F.col("forced_nic_empty_retrieval"), F.lit(False)))
 
 
+def _pair(question: str | None, raw: str | None) -> tuple[str, str] | None:
+    """Question and answer of a record, if both are there and the answer does not break off."""
+    a, broken = answer_of(raw)
+    return (question, a.strip()) if question and _WORD.search(a) and not broken and not _BARE_NIC.match(a) else None
+
+
+def _tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """(bucket, n) of a task's texts: per language its trigrams, then its texts with a word."""
+    grams, texts = np.zeros((len(LANGUAGES), GRAMS), dtype=np.int64), np.zeros((len(LANGUAGES), LEXICON), dtype=np.int64)
+    for pdf in batches:
+        for q, raw in zip(pdf["question"], pdf["raw_output"]):
+            for t in _pair(q, raw) or ():
+                w = words_of(t)
+                votes = [sum(x in FUNCTION_WORDS[g] for x in w) for g in LANGUAGES]
+                best = int(np.argmax(votes))
+                if votes[best] >= 2 and votes[best] >= 2 * sorted(votes)[-2]:
+                    np.add.at(grams[best], [i for x in w for i in _trigram_ids(x)], 1)
+                    np.add.at(texts[best], [_word_id(x) for x in set(w)], 1)
+    n = np.concatenate([grams.ravel(), texts.ravel()])
+    at = np.flatnonzero(n)
+    for i in range(0, len(at), 100_000):
+        yield pd.DataFrame({"bucket": at[i : i + 100_000], "n": n[at[i : i + 100_000]]})
+
+
+def count_languages(generations: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Trigrams, and texts with a word, per language and hash bucket over all questions and answers."""
+    ship_package(generations.sparkSession)
+    rows = generations.select("question", "raw_output").mapInPandas(_tally, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    n = np.zeros(len(LANGUAGES) * (GRAMS + LEXICON), dtype=np.int64)  # as many rows at most, in columns
+    n[rows["bucket"].to_numpy()] = rows["n"].to_numpy()
+    grams, texts = np.split(n, [len(LANGUAGES) * GRAMS])
+    return grams.reshape(len(LANGUAGES), GRAMS), texts.reshape(len(LANGUAGES), LEXICON)
+
+
 def train(generations: DataFrame, sample_rows: int = 3000, seed: int = 224, rounds: int = 3) -> DefectModel:
-    """Fit on at most ``sample_rows`` records, a bounded sample. In each round records that the
+    """Fit on at most ``sample_rows`` records, a bounded sample, with word and language statistics
+    of all. In each round records that the
     last model judges broken leave the sound ones; clear cases join the broken ones."""
     ok = eligible(generations)
     f = Features()
     f.count, f.ends = _sketch(ok, _found(_W, 0)), _sketch(ok, _found(f"({_W}){_END}", 1))
     f.pair_count, f.pair_ends = _sketch(ok, _all_pairs()), _sketch(ok, _found(f"({_W} {_W}){_END}", 1))
     rows = bounded_sample(ok.select("id", "question", "raw_output").distinct(), sample_rows, "id", seed=seed).collect()
-    pairs = []
-    for _, q, raw in rows:
-        a, broken = answer_of(raw)
-        if q and len(_WORD.findall(a)) and not broken and not _BARE_NIC.match(a):
-            pairs.append((q, a.strip()))
-    f.fit_languages([t for p in pairs for t in p])
+    pairs = [p for _, q, raw in rows if (p := _pair(q, raw))]
+    f.fit_languages(*count_languages(ok))
     rng = np.random.default_rng(seed)
     model, extra_rows, extra_labels = None, [], []
     sound = pairs

@@ -77,6 +77,15 @@ def test_every_pair_of_words_is_counted_once(spark):
     assert ends.sum() == 1 and (counts >= ends).all()
 
 
+def test_language_statistics_cover_all_records(spark):
+    """The rare words of a language are in few records, most of them outside the sample."""
+    texts = [f"La valeur de la frontière est stable pour le patient et le mot{chr(97 + i // 2)}x est dans la liste." for i in range(40)]
+    g = spark.createDataFrame([(f"{i:02}", "Quelle est la valeur pour le patient ?", x, None, False) for i, x in enumerate(texts)], "id string, question string, raw_output string, error string, forced_nic_empty_retrieval boolean")
+    f = A.train(g, sample_rows=12, rounds=0).features
+    words = [w for x in texts for w in A.words_of(x)]
+    assert f.language(words)["fr"][1] == 1.0
+
+
 def test_defects_edges(spark, t):
     g = nulls(spark, t("generations"))
     model = A.train(g, sample_rows=200, rounds=0)
