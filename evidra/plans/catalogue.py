@@ -535,6 +535,12 @@ def clean_text(spark: SparkSession, sf: str) -> DataFrame:
     return blocks(spark, sf).filter("block_type = 'paragraph'").select("block_id", F.sha2(X.clean_text(F.col("text"), r"downloaded from|copyright"), 256).alias("h"))
 
 
+@query
+def clean_text_all(spark: SparkSession, sf: str) -> DataFrame:
+    """The cleanup over blocks of every type (``clean_text`` and its SQL hold paragraphs only)."""
+    return blocks(spark, sf).select("block_id", F.sha2(X.clean_text(F.col("text"), r"downloaded from|copyright"), 256).alias("h"))
+
+
 @query
 def replace_longest_first(spark: SparkSession, sf: str) -> DataFrame:
     t, n = X.replace_longest_first(F.col("text"), {"/C6": "±", "/C58": "°", "/C5": "?", "¾": "="})

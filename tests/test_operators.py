@@ -318,3 +318,20 @@ def test_empty_tables_give_empty_results(spark):
     b = spark.createDataFrame([], "doc_id string, order_idx int, block_id string, block_type string, page_start int, page_end int, section_path string, section_title string, section_id string, text string")
     assert chunking.segments(b).count() == 0 and chunking.merge_list_items(b).count() == 0 and chunking.drop_references(b).count() == 0
     assert chunking.coalesce_units(spark.createDataFrame([], "doc_id string, seq int, token_len int")).count() == 0
+
+
+def test_cleanup_covers_every_block_type(spark, small):
+    import hashlib
+    import re
+
+    from evidra.plans import catalogue
+
+    def brute(s):
+        s = re.sub(r"(\w)-\n(\w)", r"\1\2", (s or "").replace("\u00ad", ""))
+        s = re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+", " ", s)).strip()
+        return "\n".join(x for x in s.split("\n") if not re.match("downloaded from|copyright", x.strip(), re.I)).strip()
+
+    rows = catalogue.blocks(spark, small).select("block_id", "block_type", "text").collect()
+    got = {r["block_id"]: r["h"] for r in catalogue.QUERIES["clean_text_all"](spark, small).collect()}
+    assert len({r["block_type"] for r in rows}) > 1
+    assert got == {r["block_id"]: hashlib.sha256(brute(r["text"]).encode()).hexdigest() for r in rows}
