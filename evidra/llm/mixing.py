@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from evidra.lineage import cut, ship_package
 
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Patterns are sets of sources: a bound on what the driver may gather of them.
+#: Patterns are sets of sources: bounds on what the driver may gather of both.
+MOST_SOURCES = 10_000
 MOST_PATTERNS = 100_000
 
 
@@ -95,7 +96,9 @@ class Mix:
     def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 224, tokenizer: str = TOKENIZER):
         spark = documents.sparkSession
         ship_package(spark)
-        rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0").distinct().limit(10_000).collect()
+        rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0").distinct().limit(MOST_SOURCES + 1).collect()
+        if len(rows) > MOST_SOURCES:
+            raise ValueError("more target sources than can be routed at once; merge small sources first")
         whole = sum(r["target_share"] for r in rows)
         self.shares = {r["source"]: r["target_share"] / whole for r in rows}
         self.repeats = {r["source"]: max(0, r["max_repeats"] or 0) for r in rows}

@@ -350,6 +350,12 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     assert mixing.Mix(empty(d), t).selected().count() == 0
 
 
+def test_mixing_refuses_more_sources_than_its_bound(spark, t):
+    many = spark.range(mixing.MOST_SOURCES + 1).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(0.1).alias("target_share"), F.lit(1).alias("max_repeats"))
+    with pytest.raises(ValueError, match="sources"):
+        mixing.Mix(t("documents"), many)
+
+
 # ---- problem 9 ---------------------------------------------------------------------------------
 def test_sentences():
     assert subjects.sentences_of("Acme Guide\n\nThe pressure is 4.5 mmHg. It falls!\n- One item of it.\n- Two.") == ["The pressure is 4.5 mmHg.", "It falls!", "- One item of it."]
