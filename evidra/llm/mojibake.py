@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -50,11 +51,13 @@ CHAINS: dict[str, tuple[tuple[str, str], ...]] = {
 CLEAN = "clean"
 CLASSES = [CLEAN, *CHAINS]
 BUCKETS = 1 << 14
+#: Rows of replacement maps that the driver may merge; more raise an error.
+MOST_TABLES = 10_000
 #: A record may hold one of these in place of a character that is gone.
 PLACEHOLDER = "�"
 SUSPECT = r"[^\x00-\x7F]|/C\d|/uni[0-9A-Fa-f]{4}|\(cid:\d+\)"
 _TOKEN = re.compile(r"\S*[^\x00-\x7f]\S*")
-_CODE = re.compile(r"(?<!\S)(\S*?)(\s?/uni[0-9A-Fa-f]{4,6}\s?|/C\d+|\(cid:\d+\))")
+_CODE = re.compile(r"\s?/uni[0-9A-Fa-f]{4,6}\s?|/C\d+|\(cid:\d+\)")
 
 
 def _table(encoding: str) -> tuple[dict[str, int], list[str]]:
@@ -144,66 +147,88 @@ def _strict_utf8_hit(token: str) -> bool:
 class ChainModel:
     """Multinomial naive Bayes over hashed byte bigrams; one class per chain and one for clean."""
 
-    def __init__(self, log_prob: np.ndarray, prior: np.ndarray, margin: float):
-        self.log_prob, self.prior, self.margin = log_prob, prior, margin
+    def __init__(self, log_prob: np.ndarray, prior: np.ndarray, margin: float, strict_margin: float):
+        self.log_prob, self.prior, self.margin, self.strict_margin = log_prob, prior, margin, strict_margin
 
     @staticmethod
-    def counts(samples: list[str], rng: np.random.Generator) -> np.ndarray:
-        counts = np.zeros((len(CLASSES), BUCKETS), dtype=np.float64)
-        for text in samples:
-            for k, name in enumerate(CLASSES):
-                shown = text if name == CLEAN else garble(text, name)
-                if shown is None:
-                    continue
-                for a, b in tokens_of(shown):
-                    for f in _bigrams(shown, a, b):
-                        counts[k, f] += 1
-        return counts
+    def shown(text: str) -> list[str | None]:
+        """``text`` as each class shows it; None where a chain cannot write it or leaves it as it is."""
+        return [text, *((g if (g := garble(text, name)) != text else None) for name in CHAINS)]
+
+    @staticmethod
+    def _from(counts: np.ndarray, margin: float, strict_margin: float) -> ChainModel:
+        log_prob = np.log(counts + 0.05) - np.log(counts.sum(1, keepdims=True) + 0.05 * BUCKETS)
+        prior = np.full(len(CLASSES), np.log(0.3 / len(CHAINS)))
+        prior[0] = np.log(0.7)
+        return ChainModel(log_prob, prior, margin, strict_margin)
 
     @classmethod
-    def fit(cls, records: list[str], seed: int = 224, rounds: int = 3) -> ChainModel:
-        """Train on garbled copies of ``records``. Records that look garbled themselves are
-        first left out by strict decoding, then by the model's own judgement."""
+    def fit(cls, records: list[str], seed: int = 224, rounds: int = 3, folds: int = 5) -> ChainModel:
+        """Train on garbled copies of ``records``. Records that look garbled themselves are first
+        left out by strict decoding, then by the model's own judgement. Every record is judged by a
+        model that has not seen it (one per fold), as it stands and garbled by one chain, and the
+        margins are set on those judgements."""
         rng = np.random.default_rng(seed)
         pool = [r for r in records if PLACEHOLDER not in r and not re.search(r"[\x80-\x9f]", r) and not any(_strict_utf8_hit(r[a:b]) for a, b in tokens_of(r))]
-        model = None
+        shown = [cls.shown(r) for r in pool]
+        features = [[[f for a, b in tokens_of(x) for f in _bigrams(x, a, b)] if x is not None else [] for x in row] for row in shown]
+        fold = rng.integers(folds, size=len(pool))
+        kept = np.ones(len(pool), dtype=bool)
+        model = cls._from(np.zeros((len(CLASSES), BUCKETS)), 0.0, 0.0)
         for _ in range(rounds):
-            kept = pool if model is None else [r for r in pool if all(c == CLEAN for _, _, c, _ in model.label(r))]
-            rng.shuffle(kept)
-            held, used = kept[: len(kept) // 5], kept[len(kept) // 5 :] or kept
-            counts = cls.counts(used, rng)
-            log_prob = np.log(counts + 0.05) - np.log(counts.sum(1, keepdims=True) + 0.05 * BUCKETS)
-            prior = np.full(len(CLASSES), np.log(0.3 / len(CHAINS)))
-            prior[0] = np.log(0.7)
-            model = cls(log_prob, prior, 2.0 if model is None else 0.0)
-            if model.margin == 0.0:
-                gaps = sorted(gap for r in held for *_, c, gap in model.label(r) if c != CLEAN)
-                spare = len(held) // 1000
-                # calibrated: of held-out clean records, one in a thousand at most is taken for garbled
-                model.margin = min(max(gaps[-1 - spare], 2.0), 4.0) if len(gaps) > spare else 2.0
+            counts = np.zeros((folds, len(CLASSES), BUCKETS))
+            for f in range(folds):
+                at = np.flatnonzero(kept & (fold == f))
+                for k in range(len(CLASSES)):
+                    counts[f, k] = np.bincount([x for i in at for x in features[i][k]], minlength=BUCKETS)
+            unseen = [cls._from(counts.sum(0) - counts[f], -np.inf, -np.inf) for f in range(folds)]
+            sound = [unseen[f].leads(r) for f, r in zip(fold, pool)]
+            broken = []
+            for i in np.flatnonzero(kept):
+                able = [k for k in range(1, len(CLASSES)) if shown[i][k] is not None]
+                if able:
+                    broken += unseen[fold[i]].leads(shown[i][able[int(rng.integers(len(able)))]])
+            model = cls._from(counts.sum(0), *cls._margins([x for i in np.flatnonzero(kept) for x in sound[i]], broken))
+            kept = np.array([all(gap <= model._least(strict) for gap, strict in own) for own in sound], dtype=bool)
         return model
 
+    @staticmethod
+    def _margins(sound: list[tuple[float, bool]], broken: list[tuple[float, bool]]) -> tuple[float, float]:
+        """The leads over clean that a token needs: where fewest held-out tokens are judged wrongly,
+        nine sound ones weighing as much as a garbled one; apart for tokens that decode strictly as
+        UTF-8, which sound text hardly ever does. Of margins that lose no more than one in 200
+        garbled tokens beyond the best, the highest stands, as characters that the sample lacks are
+        sound ones far oftener than garbled ones."""
+        out = []
+        for strict in (False, True):
+            good, bad = (np.sort([g for g, s in x if s == strict and np.isfinite(g)]) for x in (sound, broken))
+            if not len(bad):
+                out.append(2.0)
+                continue
+            tries = np.unique(np.concatenate([good, bad]))
+            cost = 0.9 * (len(good) - np.searchsorted(good, tries, "right")) / max(1, len(good)) + 0.1 * np.searchsorted(bad, tries, "right") / len(bad)
+            best = int(np.flatnonzero(cost <= cost.min() + 0.1 / 200)[-1])
+            # below 0 the model itself thinks the token sound
+            out.append(max(0.0, float((tries[best] + tries[min(best + 1, len(tries) - 1)]) / 2)))
+        return out[0], out[1]
+
+    def _least(self, strict: bool) -> float:
+        return self.strict_margin if strict else self.margin
+
     def scores(self, text: str, a: int, b: int) -> np.ndarray:
         return self.prior + self.log_prob[:, _bigrams(text, a, b)].sum(1)
 
-    def label(self, text: str) -> list[tuple[int, int, str, float]]:
-        """(start, end, chain or clean, log odds against clean) of each token beyond ASCII. Tokens
-        of one sentence lend each other weight, as a wrong decoding seldom stops inside one."""
+    def _judge(self, text: str) -> list[tuple[int, int, int, float, bool]]:
+        """(start, end, likeliest chain, its log odds against clean, whether it decodes strictly as
+        UTF-8) of each token beyond ASCII. Tokens of one sentence lend each other weight, as a wrong
+        decoding seldom stops inside one."""
         spans = list(tokens_of(text))
         if not spans:
             return []
         own = np.array([self.scores(text, a, b) for a, b in spans])
-        able = np.zeros_like(own, dtype=bool)
-        able[:, 0] = True
-        same = np.zeros_like(able)
-        strict = np.zeros(len(spans), dtype=bool)
-        for i, (a, b) in enumerate(spans):
-            for k, name in enumerate(CLASSES[1:], 1):
-                r = restore(text[a:b], name)
-                able[i, k] = r is not None and r != text[a:b] and not re.search(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", r)
-                same[i, k] = r == text[a:b]
-                strict[i] |= bool(able[i, k]) and name.startswith("utf8")
+        able, same, strict = (np.array(x) for x in zip(*(_chains_of(text[a:b]) for a, b in spans)))
         relative = np.where(able, own, -1e9)
+        relative[:, 0] = own[:, 0]
         relative = relative - relative.max(1, keepdims=True)
         relative = np.maximum(relative, -30)
         relative = np.where(same, relative[:, :1], relative)  # characters that the chain leaves alone speak for neither
@@ -213,23 +238,45 @@ class ChainModel:
         out = []
         for i, (a, b) in enumerate(spans):
             mixed = np.where(able[i], own[i] + 0.5 * (total[sentence[i]] - relative[i]), -np.inf)
-            if strict[i]:
-                # a token that decodes strictly as UTF-8 is no accident: clean needs a clear lead
-                mixed[0] -= 6.0
+            clean = own[i, 0] + 0.5 * (total[sentence[i], 0] - relative[i, 0])
             k = int(mixed.argmax())
-            gap = float(mixed[k] - mixed[0])
-            out.append((a, b, CLASSES[k] if k and gap > (0.0 if strict[i] else self.margin) else CLEAN, gap))
+            out.append((a, b, k, float(mixed[k] - clean), bool(strict[i])))
         return out
 
+    def leads(self, text: str) -> list[tuple[float, bool]]:
+        """(log odds of the likeliest chain against clean, decodes strictly as UTF-8) per token."""
+        return [(gap, strict) for *_, gap, strict in self._judge(text)]
+
+    def label(self, text: str) -> list[tuple[int, int, str, float]]:
+        """(start, end, chain or clean, log odds against clean) of each token beyond ASCII."""
+        return [(a, b, CLASSES[k] if gap > self._least(strict) else CLEAN, gap) for a, b, k, gap, strict in self._judge(text)]
+
+
+@lru_cache(maxsize=50_000)
+def _chains_of(token: str) -> tuple[tuple[bool, ...], tuple[bool, ...], bool]:
+    """Per class whether inverting its chain changes the token and decodes strictly to printable
+    text, and whether it leaves the token as it is; whether some UTF-8 chain does the former."""
+    able, same = [False], [False]
+    for name in CLASSES[1:]:
+        r = restore(token, name)
+        able.append(r is not None and r != token and not re.search(r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", r))
+        same.append(r == token)
+    return tuple(able), tuple(same), any(x and name.startswith("utf8") for x, name in zip(able, CLASSES))
+
 
 def _codes(text: str, mapping: dict[str, str]) -> tuple[str, int, int]:
     """Replace stand-in codes; the text, codes replaced, codes without an entry. A code that is
     the tail of a longer name (letters before its slash, as in a part number) is meant as it stands."""
     done = lost = 0
     out, last = [], 0
+    seen, named = 0, False
     for m in _CODE.finditer(text):
-        head, code = m.group(1), m.group(2)
-        if re.search(r"[^\W\d_]", head) and code.startswith("/C"):
+        code, between = m.group(), text[seen : m.start()]
+        # a run without blanks may be a name that its first code is the tail of
+        if not seen or re.search(r"\s", between) or text[seen - 1].isspace():
+            named = bool(re.search(r"[^\W\d_]", re.split(r"\s", between)[-1]))
+        seen = m.end()
+        if named and code.startswith("/C"):
             continue
         value = mapping.get(code, mapping.get(code.strip()))
         if value is None:
@@ -239,7 +286,7 @@ def _codes(text: str, mapping: dict[str, str]) -> tuple[str, int, int]:
             lost += 1
             continue
         done += 1
-        out += [text[last : m.start(2)], value]
+        out += [text[last : m.start()], value]
         last = m.end()
     text = "".join(out) + text[last:]
     for key, value in mapping.items():
@@ -270,14 +317,15 @@ def repair(text: str, model: ChainModel, mapping: dict[str, str]) -> tuple[str |
 
 
 def train(blocks: DataFrame, sample_rows: int = 3000, seed: int = 224) -> ChainModel:
-    """Fit on at most ``sample_rows`` sentences with characters beyond ASCII (a bounded sample
-    for training only; every record is then judged)."""
-    rows = bounded_sample(blocks.select("text").filter(F.col("text").rlike(r"[^\x00-\x7F•‐­¬]")).filter(F.length("text") < 4000).distinct(), sample_rows, "text", seed=seed)
+    """Fit on the sentences with characters beyond ASCII of at most ``sample_rows`` texts (a bounded
+    sample for training only; every record is then judged). Bullets, dashes and hyphen marks are
+    tokens like any other, so that the model knows them as clean."""
+    rows = bounded_sample(blocks.select("text").filter(F.col("text").rlike(r"[^\x00-\x7F]")).filter(F.length("text") < 4000).distinct(), sample_rows, "text", seed=seed)
     records = []
     for (text,) in rows.collect():
         for s in re.split(r"(?<=[.!?…])\s+", text):
-            if len(s) < 500 and re.search(r"[^\x00-\x7f]", re.sub(r"[•‐\xad¬]", "", s)):
-                records.append(re.sub(r"\s+", " ", s))
+            if len(s) < 500 and not s.isascii():
+                records.append(s)
     return ChainModel.fit(sorted(set(records)), seed)
 
 
@@ -286,7 +334,10 @@ def find_garbled(blocks: DataFrame, normalization: DataFrame, model: ChainModel
     ship_package(blocks.sparkSession)
     model = model or train(blocks, sample_rows)
     mapping: dict[str, str] = {}
-    for (m,) in normalization.select("replacements").limit(64).collect():  # a fixed table of one row
+    tables = normalization.select("replacements").limit(MOST_TABLES + 1).collect()
+    if len(tables) > MOST_TABLES:
+        raise ValueError("more replacement tables than can be merged; merge them first")
+    for (m,) in tables:
         mapping.update({k: v for k, v in (m or {}).items() if k and v is not None})
     singles = "".join(re.escape(k) for k in mapping if len(k) == 1)
     todo = blocks.select("block_id", "text").filter(F.col("text").rlike(SUSPECT + (f"|[{singles}]" if singles else "")))

@@ -255,6 +255,27 @@ def test_garbled_records_are_restored(spark):
     assert mojibake.find_garbled(empty(b), norm).count() == 0
 
 
+def test_codes_in_one_run():
+    norm = {"/C6": "±", "/C58": "°", " /uniE0A3 ": "ffi"}
+    assert mojibake._codes("5/C6/C113 and A/C6/C58", norm) == ("5±/C113 and A/C6/C58", 1, 1)
+    assert mojibake._codes("di /uniE0A3 culty /C6 3", norm) == ("difficulty ± 3", 2, 0)
+
+
+@pytest.mark.parametrize("sample_rows, seed", [(3000, 224), (200, 1), (200, 2), (100, 3)])
+def test_bulleted_texts_are_sound(spark, sample_rows, seed):
+    """Texts whose only characters beyond ASCII are bullets and hyphen marks have no case, whatever
+    the sample, while garbled ones among them are all found."""
+    words = "valve gauge rotor panel filter sensor bearing housing".split()
+    rows = [(f"b{i}", f"• Check the {words[i % 8]} first.\n• Then close the {words[i // 8 % 8]} number {i}.\n• Report the pres\xad\nsure – if any.") for i in range(1000)]
+    names = ["Kärvö", "São Âmbrio", "Núñora", "Ærø", "Brûlvon"]
+    rows += [(f"c{i}", f"The {names[i % 5]} team’s naïve estimate was {i} ± 2 µm at 5 °C – for the {words[i % 8]}.") for i in range(200)]
+    rows += [(f"g{i}", mojibake.garble(f"The {names[i % 5]} team’s naïve estimate was {i} ± 3 µm.", chain)) for i, chain in enumerate(["utf8>cp1252", "utf8>koi8r", "utf8>macroman", "utf8>cp1252 twice"] * 5)]
+    b = spark.createDataFrame(rows, "block_id string, text string")
+    norm = spark.createDataFrame([({"/C6": "±"},)], "replacements map<string,string>")
+    got = {r[0] for r in mojibake.find_garbled(b, norm, sample_rows=sample_rows, model=mojibake.train(b, sample_rows, seed)).select("block_id").collect()}
+    assert not {x for x in got if x[0] in "bc"} and {x for x, _ in rows if x[0] == "g"} <= got
+
+
 # ---- problem 6 ---------------------------------------------------------------------------------
 def test_consensus_beats_majority(spark):
     rng = random.Random(11)
@@ -408,7 +429,7 @@ def test_very_long_texts(spark):
     assert [tuple(r) for r in leakage.find_leaks(d, t).collect()] == [("i", 1)]
     pieces = splitting.split_items(d.select(F.lit("x").alias("item"), "text", F.lit(64).alias("overlap"))).cache()
     assert pieces.filter("n_tokens > 510").count() == 0 and pieces.count() > 600
-    m = mojibake.ChainModel(np.zeros((len(mojibake.CLASSES), mojibake.BUCKETS)), np.zeros(len(mojibake.CLASSES)), 4.0)
+    m = mojibake.ChainModel(np.zeros((len(mojibake.CLASSES), mojibake.BUCKETS)), np.zeros(len(mojibake.CLASSES)), 4.0, 4.0)
     assert mojibake.repair(long, m, {})[0] is None
     s = "block_id string, doc_id string, block_type string, page_start int, section_path string, section_title string, source_file string, text string"
     assert scan_noise.Scan(spark.createDataFrame([("b", "d", "paragraph", 1, None, None, None, long)], s)).found().count() == 0
