@@ -2,7 +2,7 @@
 
 Pattern packing: per document, patterns of a few lengths that fill a container well are
 enumerated, their repeat counts are fitted to the histogram of lengths by non-negative least
-squares and rounded down, and what is left over is packed best fit, longest first. Only the
+squares and rounded down, and the residual is packed best fit, longest first. Only the
 histogram of a document is gathered, which has at most ``capacity`` rows however many items the
 document holds; items get their places by rank and interval.
 
@@ -63,7 +63,7 @@ def nnls(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def patterns_of(lengths: list[int], capacity: int, most: int = 1200) -> list[tuple[int, ...]]:
-    """Patterns of one to four lengths, tightest first; every length is in one at least."""
+    """Patterns of one to four lengths, the ``most`` tightest; every length is in one at least."""
     up = sorted(lengths)
     found: dict[tuple[int, ...], int] = {}
 
@@ -105,16 +105,15 @@ def best_fit(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def plan(histogram: dict[int, int], capacity: int, direct: int = 200_000, waste: float = 60.0) -> list[tuple[int, tuple[int, ...]]]:
-    """(repeats, pattern) that hold the histogram exactly. Up to ``direct`` items plain best fit
-    is tried as well and the plan with fewer containers stands."""
+def plan(histogram: dict[int, int], capacity: int, most: int = 1200, waste: float = 60.0) -> list[tuple[int, tuple[int, ...]]]:
+    """(repeats, pattern) that hold the histogram exactly, by the same steps at every size. ``most``
+    bounds the columns of the fit, not the items: what no pattern takes is a residual."""
     left = {k: v for k, v in histogram.items() if k > 0 and v > 0}
-    total = sum(left.values())
     out: list[tuple[int, tuple[int, ...]]] = []
-    if total >= 8:
+    while left:
         lengths = sorted(left)
         place = {x: i for i, x in enumerate(lengths)}
-        ps = patterns_of(lengths, capacity)
+        ps = patterns_of(lengths, capacity, most)
         a = np.zeros((len(lengths) + 1, len(ps)))
         for j, p in enumerate(ps):
             for x in p:
@@ -122,21 +121,21 @@ def plan(histogram: dict[int, int], capacity: int, direct: int = 200_000, waste:
             # one more row weighs the room that a pattern wastes, else any exact fit will do
             a[-1, j] = waste * (capacity - sum(p)) / capacity
         x = nnls(a, np.array([*[left[k] for k in lengths], 0], dtype=float))
+        taken = 0
         for j in np.argsort(-x):
             n = int(np.floor(x[j] + 1e-6))
             for v in set(ps[j]):
                 n = min(n, left[v] // ps[j].count(v))
             if n > 0:
+                taken += n
                 out.append((n, ps[j]))
                 for v in ps[j]:
                     left[v] -= n
-    rest = [k for k, v in left.items() for _ in range(v)]
-    out += [(1, tuple(b)) for b in best_fit(rest, capacity)]
-    if total <= direct:
-        plain = best_fit([k for k, v in histogram.items() if k > 0 for _ in range(v)], capacity)
-        if len(plain) < sum(n for n, _ in out):
-            out = [(1, tuple(b)) for b in plain]
-    return out
+        left = {k: v for k, v in left.items() if v}
+        # residuals of more items than there are patterns are fitted again, so few are ever listed
+        if not taken or sum(left.values()) <= len(ps):
+            break
+    return out + [(1, tuple(b)) for b in best_fit([k for k, v in left.items() for _ in range(v)], capacity)]
 
 
 _PLACES = "level string, doc_id string, piece_len int, first bigint, last bigint, per int, base bigint"
@@ -176,11 +175,12 @@ def pack_items(items: DataFrame, capacity: int = 510, salts: int = 16) -> DataFr
     """``level, doc_id, container, item_id, piece_no, start, tokens``: every token of every item
     in exactly one container, a container never over ``capacity``."""
     ship_package(items.sparkSession)
+    items = cut(items.select("level", "doc_id", "item_id", "len"))  # lengths are measured once
     full = F.floor(F.col("len") / capacity).cast("int")
     rest = F.pmod(F.col("len"), F.lit(capacity))
     over = items.filter(F.col("len") >= capacity)
     whole = over.select("level", "doc_id", "item_id", F.explode(F.sequence(F.lit(0), full - 1)).alias("piece_no")).select("level", "doc_id", F.concat(F.lit("full:"), "item_id", F.lit(":"), "piece_no").alias("container"), "item_id", "piece_no", (F.col("piece_no") * capacity).cast("bigint").alias("start"), F.lit(capacity).alias("tokens"))
-    parts = cut(items.filter((rest > 0) | (F.col("len") == 0)).select("level", "doc_id", "item_id", full.alias("piece_no"), (full * capacity).cast("bigint").alias("start"), rest.cast("int").alias("piece_len")))
+    parts = items.filter((rest > 0) | (F.col("len") == 0)).select("level", "doc_id", "item_id", full.alias("piece_no"), (full * capacity).cast("bigint").alias("start"), rest.cast("int").alias("piece_len"))
     histogram = parts.groupBy("level", "doc_id", "piece_len").agg(F.count(F.lit(1)).alias("n"))
     # many small fits: dealt out by number, as by size they would be joined to one task
     spark = items.sparkSession
