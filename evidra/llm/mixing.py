@@ -20,9 +20,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.lineage import cut, ship_package
+from evidra.lineage import keep, ship_package
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+#: How the vocabulary's byte pairs expect text to be cut: letters, numbers, other signs, blanks.
+PRETOKEN = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Patterns are sets of sources: bounds on what the driver may gather of both.
 MOST_SOURCES = 10_000
 MOST_PATTERNS = 100_000
@@ -67,8 +68,26 @@ def min_cost_flow(edges: list[tuple[str, str, int, int]], source: str, sink: str
     return {(a, b): room[2 * i + 1] for i, (a, b, _, _) in enumerate(edges)}
 
 
-def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """``texts`` with their size in tokens of a public tokenizer."""
+def _reached(edges: list[tuple[str, str, int, int]], flow: dict[tuple[str, str], int], source: str) -> set[str]:
+    """Nodes that more flow could still reach: the near side of a least cut."""
+    onward: dict[str, list[str]] = defaultdict(list)
+    for a, b, c, _ in edges:
+        if flow[a, b] < c:
+            onward[a].append(b)
+        if flow[a, b] > 0:
+            onward[b].append(a)
+    near, queue = {source}, deque([source])
+    while queue:
+        for b in onward[queue.popleft()]:
+            if b not in near:
+                near.add(b)
+                queue.append(b)
+    return near
+
+
+def token_counts(texts: DataFrame, tokenizer: str, pattern: str = PRETOKEN) -> DataFrame:
+    """``texts`` with their size in tokens of a public tokenizer (a file of base64 tokens and ranks
+    that all workers can read)."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import base64
@@ -77,10 +96,6 @@ def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 
         with open(tokenizer, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        try:
-            from public_tokenizers import PATTERN as pattern
-        except ImportError:
-            pattern = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         coder = tiktoken.Encoding("public", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         for pdf in batches:
             yield pdf.assign(tokens=[len(coder.encode_ordinary(t)) for t in pdf["text"]]).drop(columns="text")
@@ -93,7 +108,7 @@ def token_counts(texts: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
 class Mix:
     """A mix of sources: ``uses`` per document and the shares reached."""
 
-    def __init__(self, documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, seed: int = 224, tokenizer: str = TOKENIZER):
+    def __init__(self, documents: DataFrame, targets: DataFrame, tokenizer: str, total_tokens: int | None = None, seed: int = 224):
         spark = documents.sparkSession
         ship_package(spark)
         rows = targets.select("source", "target_share", "max_repeats").filter("source is not null and target_share > 0").distinct().limit(MOST_SOURCES + 1).collect()
@@ -103,13 +118,13 @@ class Mix:
         self.shares = {r["source"]: r["target_share"] / whole for r in rows}
         self.repeats = {r["source"]: max(0, r["max_repeats"] or 0) for r in rows}
         known = spark.createDataFrame([(s,) for s in self.shares] or [("",)], "source string")
-        docs = documents.select("doc_id", "text", "source").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).join(known, "source")
+        docs = documents.select("doc_id", "text", "source").filter(F.col("doc_id").isNotNull() & (F.length("text") > 0)).join(F.broadcast(known), "source")
+        # every text is tokenised once and stays where it was read; only sizes are shuffled
         sized = token_counts(docs.withColumn("key", F.sha2("text", 256)), tokenizer)
         # one row per text and source: the document with the least id stands for its copies
-        per = sized.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens"))
-        texts = per.groupBy("key").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_set("source")).alias("sources"))
-        self.texts = cut(texts.withColumn("pattern", F.array_join("sources", "\x1f")).select("key", "tokens", "pattern"))
-        self.per = per
+        self.per = keep(sized.groupBy("key", "source").agg(F.min("doc_id").alias("doc_id"), F.max("tokens").alias("tokens")))
+        texts = self.per.groupBy("key").agg(F.max("tokens").alias("tokens"), F.sort_array(F.collect_set("source")).alias("sources"))
+        self.texts = keep(texts.select("key", "tokens", F.array_join("sources", "\x1f").alias("pattern")))
         pattern_rows = self.texts.groupBy("pattern").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("n")).limit(MOST_PATTERNS + 1).collect()
         if len(pattern_rows) > MOST_PATTERNS:
             raise ValueError("more membership patterns than can be routed at once; merge small sources first")
@@ -129,16 +144,26 @@ class Mix:
         edges += [("to " + s, "end", int(total * share), 0) for s, share in self.shares.items()]
         return edges
 
-    def _met(self, total: int) -> bool:
-        flow = min_cost_flow([(a, b, c, 0) for a, b, c, _ in self._edges(total)], "from", "end")
-        return all(flow["to " + s, "end"] >= int(total * share) for s, share in self.shares.items())
-
     def _largest(self) -> int:
-        lo, hi = 0, sum(t * max(self.repeats[s] for s in p.split("\x1f")) for p, t in self.patterns.items())
-        while lo < hi:
-            mid = (lo + hi + 1) // 2
-            lo, hi = (mid, hi) if self._met(mid) else (lo, mid - 1)
-        return lo
+        """The largest total that every target can be met in, by Newton steps on cuts: a cut that a
+        total does not pass names sources whose texts are too few, and they allow a smaller one at
+        most. Each step leaves another set of sources behind, so there are few."""
+        # quotas are rounded down, so their sum may lie below the total by one a source
+        total = sum(t * max(self.repeats[s] for s in p.split("\x1f")) for p, t in self.patterns.items()) + len(self.shares)
+        while total > 0:
+            edges = [(a, b, c, 0) for a, b, c, _ in self._edges(total)]
+            flow = min_cost_flow(edges, "from", "end")
+            if all(flow["to " + s, "end"] >= int(total * share) for s, share in self.shares.items()):
+                return total
+            near = _reached(edges, flow, "from")
+            room = sum(c for a, b, c, _ in edges if a in near and b not in near and b != "end")
+            short = [share for s, share in self.shares.items() if "to " + s not in near]
+            lo, hi = 0, total - 1
+            while lo < hi:  # the largest total whose quotas pass this cut
+                mid = (lo + hi + 1) // 2
+                lo, hi = (mid, hi) if sum(int(mid * share) for share in short) <= room else (lo, mid - 1)
+            total = lo
+        return 0
 
     def _route(self, total: int) -> list[tuple[str, int, str, int, int]]:
         """(pattern, use, source, from, to): stretches of a pattern's tokens for each source."""
@@ -157,6 +182,8 @@ class Mix:
         """``doc_id, source, tokens, uses``: how often each selected document is used."""
         spark = self.texts.sparkSession
         routes = spark.createDataFrame(self.flow or [("", 0, "", 0, 0)], "pattern string, use int, source string, lo bigint, hi bigint")
+        if len(self.flow) <= MOST_PATTERNS:  # one pattern may hold most texts, so they stay in place
+            routes = F.broadcast(routes)
         # running sums of tokens in a seeded order, without gathering a pattern in one task:
         # sums per bucket of the hash, shifted by the sums of the buckets before
         t = self.texts.withColumn("h", F.xxhash64(F.lit(self.seed), "key")).withColumn("bucket", F.shiftrightunsigned("h", 52).cast("int"))

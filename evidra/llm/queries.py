@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,6 +10,8 @@ from pyspark.sql import functions as F
 
 from evidra.llm import answer_defects, consensus, leakage, mixing, mojibake, packing, scan_noise, splitting, subjects
 
+#: The vocabulary file of a public tokenizer that problem 8 measures texts with.
+TOKENIZER = os.environ.get("EVIDRA_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -85,7 +88,7 @@ def p7_found(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _mix(spark: SparkSession, sf: str) -> mixing.Mix:
-    return mixing.Mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))
+    return mixing.Mix(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"), TOKENIZER)
 
 
 def p8_selected(spark: SparkSession, sf: str) -> DataFrame:

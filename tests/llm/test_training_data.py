@@ -178,6 +178,19 @@ def test_plans_hold_the_histogram():
         assert bins <= 1.35 * -(-sum(k * v for k, v in h.items()) // 100) + 1
 
 
+@pytest.mark.parametrize("scale", [1, 7, 100_000, 10_000_000])
+def test_plans_behave_alike_at_every_size(scale):
+    """One item or a hundred million of a length: the same method, near the least number."""
+    h = {60: 3 * scale, 40: 5 * scale, 33: 3 * scale, 17: 2 * scale, 7: scale}
+    got: dict[int, int] = {}
+    for n, p in packing.plan(h, 100):
+        assert sum(p) <= 100
+        for v in p:
+            got[v] = got.get(v, 0) + n
+    assert got == h
+    assert sum(n for n, _ in packing.plan(h, 100)) <= 1.05 * -(-sum(k * v for k, v in h.items()) // 100) + 1
+
+
 def test_nnls_against_projected_gradient():
     rng = np.random.default_rng(2)
     for _ in range(10):
@@ -361,20 +374,38 @@ def test_mix_reaches_shares_and_keeps_caps(spark):
     docs += [(800 + i, docs[i][1], "small") for i in range(40)] + [(900, "x", None), (901, None, "big"), (902, "", "big"), (903, "z", "unknown")] + docs[:5]
     d = spark.createDataFrame([(*x, 1) for x in docs], "doc_id bigint, text string, source string, tokens int")
     t = spark.createDataFrame([("big", 0.5, 1), ("small", 0.5, 3)], "source string, target_share double, max_repeats int")
-    m = mixing.Mix(d, t)
+    m = mixing.Mix(d, t, queries.TOKENIZER)
     got = m.selected().collect()
     assert len({(r["doc_id"], r["source"]) for r in got}) == len(got) and {r["source"] for r in got} == {"big", "small"}
     assert all(1 <= r["uses"] <= {"big": 1, "small": 3}[r["source"]] for r in got) and any(r["uses"] > 1 for r in got)
     shares = {r["source"]: r["share"] for r in m.report().collect()}
     assert abs(shares["big"] - 0.5) < 0.02
-    assert {tuple(r) for r in mixing.Mix(d, t).selected().collect()} == {tuple(r) for r in got}
-    assert mixing.Mix(empty(d), t).selected().count() == 0
+    assert {tuple(r) for r in mixing.Mix(d, t, queries.TOKENIZER).selected().collect()} == {tuple(r) for r in got}
+    assert mixing.Mix(empty(d), t, queries.TOKENIZER).selected().count() == 0
+
+
+def test_largest_total_by_brute_force():
+    """Newton steps on cuts end at the largest total that a search over all totals finds."""
+    rng = random.Random(4)
+    for _ in range(60):
+        m = mixing.Mix.__new__(mixing.Mix)
+        names = "abcd"[: rng.randint(1, 4)]
+        weights = [rng.randint(1, 9) for _ in names]
+        m.shares = {s: w / sum(weights) for s, w in zip(names, weights)}
+        m.repeats = {s: rng.randint(0, 3) for s in names}
+        m.patterns = {"\x1f".join(sorted(rng.sample(names, rng.randint(1, len(names))))): rng.randint(1, 40) for _ in range(4)}
+
+        def met(total):
+            flow = mixing.min_cost_flow([(a, b, c, 0) for a, b, c, _ in m._edges(total)], "from", "end")
+            return all(flow["to " + s, "end"] >= int(total * v) for s, v in m.shares.items())
+
+        assert m._largest() == max(x for x in range(600) if met(x))
 
 
 def test_mixing_refuses_more_sources_than_its_bound(spark, t):
     many = spark.range(mixing.MOST_SOURCES + 1).select(F.concat(F.lit("s"), "id").alias("source"), F.lit(0.1).alias("target_share"), F.lit(1).alias("max_repeats"))
     with pytest.raises(ValueError, match="sources"):
-        mixing.Mix(t("documents"), many)
+        mixing.Mix(t("documents"), many, queries.TOKENIZER)
 
 
 # ---- problem 9 ---------------------------------------------------------------------------------
@@ -417,7 +448,7 @@ def test_clashing_columns_and_null_rows_change_nothing(spark, t):
     assert rows(mojibake.find_garbled(nulls(spark, b), nulls(spark, norm).filter("replacements is not null"), model)) == rows(mojibake.find_garbled(b, norm, model))
     assert rows(leakage.find_leaks(nulls(spark, d), nulls(spark, items))) == rows(leakage.find_leaks(d, items))
     assert rows(splitting.oversized(nulls(spark, splitting.project_items(b, t("chunks"))))) == rows(splitting.oversized(splitting.project_items(b, t("chunks"))))
-    assert rows(mixing.Mix(nulls(spark, d).drop("tokens").withColumn("tokens", F.lit("x")), t("mix_targets")).selected()) == rows(mixing.Mix(d, t("mix_targets")).selected())
+    assert rows(mixing.Mix(nulls(spark, d).drop("tokens").withColumn("tokens", F.lit("x")), t("mix_targets"), queries.TOKENIZER).selected()) == rows(mixing.Mix(d, t("mix_targets"), queries.TOKENIZER).selected())
     assert rows(scan_noise.Scan(nulls(spark, b)).found()) == rows(scan_noise.Scan(b).found())
 
 
