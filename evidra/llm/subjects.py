@@ -18,10 +18,11 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evidra.lineage import ship_package
+from evidra.lineage import keep, ship_package
 
 #: Each language has its own block of hash buckets, so that its words are weighed against its
 #: own totals; a rare language is not drowned by the others.
@@ -73,53 +74,61 @@ def _bucket(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
+def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed words and pairs of neighbouring words of a text, sentence after sentence, and their
+    number per sentence. A text without sentences that is not blank counts as one."""
+    if not (text or "").strip():
+        return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
+    words = [w for w in (_WORD.findall(s.lower()) for s in sentences_of(text) or [text]) if w] or [[""]]
+    base = language_of([w for ws in words for w in ws]) * BLOCK
+    h = np.array([_bucket(w) for ws in words for w in ws], dtype=np.int64)
+    n = np.array([len(ws) for ws in words])
+    both = np.empty(2 * len(h), dtype=np.int64)
+    both[0::2] = h
+    both[1:-1:2] = (h[:-1] * 1_000_003) ^ h[1:]
+    keep_ = np.ones(len(both), dtype=bool)
+    keep_[2 * np.cumsum(n) - 1] = False  # no pair leads out of a sentence
+    return (both[keep_] % BLOCK + base).astype(np.int32), (2 * n - 1).astype(np.int32)
+
+
 class Batch:
-    """Hashed words and pairs of neighbouring words of the sentences of some texts: ``flat``, with
-    the sentence of each feature in ``owner`` and the text of each sentence in ``text``."""
-
-    def __init__(self, texts: list[str | None], whole: bool = False):
-        hashes, sizes, blocks, text = [], [], [], []
-        for i, t in enumerate(texts):
-            parts = sentences_of(t)
-            if whole and not parts and (t or "").strip():
-                parts = [t]
-            words = [[w.lower() for w in _WORD.findall(s)] for s in parts]
-            lang = language_of([w for ws in words for w in ws])
-            for ws in words:
-                hashes += [_bucket(w) for w in ws]
-                sizes.append(len(ws))
-                blocks.append(lang)
-                text.append(i)
-        self._set(np.array(hashes, dtype=np.int64), np.array(sizes, dtype=np.int64), np.array(blocks, dtype=np.int64))
-        self.text = np.array(text, dtype=np.int64)
-
-    def _set(self, h: np.ndarray, sizes: np.ndarray, blocks: np.ndarray) -> None:
-        owner = np.repeat(np.arange(len(sizes)), sizes)
-        base = (blocks * BLOCK)[owner] if len(owner) else owner
-        within = owner[:-1] == owner[1:]
-        pairs = ((h[:-1] * 1_000_003) ^ h[1:])[within] % BLOCK + base[:-1][within]
-        self.flat = np.concatenate([h % BLOCK + base, pairs])
-        self.owner = np.concatenate([owner, owner[:-1][within]])
-        self.n = len(sizes)
+    """Features of the sentences of some texts: ``flat``, with the number of each sentence in
+    ``sizes`` (none is empty) and the text of each sentence in ``text``."""
 
-    @classmethod
-    def of(cls, flat: np.ndarray, owner: np.ndarray, n: int) -> Batch:
-        b = cls.__new__(cls)
-        b.flat, b.owner, b.n = flat, owner, n
-        return b
+    def __init__(self, flat: np.ndarray, sizes: np.ndarray, text: np.ndarray):
+        self.flat, self.sizes, self.text, self.n = flat, sizes, text, len(sizes)
 
-    def take(self, keep: np.ndarray) -> Batch:
-        """The sentences where ``keep`` holds, renumbered."""
-        number = np.cumsum(keep) - 1
-        at = keep[self.owner]
-        return Batch.of(self.flat[at], number[self.owner[at]], int(keep.sum()))
+    @classmethod
+    def of_texts(cls, texts: list[str | None]) -> Batch:
+        found = [features_of(t) for t in texts]
+        text = np.repeat(np.arange(len(texts)), [len(s) for _, s in found]) if texts else np.zeros(0, dtype=np.int64)
+        return cls(np.concatenate([np.zeros(0, dtype=np.int32), *(f for f, _ in found)]), np.concatenate([np.zeros(0, dtype=np.int32), *(s for _, s in found)]), text)
 
-    def plus(self, other: Batch) -> Batch:
-        return Batch.of(np.concatenate([self.flat, other.flat]), np.concatenate([self.owner, other.owner + self.n]), self.n + other.n)
+    @classmethod
+    def of_arrow(cls, batch: pa.RecordBatch) -> Batch:
+        """From the columns ``flat`` and ``sizes``, without a Python object per value."""
+        flat, sizes = batch.column("flat"), batch.column("sizes")
+        starts = sizes.offsets.to_numpy()
+        return cls(flat.flatten().to_numpy(zero_copy_only=False), sizes.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(sizes)), np.diff(starts)))
+
+    @property
+    def owner(self) -> np.ndarray:
+        return np.repeat(np.arange(self.n), self.sizes)
+
+    def take(self, keep_: np.ndarray) -> Batch:
+        """The sentences where ``keep_`` holds."""
+        return Batch(self.flat[np.repeat(keep_, self.sizes)], self.sizes[keep_], self.text[keep_])
+
+    def only(self, buckets: np.ndarray) -> Batch:
+        """The features where ``buckets`` holds; sentences that lose all of theirs are left out."""
+        at = buckets[self.flat]
+        left = np.bincount(self.owner[at], minlength=self.n)
+        return Batch(self.flat[at], left[left > 0], self.text[left > 0])
 
     def count(self, weights: np.ndarray) -> np.ndarray:
         """Feature counts per subject; ``weights``: sentences by subjects."""
-        return np.array([np.bincount(self.flat, weights=weights[self.owner, c], minlength=BUCKETS) for c in range(weights.shape[1])])
+        owner = self.owner
+        return np.array([np.bincount(self.flat, weights=weights[owner, c], minlength=BUCKETS) for c in range(weights.shape[1])])
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -143,37 +152,28 @@ class SubjectModel:
         own = (n + prior) / (n.sum(2, keepdims=True) + strength)
         rest = (rest + prior) / (rest.sum(2, keepdims=True) + strength)
         # log odds of a feature under the subject against its complement
-        self.w = np.log(own / rest).reshape(k, BUCKETS).astype(np.float32)
+        w = np.log(own / rest).reshape(k, BUCKETS)
         # words that documents of every subject hold, as those of set phrases, say little of any
         d = held.reshape(blocks, BLOCK)
         idf = np.log((d.max(1, keepdims=True) + 1) / (d + 1)) / np.log(k)
-        self.w *= (np.clip(idf, 0.0, 1.0) ** 2).reshape(1, BUCKETS).astype(np.float32)
+        self.w = np.ascontiguousarray((w * (np.clip(idf, 0.0, 1.0) ** 2).reshape(1, BUCKETS)).T.astype(np.float32))
         self.slope, self.shift = np.full(k, 0.5), np.full(k, -2.0)
 
     def evidence(self, xs: Batch) -> np.ndarray:
-        """Per sentence and subject: the summed log odds of its features."""
-        out = np.zeros((xs.n, len(self.subjects)))
-        if len(xs.flat):
-            for c in range(len(self.subjects)):
-                out[:, c] = np.bincount(xs.owner, weights=self.w[c][xs.flat], minlength=xs.n)
-        return out
-
-    def margins(self, xs: Batch) -> np.ndarray:
-        """The evidence for each subject less that for the strongest other one."""
-        out = self.evidence(xs)
-        if not len(out):
-            return out
-        top = np.sort(out, axis=1)
-        best, second = top[:, -1:], top[:, -2:-1]
-        return out - np.where(out >= best, second, best)
+        """Per sentence and subject: the summed log odds of its features, subject against complement."""
+        if not xs.n:
+            return np.zeros((0, len(self.subjects)))
+        starts = np.cumsum(xs.sizes) - xs.sizes
+        return np.add.reduceat(self.w[xs.flat], starts, axis=0).astype(np.float64)
 
     def posteriors(self, xs: Batch) -> np.ndarray:
-        z = self.margins(xs) * self.slope + self.shift
+        """Per sentence and subject, each subject on its own."""
+        z = self.evidence(xs) * self.slope + self.shift
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
-    def calibrate(self, xs: Batch, labels: np.ndarray, steps: int = 300) -> None:
-        """Platt scaling, each subject on its own. ``labels`` -1: of no subject."""
-        m = self.margins(xs)
+    def calibrate(self, m: np.ndarray, labels: np.ndarray, steps: int = 300) -> None:
+        """Platt scaling, each subject on its own. ``m``: evidence of sentences that the model that
+        gave it had not seen; ``labels`` -1: of no subject."""
         for c in range(len(self.subjects)):
             x, y = np.clip(m[:, c], -40, 40), (labels == c).astype(float)
             pos = y.sum()
@@ -195,55 +195,59 @@ class SubjectModel:
             self.slope[c], self.shift[c] = min(max(a, 0.05), 3.0), b
 
 
-def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int = 100_000, labelled_weight: float = 5.0) -> SubjectModel:
+_FEATURES = "flat array<int>, sizes array<int>"
+
+
+def featurize(documents: DataFrame) -> DataFrame:
+    """``doc_id, flat, sizes``: the features of each document, computed once and kept as a table that
+    all rounds read."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            found = [features_of(t) for t in pdf["text"]]
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "flat": [f for f, _ in found], "sizes": [n for _, n in found]})
+
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return keep(documents.select("doc_id", "text").filter("doc_id is not null and text is not null").mapInPandas(work, f"doc_id {kind}, {_FEATURES}"))
+
+
+def train(features: DataFrame, examples: DataFrame, rounds: int = 4, bound: int = 100_000, labelled_weight: float = 5.0, folds: int = 5) -> SubjectModel:
     """Fit on at most ``bound`` labelled examples, then ``rounds`` of EM over all documents. Each
     round gathers at most ``BUCKETS`` rows of summed counts, whatever the corpus holds."""
     rows = examples.select("example_id", "subject_code", "text").filter("text is not null and subject_code is not null").distinct().orderBy("example_id").limit(bound).collect()
     subjects = sorted({r["subject_code"] for r in rows})
-    feats = Batch([r["text"] for r in rows], whole=True)
-    labels = np.array([subjects.index(r["subject_code"]) for r in rows])[feats.text]
+    feats = Batch.of_texts([r["text"] for r in rows])
+    labels = np.array([subjects.index(r["subject_code"]) for r in rows], dtype=np.int64)[feats.text]
     own = np.eye(len(subjects))[labels]
     base = feats.count(own)
-    docs = documents.select("text").filter(F.col("text").isNotNull())
+    docs = features.select("flat", "sizes")
 
-    def tally(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, within = np.zeros(BUCKETS), np.zeros(BUCKETS)
-        for pdf in batches:
-            xs = Batch(list(pdf["text"]))
+        for batch in batches:
+            xs = Batch.of_arrow(batch)
             total += np.bincount(xs.flat, minlength=BUCKETS)
-            if len(xs.flat):
-                once = np.unique(xs.text[xs.owner] * BUCKETS + xs.flat) % BUCKETS
-                within += np.bincount(once, minlength=BUCKETS)
+            once = np.unique(xs.text[xs.owner] * BUCKETS + xs.flat) % BUCKETS
+            within += np.bincount(once.astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
-        yield pd.DataFrame({"bucket": at.astype("int32"), "n": total[at], "d": within[at]})
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(total[at]), pa.array(within[at])], names=["bucket", "n", "d"])
 
     corpus, held = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for bucket, n, d in docs.mapInPandas(tally, "bucket int, n double, d double").groupBy("bucket").agg(F.sum("n"), F.sum("d")).collect():
-        corpus[bucket], held[bucket] = n, d  # at most BUCKETS rows
-    model = SubjectModel(subjects, base, corpus, held)
-    # sentences of no subject: what is left of the examples without all but their common words
-    common = (base > 0).sum(0) > len(subjects) // 3
-    quiet = Batch.of(feats.flat[common[feats.flat]], feats.owner[common[feats.flat]], feats.n)
-    quiet = quiet.take(np.bincount(quiet.owner, minlength=quiet.n) > 0)
-
-    def calibrated(m: SubjectModel) -> SubjectModel:
-        m.calibrate(feats.plus(quiet), np.concatenate([labels, np.full(quiet.n, -1)]))
-        return m
-
-    # the base model has seen the examples: calibrate it on a fold that it has not
-    folds = np.arange(feats.n) % 5
-    part = SubjectModel(subjects, feats.take(folds > 0).count(own[folds > 0]), corpus, held)
-    part.calibrate(feats.take(folds == 0).plus(quiet), np.concatenate([labels[folds == 0], np.full(quiet.n, -1)]))
-    model.slope, model.shift = part.slope, part.shift
-    spark = documents.sparkSession
+    summed = docs.mapInArrow(tally, "bucket int, n double, d double").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("d").alias("d")).toArrow()
+    at = summed["bucket"].to_numpy()  # at most BUCKETS rows
+    corpus[at], held[at] = summed["n"].to_numpy(), summed["d"].to_numpy()
+    counts = base
+    model = SubjectModel(subjects, counts, corpus, held)
+    spark = features.sparkSession
     for _ in range(rounds):
         shared = spark.sparkContext.broadcast(model)  # BUCKETS x subjects floats
 
-        def expect(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+        def expect(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             m = shared.value
-            total = np.zeros((len(m.subjects), BUCKETS), dtype=np.float32)
-            for pdf in batches:
-                xs = Batch(list(pdf["text"]))
+            k = len(m.subjects)
+            total = np.zeros((k, BUCKETS))
+            for batch in batches:
+                xs = Batch.of_arrow(batch)
                 if not xs.n:
                     continue
                 z = m.evidence(xs)
@@ -252,44 +256,52 @@ def train(documents: DataFrame, examples: DataFrame, rounds: int = 4, bound: int
                 # for; its own evidence only chooses among them. Set phrases, which occur in
                 # documents of every subject, so spread over all and come to mean none.
                 owner = xs.text
-                sums = np.zeros((len(pdf), p.shape[1]))
-                np.add.at(sums, owner, p)
-                others = (sums[owner] - p) / np.maximum(1, np.bincount(owner, minlength=len(pdf))[owner] - 1)[:, None]
-                p = _softmax(np.clip(z - z.max(1, keepdims=True), -1.5, 0.0) + np.log(others + 0.005))
+                sums = np.array([np.bincount(owner, weights=p[:, c], minlength=batch.num_rows) for c in range(k)]).T
+                others = (sums[owner] - p) / np.maximum(1, np.bincount(owner, minlength=batch.num_rows)[owner] - 1)[:, None]
+                p = _softmax(np.clip(z - z.max(1, keepdims=True), -1.5, 0.0) + np.log(np.maximum(others, 0) + 0.005))
                 p[p.max(1) < 0.5] = 0.0
-                total += xs.count(p).astype(np.float32)
+                total += xs.count(p)
             at = np.flatnonzero(total.sum(0) > 0)
-            yield pd.DataFrame({"bucket": at.astype("int32"), "n": [x.tolist() for x in total[:, at].T]})
+            yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), *(pa.array(total[c, at]) for c in range(k))], names=["bucket", *(f"n{c}" for c in range(k))])
 
-        summed = docs.mapInPandas(expect, "bucket int, n array<double>").groupBy("bucket").agg(F.array(*[F.sum(F.col("n")[c]) for c in range(len(subjects))]).alias("n"))
+        names = [f"n{c}" for c in range(len(subjects))]
+        summed = docs.mapInArrow(expect, ", ".join(["bucket int", *(f"{x} double" for x in names)])).groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names]).toArrow()
         counts = base * labelled_weight
-        for bucket, n in summed.collect():
-            counts[:, bucket] += n
-        model = calibrated(SubjectModel(subjects, counts, corpus, held))
+        at = summed["bucket"].to_numpy()
+        for c, x in enumerate(names):
+            counts[c, at] += summed[x].to_numpy()
+        model = SubjectModel(subjects, counts, corpus, held)
         shared.unpersist()
+    # sentences of no subject: what is left of the examples without all but their common words
+    quiet = feats.only((base > 0).sum(0) > len(subjects) // 3)
+    # each fold of the examples is judged by a model without that fold's counts
+    weight = labelled_weight if rounds else 1.0
+    seen, truth = [], []
+    for f in range(folds):
+        there, silent = feats.text % folds == f, quiet.text % folds == f
+        part = SubjectModel(subjects, np.maximum(counts - weight * feats.take(there).count(own[there]), 0.0), corpus, held)
+        seen += [part.evidence(feats.take(there)), part.evidence(quiet.take(silent))]
+        truth += [labels[there], np.full(int(silent.sum()), -1)]
+    if len(labels):
+        model.calibrate(np.concatenate(seen), np.concatenate(truth))
     return model
 
 
-def subjects_of(texts: list[str | None], model: SubjectModel, share: float = 0.2) -> list[list[tuple[str, float]]]:
+def subjects_of(xs: Batch, texts: int, model: SubjectModel, share: float = 0.2) -> list[list[tuple[str, float]]]:
     """Per text: (subject, share of sentences). A single stray sentence does not count where the
     text has another subject."""
-    xs = Batch(texts, whole=True)
-    out: list[list[tuple[str, float]]] = [[] for _ in texts]
+    out: list[list[tuple[str, float]]] = [[] for _ in range(texts)]
     if not xs.n:
         return out
     p = model.posteriors(xs)
-    starts = np.searchsorted(xs.text, np.arange(len(texts) + 1))
-    for i in range(len(texts)):
+    starts = np.searchsorted(xs.text, np.arange(texts + 1))
+    for i in range(texts):
         own = p[starts[i] : starts[i + 1]]
         size = len(own)
         if not size:
             continue
-        best = own.argmax(1)
-        top = own[np.arange(size), best]
-        support = np.bincount(best[top >= 0.25], minlength=len(model.subjects))
         # half the posterior will do where another sentence of the document speaks for the subject
-        sure = (top >= 0.5) | ((top >= 0.25) & (support[best] >= 2))
-        n = np.bincount(best[sure], minlength=len(model.subjects))
+        n = ((own >= 0.5) | ((own >= 0.25) & ((own >= 0.25).sum(0) >= 2))).sum(0)
         most = n.max()
         if not most:
             out[i] = [(model.subjects[int(own.sum(0).argmax())], 0.0)]
@@ -303,13 +315,16 @@ def assign_subjects(documents: DataFrame, examples: DataFrame, model: SubjectMod
     """``doc_id, subject_code, share``."""
     spark = documents.sparkSession
     ship_package(spark)
-    model = model or train(documents, examples, rounds)
+    features = featurize(documents)
+    model = model or train(features, examples, rounds)
     shared = spark.sparkContext.broadcast(model)
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for pdf in batches:
-            out = [(d, s, v) for d, found in zip(pdf["doc_id"], subjects_of(list(pdf["text"]), m, share)) for s, v in found]
-            yield pd.DataFrame(out, columns=["doc_id", "subject_code", "share"]).astype({"doc_id": "int64", "share": "float64"})
+        for batch in batches:
+            found = subjects_of(Batch.of_arrow(batch), batch.num_rows, m, share)
+            n = np.repeat(np.arange(len(found)), [len(x) for x in found])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(n)), pa.array([s for x in found for s, _ in x], pa.string()), pa.array([float(v) for x in found for _, v in x], pa.float64())], names=["doc_id", "subject_code", "share"])
 
-    return documents.select("doc_id", "text").filter("doc_id is not null").mapInPandas(work, "doc_id bigint, subject_code string, share double")
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    return features.mapInArrow(work, f"doc_id {kind}, subject_code string, share double")

@@ -418,7 +418,7 @@ def test_subjects_on_held_out_examples(spark):
     ex = spark.read.parquet("/root/testdata/sf0.01/subject_examples.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     test = ex.filter("example_id % 4 = 0").select(F.col("example_id").alias("doc_id"), "text", F.lit("x").alias("share"))
-    model = subjects.train(docs, ex.filter("example_id % 4 <> 0"), rounds=2)
+    model = subjects.train(subjects.featurize(docs), ex.filter("example_id % 4 <> 0"), rounds=2)
     got = subjects.assign_subjects(test, ex, model).join(ex.select(F.col("example_id").alias("doc_id"), F.col("subject_code").alias("truth")), "doc_id").collect()
     assert sum(r["subject_code"] == r["truth"] for r in got) >= 0.85 * test.count()
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "???"), (None, "x")], "doc_id bigint, text string")
@@ -426,6 +426,31 @@ def test_subjects_on_held_out_examples(spark):
     assert subjects.assign_subjects(empty(odd), ex, model).count() == 0
 
 
+def test_features_are_those_of_brute_force():
+    text = "Die Pumpe ist nicht dicht. Sie wird nach der Messung ersetzt!\n- Kurz und klar."
+    flat, sizes = subjects.features_of(text)
+    base, want = subjects.language_of(re.findall(r"\w+", text.lower())) * subjects.BLOCK, []
+    for s in subjects.sentences_of(text):
+        h = [subjects._bucket(w) for w in re.findall(r"\w+", s.lower())]
+        want.append(sorted([x % subjects.BLOCK + base for x in h] + [((a * 1_000_003) ^ b) % subjects.BLOCK + base for a, b in zip(h, h[1:])]))
+    assert [sorted(x.tolist()) for x in np.split(flat, np.cumsum(sizes)[:-1])] == want
+    assert [len(x) for x in subjects.features_of("")] == [0, 0] and subjects.features_of("?!")[1].tolist() == [1]
+
+
+def test_posteriors_are_independent():
+    """What another subject's evidence is changes nothing in a subject's own posterior."""
+    rng = np.random.default_rng(1)
+    counts = np.zeros((3, subjects.BUCKETS))
+    counts[:, :50] = rng.integers(0, 9, (3, 50))
+    m = subjects.SubjectModel(list("abc"), counts, counts.sum(0), (counts > 0).sum(0).astype(float))
+    xs = subjects.Batch(np.arange(50, dtype=np.int32), np.array([20, 30]), np.array([0, 1]))
+    before = m.posteriors(xs)
+    m.w = m.w.copy()
+    m.w[:, 1] += 5.0
+    after = m.posteriors(xs)
+    assert np.allclose(before[:, [0, 2]], after[:, [0, 2]]) and (after[:, 1] > before[:, 1]).all()
+
+
 def test_words_are_whole():
     assert re.fullmatch(scan_noise.WORD, "end-diastolic") and leakage.words_of("A-b, 7.9\nC") == ["a", "b", "7", "9", "c"]
 
