@@ -37,20 +37,25 @@ FUNCTION_WORDS = {
 LANGUAGES = [*FUNCTION_WORDS, "other"]
 BUCKETS = BLOCK * len(LANGUAGES)
 _WORD = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
+_OPEN_END, _CLOSED = re.compile(r"[.!?…:;,]\s*$"), re.compile(r"[.!?…][\"”’»)\]]*$")
 _SPLIT = re.compile(r"(?<=[.!?…])[\"”’»)\]]*\s+(?=[\"“„«(\[¿¡]?[^\W_a-z])|\n\s*\n|\n(?=\s*(?:[•*–-]|\d+[.)])\s)")
 
 
-def sentences_of(text: str | None) -> list[str]:
-    """Sentences and list items; lines without an end mark that stand alone (titles) are none."""
-    out = []
+def _parts(text: str | None) -> Iterator[tuple[str, list[str]]]:
+    """Sentences and list items with their words; lines without an end mark that stand alone
+    (titles) are none."""
     for part in _SPLIT.split(text or ""):
         head, _, rest = part.partition("\n")
-        if rest and len(head) < 80 and not re.search(r"[.!?…:;,]\s*$", head) and rest[:1].isupper() and head[:1].isupper() and len(head.split()) <= 8:
+        if rest and len(head) < 80 and rest[:1].isupper() and head[:1].isupper() and not _OPEN_END.search(head) and len(head.split()) <= 8:
             part = rest  # a title on the line before
         s = part.strip()
-        if re.search(r"[.!?…][\"”’»)\]]*$", s) and len(_WORD.findall(s)) >= 2 or len(_WORD.findall(s)) >= 9:
-            out.append(s)
-    return out
+        words = _WORD.findall(s.lower())
+        if len(words) >= 9 or len(words) >= 2 and _CLOSED.search(s):
+            yield s, words
+
+
+def sentences_of(text: str | None) -> list[str]:
+    return [s for s, _ in _parts(text)]
 
 
 _SPOKEN: dict[str, tuple[int, ...]] = {}
@@ -79,7 +84,7 @@ def features_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     number per sentence. A text without sentences that is not blank counts as one."""
     if not (text or "").strip():
         return np.zeros(0, dtype=np.int32), np.zeros(0, dtype=np.int32)
-    words = [w for w in (_WORD.findall(s.lower()) for s in sentences_of(text) or [text]) if w] or [[""]]
+    words = [w for _, w in _parts(text)] or [_WORD.findall(text.lower()) or [""]]
     base = language_of([w for ws in words for w in ws]) * BLOCK
     h = np.array([_bucket(w) for ws in words for w in ws], dtype=np.int64)
     n = np.array([len(ws) for ws in words])
@@ -127,8 +132,12 @@ class Batch:
 
     def count(self, weights: np.ndarray) -> np.ndarray:
         """Feature counts per subject; ``weights``: sentences by subjects."""
-        owner = self.owner
-        return np.array([np.bincount(self.flat, weights=weights[owner, c], minlength=BUCKETS) for c in range(weights.shape[1])])
+        k = weights.shape[1]
+        out = np.zeros((BUCKETS, k))
+        for c in range(k):
+            some = weights[:, c] > 1e-6  # most sentences count for one subject or two
+            out[:, c] = np.bincount(self.flat[np.repeat(some, self.sizes)], weights=np.repeat(weights[some, c], self.sizes[some]), minlength=BUCKETS)
+        return out.T
 
 
 def _softmax(z: np.ndarray) -> np.ndarray:
@@ -227,8 +236,9 @@ def train(features: DataFrame, examples: DataFrame, rounds: int = 4, bound: int
         for batch in batches:
             xs = Batch.of_arrow(batch)
             total += np.bincount(xs.flat, minlength=BUCKETS)
-            once = np.unique(xs.text[xs.owner] * BUCKETS + xs.flat) % BUCKETS
-            within += np.bincount(once.astype(np.int64), minlength=BUCKETS)
+            ends = np.cumsum(np.bincount(xs.text, weights=xs.sizes, minlength=batch.num_rows)).astype(np.int64)
+            once = [np.unique(x) for x in np.split(xs.flat, ends[:-1])]  # short sorts, text by text
+            within += np.bincount(np.concatenate(once), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype("int32")), pa.array(total[at]), pa.array(within[at])], names=["bucket", "n", "d"])
 
