@@ -18,7 +18,7 @@ import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -72,6 +72,7 @@ _ANSWER_KEY = re.compile(r'"(?:answer|response|antwort|réponse|respuesta)"\s*:\
 _ANSWER_MARK = re.compile(r"^[\s>*#]*(?:answer|antwort|réponse|respuesta)\W{0,3}:\**[ \t]*", re.I | re.M)
 _CITATIONS = re.compile(r"^[\s>*#]*(?:citations?|sources?|quellen|fuentes)\W{0,3}:.*", re.I | re.M | re.S)
 _WORD = re.compile(r"[^\W_]+(?:[-'’][^\W_]+)*")
+_DIGITS, _MARKUP = re.compile(r"\d+"), re.compile(r"<[^<>]{0,20}>")
 _BARE_NIC = re.compile(r"^\W*not[\W_]*in[\W_]*context\W*$", re.I)
 
 
@@ -104,7 +105,7 @@ def answer_of(raw: str | None) -> tuple[str, bool]:
 
 
 def words_of(text: str) -> list[str]:
-    return [re.sub(r"\d+", "0", w.lower()) for w in _WORD.findall(text)]
+    return _WORD.findall(_DIGITS.sub("0", text.lower()))
 
 
 def _h(text: str, n: int) -> int:
@@ -115,8 +116,8 @@ def _h(text: str, n: int) -> int:
 class Features:
     """Language models and word statistics, then vectors of a question and an answer."""
 
-    grams: dict[str, np.ndarray] = field(default_factory=dict)
-    lexicon: dict[str, np.ndarray] = field(default_factory=dict)
+    grams: np.ndarray | None = None
+    lexicon: np.ndarray | None = None
     count: np.ndarray | None = None
     ends: np.ndarray | None = None
     pair_count: np.ndarray | None = None
@@ -126,23 +127,31 @@ class Features:
         """``grams``, ``texts``: per language, trigrams and texts with a word, by hash bucket. A word
         is known from two texts on; where more than a quarter of the buckets would be known, from
         as many as keep it at that, so that a lexicon does not end up knowing everything."""
+        counts = grams + 0.1
+        self.grams = np.log(counts / counts.sum(1, keepdims=True))
+        self.lexicon = np.zeros(texts.shape, dtype=bool)
         for k, g in enumerate(LANGUAGES):
-            counts = grams[k] + 0.1
-            self.grams[g] = np.log(counts / counts.sum())
             fourth = int(np.partition(texts[k], -(LEXICON // 4))[-(LEXICON // 4)])
             known = texts[k] >= max(2, fourth + 1)
             known[[_word_id(w) for w in FUNCTION_WORDS[g]]] = True
-            self.lexicon[g] = known
+            self.lexicon[k] = known
 
     def language(self, words: list[str]) -> dict[str, tuple[float, float]]:
         """Per language: mean log probability of character trigrams; share of known words."""
-        tri = [t for w in words if not w.startswith("0") for t in _trigram_ids(w)]
-        alpha = [_word_id(w) for w in words if not w.startswith("0")]
-        return {g: (float(self.grams[g][tri].mean()) if tri else 0.0, float(self.lexicon[g][alpha].mean()) if alpha else 0.0) for g in LANGUAGES}
+        alpha = [w for w in words if not w.startswith("0")]
+        tri = [t for w in alpha for t in _trigram_ids(w)]
+        if not alpha:
+            return dict.fromkeys(LANGUAGES, (0.0, 0.0))
+        lead, known = self.grams[:, tri].mean(1), self.lexicon[:, [_word_id(w) for w in alpha]].mean(1)
+        return {g: (float(lead[k]), float(known[k])) for k, g in enumerate(LANGUAGES)}
+
+    def spoken(self, words: list[str]) -> str:
+        s = self.language(words)
+        return max(LANGUAGES, key=lambda g: s[g][0] + 3 * s[g][1])
 
     def vector(self, question: str | None, answer: str, broken: bool, hide: str | None = None) -> tuple[list[int], list[float]]:
         """(hashed n-gram buckets, pair features). ``hide``: a language to take for unknown."""
-        body = re.sub(r"<[^<>]{0,20}>", " ", answer).strip().strip("`*_#​\xa0 \n")
+        body = _MARKUP.sub(" ", answer).strip().strip("`*_#​\xa0 \n")
         aw, qw = words_of(body), words_of(question or "")
         idx = [_h(f"{n}:" + " ".join(aw[i : i + n]), HASHED) for n in (1, 2, 3) for i in range(len(aw) - n + 1)]
         tail = aw[-3:]
@@ -249,24 +258,22 @@ class DefectModel:
         return [LABELS[k] if over[i, k] >= 0 else None for i, k in enumerate(best)], p
 
 
-def _break(rng: np.random.Generator, pairs: list[tuple[str, str]], features: Features) -> tuple[list, list]:
-    """Synthetic pairs of each defect, and sound variants, from sound pairs."""
-    rows, labels = [], []
+def _break(rng: np.random.Generator, pairs: list[tuple[str, str]], features: Features) -> tuple[list, list, list[tuple[int, int]]]:
+    """Synthetic pairs of each defect, and sound variants, from the table's pairs; with each the
+    two pairs that it is made of."""
+    rows, labels, made_of = [], [], []
 
-    def add(q: str, a: str, label: str | None, broken: bool = False, hide: str | None = None) -> None:
+    def add(q: str, a: str, label: str | None, broken: bool = False, hide: str | None = None, other: int | None = None) -> None:
         rows.append(features.vector(q, a, broken, hide))
         labels.append([float(label == x) for x in LABELS])
+        made_of.append((at_pair, at_pair if other is None else other))
 
-    language = {}
-    for q, _ in pairs:
-        s = features.language(words_of(q))
-        language[q] = max(LANGUAGES, key=lambda g: s[g][0] + 3 * s[g][1])
+    language = {q: features.spoken(words_of(q)) for q in {q for q, _ in pairs}}
     by_language = defaultdict(list)
-    for q, a in pairs:
-        s = features.language(words_of(a))
-        by_language[max(LANGUAGES, key=lambda g: s[g][0] + 3 * s[g][1])].append(a)
+    for i, (_, a) in enumerate(pairs):
+        by_language[features.spoken(words_of(a))].append(i)
     pick = lambda xs: xs[int(rng.integers(len(xs)))]
-    for q, a in pairs:
+    for at_pair, (q, a) in enumerate(pairs):
         w = a.split()
         add(q, a, None)
         if re.search(r"[.!]$", a) and rng.random() < 0.6:
@@ -300,17 +307,18 @@ def _break(rng: np.random.Generator, pairs: list[tuple[str, str]], features: Fea
             rest = [g for g in LANGUAGES if g != own and by_language[g]]
             if rest:
                 g = pick(rest)
-                other = pick(by_language[g])
+                from_ = pick(by_language[g])
+                other = pairs[from_][1]
                 if len(words_of(other)) >= 5:
-                    lead = pick(["", "", "", "", "Yes. ", "No. ", f"{pick(by_language[own]).split()[0]} "]) if by_language[own] else ""
-                    add(q, lead + other, "other_language", False, g if rng.random() < 0.5 else None)
+                    lead = pick(["", "", "", "", "Yes. ", "No. ", f"{a.split()[0]} "])
+                    add(q, lead + other, "other_language", False, g if rng.random() < 0.5 else None, from_)
                     if len(w) >= 8:  # a short quotation in another language: sound
                         quote = " ".join(other.split()[:3])
                         at = len(w) // 2
-                        add(q, " ".join([*w[:at], f"“{quote}”", *w[at:]]), None)
+                        add(q, " ".join([*w[:at], f"“{quote}”", *w[at:]]), None, other=from_)
         if rng.random() < 0.2:
             add(q, pick(FILLERS), "empty")
-    return rows, labels
+    return rows, labels, made_of
 
 
 #: A word as the JVM finds it, and two in a row. The second one is looked ahead at, so that it
@@ -380,8 +388,8 @@ def count_languages(generations: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 def train(generations: DataFrame, sample_rows: int = 3000, seed: int = 224, rounds: int = 3) -> DefectModel:
     """Fit on at most ``sample_rows`` records, a bounded sample, with word and language statistics
-    of all. In each round records that the
-    last model judges broken leave the sound ones; clear cases join the broken ones."""
+    of all. In each round records that the last model judges broken leave the sound ones; clear
+    cases join the broken ones."""
     ok = eligible(generations)
     f = Features()
     f.count, f.ends = _sketch(ok, _found(_W, 0)), _sketch(ok, _found(f"({_W}){_END}", 1))
@@ -390,24 +398,24 @@ def train(generations: DataFrame, sample_rows: int = 3000, seed: int = 224, roun
     pairs = [p for _, q, raw in rows if (p := _pair(q, raw))]
     f.fit_languages(*count_languages(ok))
     rng = np.random.default_rng(seed)
-    model, extra_rows, extra_labels = None, [], []
-    sound = pairs
+    # every pair is broken once; a round takes those rows whose pairs it thinks sound
+    rows_, labels_, made_of = _break(rng, pairs, f)
+    asis = [f.vector(q, a, False) for q, a in pairs]
+    y, made = np.array(labels_), np.array(made_of)
+    # calibrated on pairs that no row of the fit is made of
+    held = rng.random(len(pairs)) < 0.2
+    model, sound, extra = None, np.ones(len(pairs), dtype=bool), []
     for _ in range(rounds + 1):
         if model is not None:
-            found, p = model.decide([f.vector(q, a, False) for q, a in pairs])
-            sound = [x for x, k, q in zip(pairs, found, p) if k is None and q.max() < 0.15]
-            sure = [i for i in range(len(pairs)) if found[i] in ("refusal", "other_language", "copies_question") and p[i].max() > 0.9]
-            extra_rows = [f.vector(*pairs[i], False) for i in sure]
-            extra_labels = [[float(found[i] == x) for x in LABELS] for i in sure]
-        rows_, labels_ = _break(rng, sound, f)
-        rows_, labels_ = rows_ + extra_rows, labels_ + extra_labels
-        y = np.array(labels_)
-        order = rng.permutation(len(rows_))
-        held = order[: len(order) // 5]
-        used = order[len(order) // 5 :]
-        model = DefectModel(f, len(rows_[0][1]))
-        model.fit([rows_[i] for i in used], y[used], seed)
-        model.calibrate([rows_[i] for i in held], y[held])
+            found, p = model.decide(asis)
+            sound = np.array([k is None for k in found]) & (p.max(1) < 0.15)
+            extra = [i for i in np.flatnonzero(~held) if found[i] in ("refusal", "other_language", "copies_question") and p[i].max() > 0.9]
+        good = sound[made].all(1)
+        used = np.flatnonzero(good & ~held[made].any(1))
+        model = DefectModel(f, len(asis[0][1]))
+        model.fit([*(rows_[i] for i in used), *(asis[i] for i in extra)], np.concatenate([y[used], np.array([[float(found[i] == x) for x in LABELS] for i in extra]).reshape(-1, len(LABELS))]), seed)
+        test = np.flatnonzero(good & held[made].all(1))
+        model.calibrate([rows_[i] for i in test], y[test])
     return model
 
 
