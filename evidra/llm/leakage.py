@@ -2,15 +2,17 @@
 
 Prefix-filtered set join. The shingles of every item are ordered by their rarity in the whole
 corpus; a document that holds the demanded stretch of an item must hold one of the item's
-rarest shingles (the prefix), so only those are joined. Hits are then bounded by number and by
-position, and the remaining windows of the document are aligned with the item exactly.
+rarest shingles (the prefix), so only those are joined, by hash. A bit array of fixed size lets
+no other shingle of the corpus out of its task. Hits are then bounded by number and by position,
+and the stretches of the document around them are aligned with the item exactly.
 
 A document holds an item if at least ``share`` of the words of one of its texts occur as one
 stretch in their order, with at most one word in ``per_edit`` changed, added or left out.
 
 Defined results: words are runs of letters and digits, case aside; null and empty texts hold
-nothing and are held nowhere; texts of one or two words are ignored; repeated documents count
-each under their own ``doc_id``, repeated rows once; extra columns are ignored.
+nothing and are held nowhere; a text of one or two words is held where all of them stand;
+repeated documents count each under their own ``doc_id``, repeated rows once; extra columns are
+ignored.
 """
 
 from __future__ import annotations
@@ -18,16 +20,22 @@ from __future__ import annotations
 import math
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark import Broadcast
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.lineage import ship_package
+from evidra.lineage import keep, ship_package
 
 _WORD = re.compile(r"[^\W_]+")
+#: The bit array of item shingles: 2^26 bits are 8 MB, whatever the number of items.
+BITS = 26
 
 
 def words_of(text: str | None) -> list[str]:
@@ -37,28 +45,76 @@ def words_of(text: str | None) -> list[str]:
 def demand(n: int, share: float, per_edit: int) -> tuple[int, int]:
     """(least words of a stretch, shingle length) for an item text of ``n`` words. Whatever the
     edits allowed, a stretch keeps one unbroken run of the shingle length."""
-    least = max(2, math.ceil(share * n - 1e-9))
+    least = max(1, math.ceil(share * n - 1e-9))
     run = min(math.ceil((m - m // per_edit) / (m // per_edit + 1)) for m in range(least, n + 1)) if n else 0
-    return least, max(2, min(4, run))
+    return least, max(1, min(4, run))
+
+
+@lru_cache(maxsize=200_000)
+def _word_id(word: str) -> int:
+    return xxhash.xxh64_intdigest(word)
+
+
+def ids_of(words: list[str]) -> np.ndarray:
+    return np.fromiter(map(_word_id, words), dtype=np.uint64, count=len(words))
+
+
+def shingles_of(ids: np.ndarray, k: int) -> np.ndarray:
+    """The 64-bit numbers of all runs of ``k`` words. Two runs may share one: candidates are
+    aligned word by word afterwards."""
+    n = max(0, len(ids) - k + 1)
+    h = np.full(n, k, dtype=np.uint64)
+    for j in range(k):
+        h = h * np.uint64(0x9E3779B97F4A7C15) + ids[j : j + n]
+    h ^= h >> np.uint64(29)
+    return (h * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
+def _place(h: np.ndarray) -> np.ndarray:
+    return (h.view(np.uint64) >> np.uint64(64 - BITS)).astype(np.int64)
 
 
 class Needle:
-    """One text of an item, with its shingles by position."""
+    """One text of an item."""
 
-    __slots__ = ("item", "words", "least", "k", "shingles", "prefix", "need")
+    __slots__ = ("words", "least", "k", "need", "places", "known")
 
-    def __init__(self, item: str, words: list[str], share: float, per_edit: int):
-        self.item, self.words = item, words
+    def __init__(self, words: list[str], share: float, per_edit: int):
+        self.words = words
         self.least, self.k = demand(len(words), share, per_edit)
-        self.shingles = [" ".join(words[i : i + self.k]) for i in range(len(words) - self.k + 1)]
         # least number of common shingles over every admissible stretch, edits breaking k each
         self.need = max(1, min((m - self.k + 1) - self.k * (m // per_edit) for m in range(self.least, len(words) + 1)))
-        self.prefix: set[str] = set()
-
-    def order(self, rarity: dict[str, int]) -> None:
-        """Keep the prefix: all but the ``need - 1`` most frequent shingles."""
-        ranked = sorted(range(len(self.shingles)), key=lambda i: (rarity.get(self.shingles[i], 0), self.shingles[i]))
-        self.prefix = {self.shingles[i] for i in ranked[: len(ranked) - self.need + 1]}
+        self.places: dict[int, list[int]] = defaultdict(list)
+        for j, h in enumerate(shingles_of(ids_of(words), self.k).tolist()):
+            self.places[h].append(j)
+        self.known = np.array(list(self.places), dtype=np.int64)
+
+    def within(self, words: list[str], shingles: dict[int, np.ndarray], per_edit: int) -> bool:
+        """Whether the stretch stands in ``words`` (``shingles``: by length): item-sized windows
+        around common shingles that are in line with one another and of the demanded number,
+        aligned exactly."""
+        if self.k not in shingles:
+            shingles[self.k] = shingles_of(ids_of(words), self.k)
+        common = np.flatnonzero(np.isin(shingles[self.k], self.known))
+        if len(common) < self.need:
+            return False
+        at = [(q, self.places[h]) for q, h in zip(common.tolist(), shingles[self.k][common].tolist())]
+        size, spare, done = len(self.words), len(self.words) // per_edit, -1
+        for p, _ in at:
+            lo, hi = max(0, p - size - spare), min(len(words), p + size + spare)
+            if hi <= done:
+                continue
+            # common shingles of the window, by the place they give the item in the document
+            lines: dict[int, int] = defaultdict(int)
+            for q, places in at:
+                if lo <= q <= hi - self.k:
+                    for j in places:
+                        lines[q - j] += 1
+            if any(sum(c for e, c in lines.items() if abs(e - d) <= 2 * spare + 1) >= self.need for d in lines):
+                done = hi
+                if stretch(self.words, words[lo:hi], self.least, per_edit):
+                    return True
+        return False
 
 
 def stretch(item: list[str], window: list[str], least: int, per_edit: int) -> bool:
@@ -85,132 +141,126 @@ def stretch(item: list[str], window: list[str], least: int, per_edit: int) -> bo
     return False
 
 
-def _starts(shingles) -> dict[str, set[str]]:
-    """First words of shingles, each with the second words that may follow."""
-    out: dict[str, set[str]] = defaultdict(set)
-    for s in shingles:
-        a, b = s.split(" ", 2)[:2]
-        out[a].add(b)
-    return dict(out)
-
-
-def _occurrences(words: list[str], k: int, starts: dict[str, set[str]]) -> Iterator[tuple[int, str]]:
-    """Places of the document where a shingle may begin, by its first two words."""
-    for p in range(len(words) - k + 1):
-        after = starts.get(words[p])
-        if after is not None and words[p + 1] in after:
-            yield p, " ".join(words[p : p + k])
-
-
-class Index:
-    """Prefix shingles of a block of needles."""
-
-    def __init__(self, needles: list[Needle], per_edit: int):
-        self.needles, self.per_edit = needles, per_edit
-        self.by_shingle: dict[int, dict[str, list[int]]] = defaultdict(lambda: defaultdict(list))
-        self.places: list[dict[str, list[int]]] = []
-        for i, n in enumerate(needles):
-            at: dict[str, list[int]] = defaultdict(list)
-            for j, s in enumerate(n.shingles):
-                at[s].append(j)
-            self.places.append(dict(at))
-            for s in n.prefix:
-                self.by_shingle[n.k][s].append(i)
-        self.by_shingle = {k: dict(v) for k, v in self.by_shingle.items()}
-        self.starts = {k: _starts(v) for k, v in self.by_shingle.items()}
-
-    def holds(self, text: str) -> set[str]:
-        words = words_of(text)
-        hits: dict[int, list[int]] = defaultdict(list)
-        for k, table in self.by_shingle.items():
-            for p, s in _occurrences(words, k, self.starts[k]):
-                for i in table.get(s, ()):
-                    hits[i].append(p)
-        out: set[str] = set()
-        for i, at in hits.items():
-            n = self.needles[i]
-            if n.item in out:
-                continue
-            spare = len(n.words) // self.per_edit
-            for lo, hi in self._windows(n, i, at, words, spare):
-                if stretch(n.words, words[lo:hi], n.least, self.per_edit):
-                    out.add(n.item)
-                    break
-        return out
-
-    def _windows(self, n: Needle, i: int, at: list[int], words: list[str], spare: int) -> Iterator[tuple[int, int]]:
-        """Item-sized windows around hits that have the demanded number of common shingles at
-        places in line with one another."""
-        size, done = len(n.words), -1
-        for p in at:
-            lo, hi = max(0, p - size - spare), min(len(words), p + size + spare)
-            if hi <= done:
-                continue
-            # common shingles of the window, by the place they give the item in the document
-            lines: dict[int, int] = defaultdict(int)
-            for q in range(lo, hi - n.k + 1):
-                for j in self.places[i].get(" ".join(words[q : q + n.k]), ()):
-                    lines[q - j] += 1
-            if any(sum(c for e, c in lines.items() if abs(e - d) <= 2 * spare + 1) >= n.need for d in lines):
-                done = hi
-                yield lo, hi
+def needles_of(items: DataFrame, share: float, per_edit: int) -> DataFrame:
+    """``item_id, text, k, need, n, pos, shingle``: the shingles of the questions and answers, each
+    text as its words with blanks between."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for item, question, answer in zip(pdf["id"], pdf["question"], pdf["answer"]):
+                for words in {tuple(words_of(question)), tuple(words_of(answer))} - {()}:
+                    x = Needle(list(words), share, per_edit)
+                    rows += [(item, " ".join(words), x.k, x.need, len(words), j, h) for h, at in x.places.items() for j in at]
+            yield pd.DataFrame(rows, columns=["item_id", "text", "k", "need", "n", "pos", "shingle"])
+
+    known = items.select("id", "question", "answer").filter("id is not null").distinct()
+    return known.mapInPandas(work, "item_id string, text string, k int, need int, n int, pos int, shingle bigint")
+
+
+def _bits(shingles: DataFrame) -> np.ndarray:
+    """A bit per shingle, put together from at most 2^20 words of 64 bits."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = _place(pdf["shingle"].to_numpy(dtype=np.int64))
+            yield pd.DataFrame({"slot": at >> 6, "mask": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
+
+    rows = shingles.select("shingle").mapInPandas(work, "slot bigint, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
+    out = np.zeros(1 << BITS - 6, dtype=np.int64)
+    out[rows["slot"].to_numpy()] = rows["mask"].to_numpy()
+    return out.view(np.uint8)
+
+
+def _known(h: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    at = _place(h)
+    return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _hits(texts: Iterable[str], lengths: list[int], bits: np.ndarray) -> tuple[list[list[str]], np.ndarray, np.ndarray, np.ndarray]:
+    """The words of the texts, and (text, position, shingle) of the shingles that the bits let pass,
+    worked out over all texts at once."""
+    words = [words_of(t) for t in texts]
+    sizes = np.array([len(w) + 1 for w in words], dtype=np.int64)
+    ids = ids_of(list(chain.from_iterable([*w, ""] for w in words)))  # the empty word keeps texts apart
+    begin, owner = np.cumsum(sizes) - sizes, np.repeat(np.arange(len(words)), sizes)
+    at, found = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for k in lengths:
+        h = shingles_of(ids, k)
+        at.append(np.flatnonzero(_known(h, bits)))
+        found.append(h[at[-1]])
+    place = np.concatenate(at)
+    text = owner[place]
+    return words, text, place - begin[text], np.concatenate(found)
+
+
+def _rarity(docs: DataFrame, lengths: list[int], bits: Broadcast) -> DataFrame:
+    """``shingle, df``: in how many documents the items' shingles stand, counted within tasks first."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            _, text, _, h = _hits(pdf["text"], lengths, bits.value)
+            once = pd.DataFrame({"text": text, "shingle": h}).drop_duplicates()
+            yield once.groupby("shingle").size().rename("df").reset_index().astype("int64")
+
+    return docs.select("text").mapInPandas(work, "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
+
+
+def _passages(docs: DataFrame, lengths: list[int], reach: int, bits: Broadcast) -> DataFrame:
+    """``doc_id, words, shingle``: the prefix shingles of each document with the passage around them.
+    Shingles within each other's reach share a passage, so a stretch stands whole in one, and
+    only passages leave the task."""
 
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, text, place, h = _hits(pdf["text"], lengths, bits.value)
+            order = np.lexsort((place, text))
+            text, place, h = text[order], place[order], h[order]
+            new = np.ones(len(text), dtype=bool)
+            new[1:] = (text[1:] != text[:-1]) | (place[1:] - place[:-1] > 2 * reach)
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(text))[: len(first)] - 1
+            passage = [" ".join(words[t][max(0, a - reach) : b + reach]) for t, a, b in zip(text[first].tolist(), place[first].tolist(), place[last].tolist())]
+            own = pd.DataFrame({"passage": np.cumsum(new) - 1, "shingle": h}).drop_duplicates()
+            at = own["passage"].to_numpy()
+            yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[text[first][at]], "words": np.array(passage, dtype=object)[at], "shingle": own["shingle"].to_numpy()}).astype({"doc_id": "int64", "words": object})
 
-def needles_of(items: DataFrame, share: float, per_edit: int, block: int) -> Iterator[list[Needle]]:
-    """The items in blocks of at most ``block`` texts; a table of any size is walked through."""
-    part: list[Needle] = []
-    for row in items.select("id", "question", "answer").distinct().toLocalIterator():
-        for text in (row["question"], row["answer"]):
-            w = words_of(text)
-            if len(w) > 2 and row["id"] is not None:
-                part.append(Needle(row["id"], w, share, per_edit))
-        if len(part) >= block:
-            yield part
-            part = []
-    if part:
-        yield part
+    return docs.mapInPandas(work, "doc_id bigint, words string, shingle bigint")
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, per_edit: int = 8, block: int = 20_000) -> DataFrame:
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, per_edit: int = 8, small_rows: int = 200_000, salts: int = 16) -> DataFrame:
     """``item_id, doc_id``: every document that holds a stretch of an item."""
     spark = documents.sparkSession
     ship_package(spark)
     docs = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    result = None
-    for part in needles_of(items, share, per_edit, block):
-        wanted: dict[int, set[str]] = defaultdict(set)
-        for n in part:
-            wanted[n.k].update(n.shingles)
-        shared = spark.sparkContext.broadcast(dict(wanted))  # bounded by the block
-
-        def count(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            tables = shared.value
-            starts = {k: _starts(v) for k, v in tables.items()}
-            seen: dict[str, int] = defaultdict(int)
-            for pdf in batches:
-                for text in pdf["text"]:
-                    words = words_of(text)
-                    own = set()
-                    for k, table in tables.items():
-                        own.update(s for _, s in _occurrences(words, k, starts[k]) if s in table)
-                    for s in own:
-                        seen[s] += 1
-            yield pd.DataFrame(list(seen.items()), columns=["shingle", "n"])
-
-        # document frequencies of the items' shingles over the whole corpus; as many rows as shingles
-        rarity = dict(docs.select("text").mapInPandas(count, "shingle string, n bigint").groupBy("shingle").agg(F.sum("n").alias("n")).toLocalIterator())
-        for n in part:
-            n.order(rarity)
-        index = spark.sparkContext.broadcast(Index(part, per_edit))
-
-        def probe(batches: Iterator[pd.DataFrame], index=index) -> Iterator[pd.DataFrame]:
-            ix = index.value
-            for pdf in batches:
-                out = [(item, doc) for doc, text in zip(pdf["doc_id"], pdf["text"]) for item in ix.holds(text)]
-                yield pd.DataFrame(out, columns=["item_id", "doc_id"]).astype({"doc_id": "int64"})
-
-        found = docs.mapInPandas(probe, "item_id string, doc_id bigint")
-        result = found if result is None else result.unionByName(found)
-    if result is None:
+    needles = keep(needles_of(items, share, per_edit))
+    size = needles.agg(F.collect_set("k").alias("k"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    if not size["rows"]:
         return spark.createDataFrame([], "item_id string, doc_id bigint")
-    return result.distinct()
+    # item texts of one shingle length are few kinds; a stretch with its edits is never longer
+    lengths, reach = sorted(size["k"]), size["n"] + size["n"] // per_edit + 1
+    rarity = _rarity(docs, lengths, spark.sparkContext.broadcast(_bits(needles)))
+    order = Window.partitionBy("item_id", "text").orderBy(F.coalesce("df", F.lit(0)), "shingle", "pos")
+    ranked = needles.join(rarity, "shingle", "left").withColumn("rank", F.row_number().over(order))
+    prefix = keep(ranked.filter(F.col("rank") <= F.col("n") - F.col("k") + 1 - F.col("need") + 1).select("item_id", "text", "shingle").distinct())
+    found = _passages(docs, lengths, reach, spark.sparkContext.broadcast(_bits(prefix)))
+    if size["rows"] * size["n"] <= small_rows * 40:  # rows times words bound the prefix table's size
+        hits = found.join(F.broadcast(prefix), "shingle")
+    else:  # copies of a leaked item share its shingles, so a shingle is dealt out over salts
+        spread = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+        hits = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["shingle", "salt"])
+        hits = hits.select("item_id", "doc_id", "text", "words").distinct()
+
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needle = lru_cache(maxsize=10_000)(lambda text: Needle(text.split(" "), share, per_edit))
+        for pdf in batches:
+            ok: dict[tuple[str, int], bool] = {}
+            last, words, shingles = None, [], {}
+            for item, doc, text, passage in pdf.drop_duplicates().itertuples(index=False):
+                if passage != last:  # the items of a passage come one after the other
+                    last, words, shingles = passage, passage.split(" "), {}
+                if (item, doc) not in ok and needle(text).within(words, shingles, per_edit):
+                    ok[item, doc] = True
+            yield pd.DataFrame(list(ok), columns=["item_id", "doc_id"]).astype({"doc_id": "int64"})
+
+    return hits.select("item_id", "doc_id", "text", "words").mapInPandas(verify, "item_id string, doc_id bigint").distinct()
