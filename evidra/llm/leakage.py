@@ -77,7 +77,7 @@ def _place(h: np.ndarray) -> np.ndarray:
 class Needle:
     """One text of an item."""
 
-    __slots__ = ("words", "least", "k", "need", "places", "known")
+    __slots__ = ("words", "least", "k", "need", "places")
 
     def __init__(self, words: list[str], share: float, per_edit: int):
         self.words = words
@@ -87,18 +87,14 @@ class Needle:
         self.places: dict[int, list[int]] = defaultdict(list)
         for j, h in enumerate(shingles_of(ids_of(words), self.k).tolist()):
             self.places[h].append(j)
-        self.known = np.array(list(self.places), dtype=np.int64)
-
-    def within(self, words: list[str], shingles: dict[int, np.ndarray], per_edit: int) -> bool:
-        """Whether the stretch stands in ``words`` (``shingles``: by length): item-sized windows
-        around common shingles that are in line with one another and of the demanded number,
-        aligned exactly."""
-        if self.k not in shingles:
-            shingles[self.k] = shingles_of(ids_of(words), self.k)
-        common = np.flatnonzero(np.isin(shingles[self.k], self.known))
-        if len(common) < self.need:
+
+    def within(self, words: list[str], known: list[tuple[int, int]], per_edit: int) -> bool:
+        """Whether the stretch stands in ``words``: item-sized windows around common shingles that
+        are in line with one another and of the demanded number, aligned exactly. ``known``:
+        places and shingles of ``words``, at least those that the item has."""
+        at = [(q, self.places[h]) for q, h in known if h in self.places]
+        if len(at) < self.need:
             return False
-        at = [(q, self.places[h]) for q, h in zip(common.tolist(), shingles[self.k][common].tolist())]
         size, spare, done = len(self.words), len(self.words) // per_edit, -1
         for p, _ in at:
             lo, hi = max(0, p - size - spare), min(len(words), p + size + spare)
@@ -206,61 +202,106 @@ def _rarity(docs: DataFrame, lengths: list[int], bits: Broadcast) -> DataFrame:
     return docs.select("text").mapInPandas(work, "shingle bigint, df bigint").groupBy("shingle").agg(F.sum("df").alias("df"))
 
 
-def _passages(docs: DataFrame, lengths: list[int], reach: int, bits: Broadcast) -> DataFrame:
-    """``doc_id, words, shingle``: the prefix shingles of each document with the passage around them.
-    Shingles within each other's reach share a passage, so a stretch stands whole in one, and
-    only passages leave the task."""
+def _passages(text: np.ndarray, place: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First and last hit of each passage, and the passage of each hit, for hits in order. Hits within
+    each other's reach share a passage, so a stretch stands whole in one."""
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (place[1:] - place[:-1] > 2 * reach)
+    first = np.flatnonzero(new)
+    return first, np.append(first[1:], len(text))[: len(first)] - 1, np.cumsum(new) - 1
+
+
+def _in_order(text: np.ndarray, place: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((place, text))
+    return text[order], place[order], h[order]
+
+
+_FOUND = "item_id string, doc_id bigint"
+
+
+def _probe(docs: DataFrame, lengths: list[int], reach: int, per_edit: int, bits: Broadcast, index: Broadcast) -> DataFrame:
+    """Candidates by an index that is broadcast (``index``: needles by prefix shingle, and needles with
+    their items), aligned where they lie."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by_shingle, needles = index.value
         for pdf in batches:
             words, text, place, h = _hits(pdf["text"], lengths, bits.value)
-            order = np.lexsort((place, text))
-            text, place, h = text[order], place[order], h[order]
-            new = np.ones(len(text), dtype=bool)
-            new[1:] = (text[1:] != text[:-1]) | (place[1:] - place[:-1] > 2 * reach)
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(text))[: len(first)] - 1
+            text, place, h = _in_order(text, place, h)
+            wanted = np.flatnonzero(np.isin(h, np.fromiter(by_shingle, dtype=np.int64, count=len(by_shingle))))
+            first, last, of = _passages(text[wanted], place[wanted], reach)
+            out: set[tuple[str, int]] = set()
+            docs_ = pdf["doc_id"].tolist()
+            for i in range(len(first)):
+                t, lo = int(text[wanted[first[i]]]), max(0, int(place[wanted[first[i]]]) - reach)
+                hi = int(place[wanted[last[i]]]) + reach
+                a, b = np.searchsorted(text, [t, t + 1])
+                a, b = a + np.searchsorted(place[a:b], [lo, hi])
+                known = list(zip((place[a:b] - lo).tolist(), h[a:b].tolist()))
+                part = words[t][lo:hi]
+                for n in {n for x in h[wanted[first[i] : last[i] + 1]].tolist() for n in by_shingle[x]}:
+                    needle, item = needles[n]
+                    if (item, docs_[t]) not in out and needle.within(part, known, per_edit):
+                        out.add((item, docs_[t]))
+            yield pd.DataFrame(list(out), columns=["item_id", "doc_id"]).astype({"doc_id": "int64"})
+
+    return docs.mapInPandas(work, _FOUND)
+
+
+def _join(docs: DataFrame, prefix: DataFrame, lengths: list[int], reach: int, share: float, per_edit: int, bits: Broadcast, salts: int) -> DataFrame:
+    """Candidates by a join on the shingle, for any number of items: passages around hits leave their
+    tasks, meet the prefixes and are aligned there. Copies of a leaked item share its
+    shingles, so a shingle is dealt out over salts."""
+
+    def emit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            words, *hits = _hits(pdf["text"], lengths, bits.value)
+            text, place, h = _in_order(*hits)
+            first, last, of = _passages(text, place, reach)
             passage = [" ".join(words[t][max(0, a - reach) : b + reach]) for t, a, b in zip(text[first].tolist(), place[first].tolist(), place[last].tolist())]
-            own = pd.DataFrame({"passage": np.cumsum(new) - 1, "shingle": h}).drop_duplicates()
+            own = pd.DataFrame({"passage": of, "shingle": h}).drop_duplicates()
             at = own["passage"].to_numpy()
             yield pd.DataFrame({"doc_id": pdf["doc_id"].to_numpy()[text[first][at]], "words": np.array(passage, dtype=object)[at], "shingle": own["shingle"].to_numpy()}).astype({"doc_id": "int64", "words": object})
 
-    return docs.mapInPandas(work, "doc_id bigint, words string, shingle bigint")
+    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        needle = lru_cache(maxsize=10_000)(lambda text: Needle(text.split(" "), share, per_edit))
+        for pdf in batches:
+            ok: set[tuple[str, int]] = set()
+            for item, doc, text, passage in pdf.itertuples(index=False):
+                if (item, doc) not in ok:
+                    words, x = passage.split(" "), needle(text)
+                    if x.within(words, list(enumerate(shingles_of(ids_of(words), x.k).tolist())), per_edit):
+                        ok.add((item, doc))
+            yield pd.DataFrame(list(ok), columns=["item_id", "doc_id"]).astype({"doc_id": "int64"})
+
+    spread = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
+    found = docs.mapInPandas(emit, "doc_id bigint, words string, shingle bigint").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int"))
+    hits = found.join(spread, ["shingle", "salt"]).select("item_id", "doc_id", "text", "words").distinct()
+    return hits.mapInPandas(verify, _FOUND)
 
 
-def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, per_edit: int = 8, small_rows: int = 200_000, salts: int = 16) -> DataFrame:
-    """``item_id, doc_id``: every document that holds a stretch of an item."""
+def find_leaks(documents: DataFrame, items: DataFrame, share: float = 0.6, per_edit: int = 8, small_rows: int = 1_000_000, salts: int = 16) -> DataFrame:
+    """``item_id, doc_id``: every document that holds a stretch of an item. Up to ``small_rows``
+    shingles of items are broadcast as an index; beyond, passages are shuffled to them."""
     spark = documents.sparkSession
     ship_package(spark)
     docs = documents.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("doc_id").isNotNull())
-    needles = keep(needles_of(items, share, per_edit))
-    size = needles.agg(F.collect_set("k").alias("k"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
+    shingles = keep(needles_of(items, share, per_edit))
+    size = shingles.agg(F.collect_set("k").alias("k"), F.max("n").alias("n"), F.count(F.lit(1)).alias("rows")).first()
     if not size["rows"]:
-        return spark.createDataFrame([], "item_id string, doc_id bigint")
-    # item texts of one shingle length are few kinds; a stretch with its edits is never longer
+        return spark.createDataFrame([], _FOUND)
+    # shingle lengths are one to four; a stretch with its edits is never longer than the reach
     lengths, reach = sorted(size["k"]), size["n"] + size["n"] // per_edit + 1
-    rarity = _rarity(docs, lengths, spark.sparkContext.broadcast(_bits(needles)))
+    bits = spark.sparkContext.broadcast(_bits(shingles))
     order = Window.partitionBy("item_id", "text").orderBy(F.coalesce("df", F.lit(0)), "shingle", "pos")
-    ranked = needles.join(rarity, "shingle", "left").withColumn("rank", F.row_number().over(order))
-    prefix = keep(ranked.filter(F.col("rank") <= F.col("n") - F.col("k") + 1 - F.col("need") + 1).select("item_id", "text", "shingle").distinct())
-    found = _passages(docs, lengths, reach, spark.sparkContext.broadcast(_bits(prefix)))
-    if size["rows"] * size["n"] <= small_rows * 40:  # rows times words bound the prefix table's size
-        hits = found.join(F.broadcast(prefix), "shingle")
-    else:  # copies of a leaked item share its shingles, so a shingle is dealt out over salts
-        spread = prefix.withColumn("salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-        hits = found.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(spread, ["shingle", "salt"])
-        hits = hits.select("item_id", "doc_id", "text", "words").distinct()
-
-    def verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        needle = lru_cache(maxsize=10_000)(lambda text: Needle(text.split(" "), share, per_edit))
-        for pdf in batches:
-            ok: dict[tuple[str, int], bool] = {}
-            last, words, shingles = None, [], {}
-            for item, doc, text, passage in pdf.drop_duplicates().itertuples(index=False):
-                if passage != last:  # the items of a passage come one after the other
-                    last, words, shingles = passage, passage.split(" "), {}
-                if (item, doc) not in ok and needle(text).within(words, shingles, per_edit):
-                    ok[item, doc] = True
-            yield pd.DataFrame(list(ok), columns=["item_id", "doc_id"]).astype({"doc_id": "int64"})
-
-    return hits.select("item_id", "doc_id", "text", "words").mapInPandas(verify, "item_id string, doc_id bigint").distinct()
+    ranked = shingles.join(_rarity(docs, lengths, bits), "shingle", "left").withColumn("rank", F.row_number().over(order))
+    prefix = ranked.filter(F.col("rank") <= F.col("n") - F.col("k") + 1 - F.col("need") + 1).select("item_id", "text", "shingle").distinct()
+    if size["rows"] > small_rows:
+        prefix = keep(prefix)
+        return _join(docs, prefix, lengths, reach, share, per_edit, spark.sparkContext.broadcast(_bits(prefix)), salts).distinct()
+    by_shingle: dict[int, list[int]] = defaultdict(list)
+    number: dict[tuple[str, str], int] = {}
+    for item, text, shingle in prefix.collect():  # at most small_rows
+        by_shingle[shingle].append(number.setdefault((item, text), len(number)))
+    needles = [(Needle(text.split(" "), share, per_edit), item) for item, text in number]
+    return _probe(docs, lengths, reach, per_edit, bits, spark.sparkContext.broadcast((dict(by_shingle), needles))).distinct()
