@@ -24,7 +24,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.lineage import cut, ship_package
+from evidra.lineage import cut, keep, ship_package
 
 MARKS = "-‐¬­"
 #: What a printed character or pair (right) is often misread as (left).
@@ -78,6 +78,7 @@ _HEAD_NUMBER = [re.compile(rf"^{_NUMBER}(?:\s{{2,}}|\s*\|\s*|\s*[-–—]\s+)(?=
 
 
 _NUMERALS = frozenset("0123456789ivxlcdmIVXLCDM")
+_PAGE_STARTS = _NUMERALS | frozenset("pPsS-–—[(")
 
 
 def page_value(text: str) -> int | None:
@@ -136,20 +137,21 @@ def _together(document: frozenset[str], section: frozenset[str]) -> frozenset[st
 def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, str | None, bool]:
     """(is a running header, page number text or None, the number's form is plain)."""
     s = line.strip()
-    if not s or len(s) > 160:
+    if not s:
         return False, None, False
-    if len(s) <= 40:
+    if s[0] in _PAGE_STARTS:
         for form, plain in _PAGE_FORMS:
             if m := form.match(s):
                 if page_value(m.group(1)) is not None:
                     return False, m.group(1), plain
-    if len(s) > 120 or not (document or section):
+    known = _together(frozenset(document), frozenset(section))
+    # a title with a number and a version beside it; longer lines are near no title
+    if not known or len(_fold(s)) > max(map(len, known)) * 9 / 8 + 40:
         return False, None, False
     tries: list[tuple[str, str | None]] = [(s, None)]
     for form, end in zip(_HEAD_NUMBER, (s[0], s[-1])):
         if end in _NUMERALS and (m := form.search(s)) and page_value(m.group(1)) is not None:
             tries.append((s[: m.start()] + s[m.end() :], m.group(1)))
-    known = _together(frozenset(document), frozenset(section))
     bodies = []
     for body, number in tries:
         body = re.sub(r"\s*[-–—,|]?\s*\(?(?:rev|version|v|issue|edition)\.?\s*[\d.]+\)?$", "", body.strip(), flags=re.I)
@@ -189,13 +191,12 @@ def decoded_wrongly(word: str) -> bool:
 
 
 def _kept(seen: Counter[str]) -> list[tuple]:
-    """Rows of the words counted: at least two letters, no endless runs; each word judged once."""
-    return [("word", None, None, w, None, None, None, n) for w, n in seen.items() if len(w) <= 40 and sum(map(str.isalpha, w)) >= 2]
+    """Rows of the words counted: at least two letters; each word judged once."""
+    return [("word", None, None, w, None, None, None, n) for w, n in seen.items() if sum(map(str.isalpha, w)) >= 2]
 
 
 def _lines(text: str, document: set[str], section: set[str]) -> list[tuple[str, tuple[bool, str | None, bool]]]:
-    lines = text.split("\n")
-    return [(line, furniture(line, document, section) if len(lines) > 1 or len(line) < 120 else (False, None, False)) for line in lines]
+    return [(line, furniture(line, document, section)) for line in text.split("\n")]
 
 
 def _pairs(lines: list[tuple[str, tuple[bool, str | None, bool]]]) -> list[tuple[int, int, str, str, str]]:
@@ -206,7 +207,7 @@ def _pairs(lines: list[tuple[str, tuple[bool, str | None, bool]]]) -> list[tuple
         if not m:
             continue
         j = i + 1
-        while j < len(lines) and j <= i + 3 and (lines[j][1][0] or lines[j][1][1] is not None):
+        while j < len(lines) and (lines[j][1][0] or lines[j][1][1] is not None):
             j += 1
         if j >= len(lines):
             continue
@@ -300,29 +301,41 @@ def misread_cost(seen: str, printed: str) -> int | None:
     return best.get(len(seen), {}).get(len(printed))
 
 
-def _retrieve(words: DataFrame, vocabulary: list[tuple[str, int]], ratio: float) -> DataFrame:
-    """(token, candidate, cost, seen, known) for one block of the vocabulary."""
-    known = dict(vocabulary)
+_HIT = "token string, candidate string, cost int, seen bigint, known bigint"
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie = Trie(list(known))
-        for pdf in batches:
-            out = []
-            for token, n in zip(pdf["token"], pdf["n"]):
-                # whole words only; a doubled misreading of two characters is four edits, in long words
-                for cand in trie.within(token, 2 if len(token) < 8 else 3):
-                    if cand != token and known[cand] >= ratio * n and (cost := misread_cost(token, cand)):
-                        if cost <= 1 + (len(token) >= 7):
-                            out.append((token, cand, cost, n, known[cand]))
-            yield pd.DataFrame(out, columns=["token", "candidate", "cost", "seen", "known"])
 
-    return words.mapInPandas(work, "token string, candidate string, cost int, seen bigint, known bigint")
+def _retrieve(words: DataFrame, vocabulary: DataFrame, blocks: int, slices: int, ratio: float) -> DataFrame:
+    """(token, candidate, cost, seen, known). The vocabulary is cut into ``blocks`` by hash, the words
+    into ``slices``; every block meets every slice in a task of its own, which builds the block's
+    trie, so neither the driver nor a task ever holds more than a block."""
+
+    def work(key: tuple, own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        known = dict(zip(own["entry"], own["times"]))
+        trie = Trie(list(known))
+        out = []
+        for token, n in zip(asked["token"], asked["n"]):
+            # whole words only; a doubled misreading of two characters is four edits, in long words
+            for cand in trie.within(token, 2 if len(token) < 8 else 3):
+                if cand != token and known[cand] >= ratio * n and (cost := misread_cost(token, cand)):
+                    if cost <= 1 + (len(token) >= 7):
+                        out.append((token, cand, cost, n, known[cand]))
+        return pd.DataFrame(out, columns=["token", "candidate", "cost", "seen", "known"])
+
+    part = lambda n: F.pmod(F.xxhash64("token"), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = vocabulary.select(F.col("token").alias("entry"), F.col("n").alias("times"), part(blocks).alias("block"), each(slices).alias("slice"))
+    asked = words.select("token", "n", part(slices).alias("slice"), each(blocks).alias("block"))
+    place = F.col("block") * slices + F.col("slice")
+    # a stated number of partitions: small ones would be joined to one task else
+    a = own.select("entry", "times", place.alias("at")).repartition(blocks * slices, "at").groupBy("at")
+    b = asked.select("token", "n", place.alias("of")).repartition(blocks * slices, "of").groupBy("of")
+    return a.cogroup(b).applyInPandas(work, _HIT)
 
 
 class Scan:
     """What one pass over the blocks found, and the decisions derived from it."""
 
-    def __init__(self, blocks: DataFrame, min_count: int = 3, ratio: float = 10.0, block_words: int = 400_000, small_rows: int = 200_000):
+    def __init__(self, blocks: DataFrame, min_count: int = 3, ratio: float = 10.0, block_words: int = 400_000, small_rows: int = 200_000, least_chars: int = 4):
         ship_package(blocks.sparkSession)
         self.blocks = blocks.filter(F.col("text").isNotNull() & (F.length("text") > 0))
         self.small_rows = small_rows
@@ -331,7 +344,7 @@ class Scan:
         pairs = self.scan.filter("kind = 'pair'").groupBy("a", "b", "mark").agg(F.count(F.lit(1)).alias("n"))
         self.pairs = pairs.withColumn("joined", F.lower(F.concat("a", "b"))).withColumn("compound", F.lower(F.concat_ws("-", "a", "b")))
         # words to look up: single words seen, and the joined halves that are no known word
-        single = self.words.filter(~F.col("token").rlike(r"^[0-9|!$@(-]+$") & (F.length("token") >= 4))
+        single = self.words.filter(~F.col("token").rlike(r"^[0-9|!$@(-]+$") & (F.length("token") >= least_chars))
         halves = self.pairs.groupBy(F.col("joined").alias("token")).agg(F.sum("n").cast("bigint").alias("n")).join(self.words.select("token"), "token", "left_anti")
         whole = self.pairs.filter(F.trim("mark") == "-").groupBy(F.col("compound").alias("token")).agg(F.sum("n").cast("bigint").alias("n")).join(self.words.select("token"), "token", "left_anti")
         # the trie holds plain words that are seen often enough; it is built and searched in
@@ -340,14 +353,8 @@ class Scan:
         total = plain.count()
         cut_into = max(1, -(-total // block_words))
         lookups = single.unionByName(halves).unionByName(whole).groupBy("token").agg(F.sum("n").alias("n"))
-        # dealt out evenly; by key the exchange of the sums would be taken over, joined to one task
-        lookups = lookups.repartition(blocks.sparkSession.sparkContext.defaultParallelism * 2)
-        found = None
-        for i in range(cut_into):
-            part = plain if cut_into == 1 else plain.filter(F.pmod(F.xxhash64("token"), F.lit(cut_into)) == i)
-            hits = _retrieve(lookups, [(r[0], r[1]) for r in part.select("token", "n").collect()], ratio)
-            found = hits if found is None else found.unionByName(hits)
-        self.candidates = cut(found)
+        slices = max(1, -(-2 * blocks.sparkSession.sparkContext.defaultParallelism // cut_into))
+        self.candidates = cut(_retrieve(lookups, plain, cut_into, slices, ratio))
 
     def best(self) -> DataFrame:
         """(token, candidate): the cheapest, then most frequent reading of each misread word.
@@ -365,29 +372,37 @@ class Scan:
         inner = F.transform(F.regexp_extract_all("text", F.lit(JVM_WORD), F.lit(0)), F.lower)
         return self.blocks.withColumn("text", F.regexp_replace("text", "\\S+[-‐¬\u00AD] ?\n\\S+", " ")).select("block_id", inner.alias("w"))
 
-    def misread(self) -> DataFrame:
-        """(block_id, token): misread words where they stand."""
-        words = self._tokens().select("block_id", F.explode(F.array_distinct("w")).alias("token"))
-        return words.join(self._small(self.best().select("token")), "token").select("block_id", "token").distinct()
-
     def readings(self) -> DataFrame:
-        """(block_id, token, candidate): the reading of each misread word that its neighbours and
-        its own frequency speak for. Words with one reading need no context; for the others the
-        candidates' pairs with the word before and after are counted over all blocks."""
-        per = self.candidates.groupBy("token").agg(F.count(F.lit(1)).alias("c"))
-        plain = self.best().join(per.filter("c = 1").select("token"), "token", "left_semi").select("token", "candidate")
-        open_ = self.candidates.join(per.filter("c > 1").select("token"), "token", "left_semi")
-        at = self.misread()
-        settled = at.join(self._small(plain), "token").select("block_id", "token", "candidate")
-        around = self._tokens().select("block_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("token"), F.get("w", i + 1).alias("after")))).alias("x")).select("block_id", "x.*")
-        seen = around.join(self._small(open_.select("token").distinct()), "token")
-        wanted = self._small(open_.select("candidate").distinct())
-        pairs = around.filter(F.col("before").isNotNull()).join(wanted.withColumnRenamed("candidate", "token"), "token").groupBy("before", F.col("token").alias("candidate")).agg(F.count(F.lit(1)).alias("n1"))
-        later = around.filter(F.col("after").isNotNull()).join(wanted.withColumnRenamed("candidate", "token"), "token").groupBy("after", F.col("token").alias("candidate")).agg(F.count(F.lit(1)).alias("n2"))
-        tried = seen.join(self._small(open_.select("token", "candidate", "cost", "known")), "token").join(pairs, ["before", "candidate"], "left").join(later, ["after", "candidate"], "left")
-        score = F.log1p(F.coalesce("n1", F.lit(0))) + F.log1p(F.coalesce("n2", F.lit(0))) + 0.3 * F.log1p("known") - 2.0 * F.col("cost")
-        chosen = tried.groupBy("block_id", "token", "candidate").agg(F.max(score).alias("s")).groupBy("block_id", "token").agg(F.max_by("candidate", F.struct("s", "candidate")).alias("candidate"))
-        return settled.unionByName(chosen)
+        """(block_id, token, candidate): misread words where they stand, with their best reading. The
+        pairs that each reading and the word itself form with the words before and after are
+        counted over all blocks; a word whose own pairs are the more usual ones stands, as a rare
+        word among its own neighbours does, however frequent the readings are."""
+        w = keep(self._tokens())  # words are found once and read twice
+        around = w.select("block_id", F.explode(F.transform(F.sequence(F.lit(0), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("before"), F.get("w", i).alias("word"), F.get("w", i + 1).alias("after")))).alias("x")).select("block_id", "x.*").filter("word is not null")
+        seen = around.join(self._small(self.candidates.select(F.col("token").alias("word")).distinct()), "word").select("block_id", "before", F.col("word").alias("token"), "after")
+        seen = cut(seen.groupBy("before", "token", "after").agg(F.collect_set("block_id").alias("blocks"), F.count(F.lit(1)).alias("times")))
+        tried = seen.select("before", "token", "after").join(self._small(self.candidates.select("token", "candidate", "cost", "known")), "token")
+        tried = tried.unionByName(seen.select("before", "token", "after", F.col("token").alias("candidate"), F.lit(0).alias("cost"), F.lit(0).cast("bigint").alias("known")))
+        # how often each asked pair of neighbouring words stands in all blocks
+        pair = lambda x, y, side: F.struct(F.col(x).alias("x"), F.col(y).alias("y"), F.lit(side).alias("side"))
+        both = lambda df, word: df.select(F.explode(F.array(pair("before", word, "left"), pair(word, "after", "right"))).alias("p")).select("p.*")
+        wanted = cut(both(tried, "candidate").filter("x is not null and y is not null").distinct())
+        n = both(around, "word").join(self._small(wanted), ["x", "y", "side"]).groupBy("x", "y", "side").agg(F.count(F.lit(1)).alias("n"))
+        left = n.filter("side = 'left'").select(F.col("x").alias("before"), F.col("y").alias("candidate"), F.col("n").alias("n1"))
+        right = n.filter("side = 'right'").select(F.col("y").alias("after"), F.col("x").alias("candidate"), F.col("n").alias("n2"))
+        tried = tried.join(left, ["before", "candidate"], "left").join(right, ["after", "candidate"], "left").withColumn("n1", F.coalesce("n1", F.lit(0))).withColumn("n2", F.coalesce("n2", F.lit(0)))
+        score = F.log1p("n1") + F.log1p("n2") + 0.3 * F.log1p("known") - 2.0 * F.col("cost")
+        own = F.col("candidate") == F.col("token")
+        # a word's pairs hold the places themselves, once each
+        best = tried.groupBy("before", "token", "after").agg(F.max_by(F.struct("candidate", (F.col("n1") + F.col("n2")).alias("n")), F.when(~own, F.struct(score.alias("s"), "candidate"))).alias("best"), F.max(F.when(own, F.col("n1") + F.col("n2"))).alias("own"))
+        kept = best.filter(F.col("best.n") + F.col("before").isNotNull().cast("int") + F.col("after").isNotNull().cast("int") >= F.col("own"))
+        rows = kept.select(F.col("before").alias("b"), F.col("token").alias("t"), F.col("after").alias("a"), "best.candidate")
+        at = seen.join(rows, F.col("before").eqNullSafe(F.col("b")) & (F.col("token") == F.col("t")) & F.col("after").eqNullSafe(F.col("a"))).select(F.explode("blocks").alias("block_id"), "token", "candidate", "times")
+        return at.groupBy("block_id", "token").agg(F.max_by("candidate", F.struct("times", "candidate")).alias("candidate"))
+
+    def misread(self) -> DataFrame:
+        """(block_id, token): misread words where they stand, as their neighbours tell."""
+        return self.readings().select("block_id", "token")
 
     def hyphenation(self) -> DataFrame:
         """(a, b, mark, joined, reading): pairs that are one broken word."""

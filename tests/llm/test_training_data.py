@@ -162,6 +162,36 @@ def test_wrongly_decoded_words(word, wrong):
     assert scan_noise._WORD.fullmatch(word) and scan_noise.decoded_wrongly(word) == wrong
 
 
+_BLOCKS = "block_id string, doc_id string, block_type string, page_start int, section_path string, section_title string, source_file string, text string"
+
+
+def test_context_decides_whether_a_word_is_misread(spark):
+    """``modem`` is a rare word of its own beside ``blinks`` and a misread ``modern`` beside ``valve``."""
+    rows = [(f"m{i}", "d", "paragraph", 1, None, None, None, f"A modern valve closes the outlet {i} times.") for i in range(60)]
+    rows += [(f"r{i}", "d", "paragraph", 1, None, None, None, f"Then the modem blinks twice at step {i}.") for i in range(4)]
+    rows += [("x", "d", "paragraph", 1, None, None, None, "A modem valve closes the outlet.")]
+    found = scan_noise.Scan(spark.createDataFrame(rows, _BLOCKS)).found().collect()
+    assert {(r["block_id"], r["noise"]) for r in found} == {("x", "misread")}
+
+
+def test_noise_beyond_the_usual_sizes(spark):
+    """Long words, long titles, long single lines and many furniture lines between two halves."""
+    long = "electroencephalographically" * 2
+    title = "Handbook of the installation, calibration, maintenance and periodic inspection of hyperaemic pressure gradient measurement consoles in catheter laboratories"
+    rows = [(f"w{i}", "d", "paragraph", 1, None, None, None, f"It is recorded {long} by the console.") for i in range(40)]
+    rows += [("a", "d", "paragraph", 1, None, None, None, f"It is recorded {long.replace('m', 'rn', 1).replace('ph', 'pb', 1)} by the console.")]
+    rows += [("t", "d", "paragraph", 1, f"{title} > Scope", "Scope", None, title.upper())]
+    rows += [("h", "d", "paragraph", 1, "Acme Handbook > Scope", "Scope", None, "It is recor-\nACME HANDBOOK\n- 5 -\nScope\nPage 5\nACME HANDBOOK\nded by the console.")]
+    found = {(r["block_id"], r["noise"]) for r in scan_noise.Scan(spark.createDataFrame(rows, _BLOCKS)).found().collect()}
+    assert {("a", "misread"), ("t", "running_header"), ("h", "hyphenation"), ("h", "running_header"), ("h", "page_number")} <= found
+    assert not {x for x in found if x[0].startswith("w")}
+
+
+def test_vocabulary_in_blocks_gives_the_same(spark, t):
+    rows = lambda s: {tuple(r) for r in s.candidates.collect()}
+    assert rows(scan_noise.Scan(t("blocks"), block_words=50)) == rows(scan_noise.Scan(t("blocks")))
+
+
 # ---- problem 3 ---------------------------------------------------------------------------------
 def test_plans_hold_the_histogram():
     rng = random.Random(5)
