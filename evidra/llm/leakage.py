@@ -116,24 +116,27 @@ class Needle:
 def stretch(item: list[str], window: list[str], least: int, per_edit: int) -> bool:
     """Whether some stretch of at least ``least`` item words is found in ``window`` with at most
     one edit in ``per_edit`` words: prefix edit distances with a free start in the window, for
-    every start in the item."""
+    all starts in the item at once."""
     ids: dict[str, int] = {}
     w = np.array([ids.setdefault(x, len(ids)) for x in window])
     a = np.array([ids.get(x, -1) for x in item])
-    steps = np.arange(len(w) + 1)
-    for start in range(len(item) - least + 1):
-        most = (len(item) - start) // per_edit
-        row = np.zeros(len(w) + 1, dtype=np.int64)
-        for r in range(1, len(item) - start + 1):
-            new = np.empty_like(row)
-            new[0] = row[0] + 1
-            np.minimum(row[:-1] + (w != a[start + r - 1]), row[1:] + 1, out=new[1:])
-            row = np.minimum.accumulate(new - steps) + steps  # words added in the document
-            best = int(row.min())
-            if best > most:
-                break
-            if r >= least and best <= r // per_edit:
-                return True
+    steps, n = np.arange(len(w) + 1), len(item)
+    start = np.arange(n - least + 1)
+    row = np.zeros((len(start), len(w) + 1), dtype=np.int64)
+    for r in range(1, n + 1):
+        go = start + r <= n
+        start, row = start[go], row[go]
+        new = np.empty_like(row)
+        new[:, 0] = row[:, 0] + 1
+        np.minimum(row[:, :-1] + (w[None, :] != a[start + r - 1][:, None]), row[:, 1:] + 1, out=new[:, 1:])
+        row = np.minimum.accumulate(new - steps, axis=1) + steps  # words added in the document
+        best = row.min(axis=1)
+        if r >= least and (best <= r // per_edit).any():
+            return True
+        go = best <= (n - start) // per_edit
+        if not go.any():
+            return False
+        start, row = start[go], row[go]
     return False
 
 

@@ -8,6 +8,21 @@ _TOKENS = r"len(regexp_extract_all({0}, '[\p{{L}}\p{{N}}]+|[^\s\p{{Z}}\p{{L}}\p{
 _PLACES = ", ".join(f"('{c}', '{x}', {i})" for c, v in LABEL_SETS.items() for i, x in enumerate(v))
 
 ORACLE: dict[str, str] = {
+    "p3_totals": f"""
+        WITH both_ AS (
+            SELECT 'segment' AS level, doc_id, section_id AS item_id, token_len, block_ids, ingested_at FROM segments
+            UNION ALL SELECT 'unit', doc_id, unit_id, token_len, block_ids, ingested_at FROM units),
+        one AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY level, doc_id, item_id ORDER BY ingested_at DESC, coalesce(token_len, -1) DESC) AS r FROM both_ WHERE doc_id IS NOT NULL AND item_id IS NOT NULL) WHERE r = 1),
+        size AS (SELECT block_id, max({_TOKENS.format("text")}) AS n FROM blocks GROUP BY block_id),
+        meas AS (SELECT level, doc_id, item_id, sum(n) AS n FROM (SELECT DISTINCT level, doc_id, item_id, unnest(block_ids) AS block_id FROM one WHERE NOT coalesce(token_len > 0, false)) JOIN size USING (block_id) GROUP BY ALL)
+        SELECT level, count(*) AS items, sum(CASE WHEN token_len > 0 THEN token_len ELSE coalesce(m.n, 0) END)::BIGINT AS tokens, 0::BIGINT AS over
+        FROM one LEFT JOIN meas m USING (level, doc_id, item_id) GROUP BY level
+    """,
+    "p4_tokens": f"""
+        SELECT id AS item_id, n::BIGINT AS tokens, true AS within FROM (
+            SELECT id, {_TOKENS.format("t")} AS n FROM (SELECT DISTINCT block_id AS id, text AS t FROM blocks UNION ALL SELECT DISTINCT chunk_id, body FROM chunks)) WHERE n > 510
+    """,
+    "p8_limits": "SELECT source, true AS within_cap, true AS on_target FROM mix_targets",
     "p4_found": f"""
         SELECT DISTINCT block_id AS item_id FROM blocks WHERE {_TOKENS.format("text")} > 510
         UNION

@@ -43,6 +43,13 @@ def p3_fill(spark: SparkSession, sf: str) -> DataFrame:
     return packing.fill_report(packing.pack_items(_items(spark, sf)))
 
 
+def p3_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per level: items and tokens in the containers, and containers over the capacity."""
+    p = packing.pack_items(_items(spark, sf))
+    per = p.groupBy("level", "doc_id", "container").agg(F.sum("tokens").alias("t")).groupBy("level").agg(F.sum("t").alias("tokens"), F.count_if(F.col("t") > 510).alias("over"))
+    return p.groupBy("level").agg(F.countDistinct("doc_id", "item_id").alias("items")).join(per, "level")
+
+
 def _oversized(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.project_items(_read(spark, sf, "blocks"), _read(spark, sf, "chunks"))
 
@@ -55,6 +62,12 @@ def p4_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return splitting.split_items(_oversized(spark, sf)).select(F.expr("substring(item, 3)").alias("item_id"), "piece_no", "start", "stop", "n_tokens", F.col("overlap_used").alias("overlap_tokens_used"), "text")
 
 
+def p4_tokens(spark: SparkSession, sf: str) -> DataFrame:
+    """Tokens of each oversized text as its pieces hold them, overlaps once."""
+    p = splitting.split_items(_oversized(spark, sf))
+    return p.groupBy("item", "digest").agg(F.sum(F.col("n_tokens") - F.col("overlap_used")).alias("tokens"), F.max("n_tokens").alias("most")).select(F.expr("substring(item, 3)").alias("item_id"), "tokens", (F.col("most") <= 510).alias("within"))
+
+
 def _garbled(spark: SparkSession, sf: str) -> DataFrame:
     return mojibake.find_garbled(_read(spark, sf, "blocks"), _read(spark, sf, "text_normalization"))
 
@@ -99,6 +112,12 @@ def p8_shares(spark: SparkSession, sf: str) -> DataFrame:
     return _mix(spark, sf).report()
 
 
+def p8_limits(spark: SparkSession, sf: str) -> DataFrame:
+    """Per source: whether no document is used too often, and whether the share is reached."""
+    r = _mix(spark, sf).report()
+    return r.select("source", (F.col("most_uses") <= F.col("max_repeats")).alias("within_cap"), (F.abs(F.col("share") - F.col("target_share")) < 0.01).alias("on_target"))
+
+
 def _subjects(spark: SparkSession, sf: str) -> DataFrame:
     return subjects.assign_subjects(_read(spark, sf, "documents"), _read(spark, sf, "subject_examples"))
 
@@ -112,4 +131,4 @@ def p9_composition(spark: SparkSession, sf: str) -> DataFrame:
     return _subjects(spark, sf).groupBy("subject_code").agg(F.countDistinct("doc_id").alias("documents"), F.round(F.avg("share"), 4).alias("mean_share"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_packed, p3_fill, p4_found, p4_pieces, p5_found, p5_restored, p6_found, p6_annotators, p6_agreement, p7_found, p8_selected, p8_shares, p9_found, p9_composition)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p2_found, p2_repaired, p3_packed, p3_fill, p3_totals, p4_found, p4_pieces, p4_tokens, p5_found, p5_restored, p6_found, p6_annotators, p6_agreement, p7_found, p8_selected, p8_shares, p8_limits, p9_found, p9_composition)}

@@ -245,10 +245,10 @@ def test_packing_keeps_every_token(spark):
 # ---- problem 4 ---------------------------------------------------------------------------------
 def test_ranges_do_not_change_pieces(spark):
     rng = random.Random(9)
-    text = "".join(rng.choice(["word ", "é1a", ". ", "\n", "\n\n", "!? ", "  ", "-", "x" * 90 + " ", "“q” "]) for _ in range(4000))
+    text = "".join(rng.choice(["word ", "é1a", ". ", "\n", "\n\n", "!? ", "  ", "-", "x" * 90 + " ", "“q” "]) for _ in range(2500))
     items = spark.createDataFrame([("a", text, 20, 1), ("a", text, 20, 1), ("b", None, 5, 1), ("c", "", None, 1), ("d", "ab " * 510, None, 1), ("e", "x" * 2000, None, 1), ("f", "ab " * 511, None, 1)], "item string, text string, overlap int, n int")
     whole = {(r["item"], r["piece_no"]): tuple(r) for r in splitting.split_items(items).collect()}
-    for size in (64, 257, 1000):
+    for size in (257, 1000):
         assert {(r["item"], r["piece_no"]): tuple(r) for r in splitting.split_items(items, range_chars=size).collect()} == whole
     assert {k[0] for k in whole} == {"a", "f"}
     at = 0
@@ -262,11 +262,29 @@ def test_ranges_do_not_change_pieces(spark):
     assert not splitting._TOKEN.findall(text[at:])
 
 
+def test_blocks_and_gaps_do_not_change_pieces(spark):
+    """Gaps, closing marks and words longer than any halo of fixed size, overlaps over half the
+    limit, and blocks of fewer tokens than a piece: always the pieces of the whole text."""
+    rng = random.Random(10)
+    kinds = ["word ", "x", ". ", " " * 300 + "\n\n", "end." + "”" * 280 + " ", "y" * 400, "\n" + " " * 500, "- ", "!)) ", "ñ"]
+    text = "".join(rng.choice(kinds) for _ in range(1000)) + "tail"
+    hard = "ab " * 900  # no boundary anywhere
+    items = spark.createDataFrame([("a", text, 20), ("b", text, 70), ("c", hard, 99), ("d", hard, None), ("e", text, 500), ("f", text[:5000], 0)], "item string, text string, overlap int")
+    rows = lambda **k: {tuple(r) for r in splitting.split_items(items, limit=100, **k).collect()}
+    whole = rows()
+    assert {r[0] for r in whole} == set("abcdef") and max(r[6] for r in whole) == 99
+    for size, block in ((1009, 50), (4096, 333)):
+        assert rows(range_chars=size, block_tokens=block) == whole
+
+
 def test_files_by_byte_ranges(spark, tmp_path):
     body = "Ein Satz über Maße. Zwei «Dinge» €5!\n" * 700
     path = tmp_path / "big.txt"
     path.write_text(body, encoding="utf-8")
     key = lambda df: sorted((r["piece_no"], r["start"], r["stop"], r["text"]) for r in df.collect())
+    gaps = tmp_path / "gaps.txt"
+    gaps.write_text(("Größe " * 90 + " " * 9000 + "\n\n" + "é" * 7000 + ".”" + "”" * 5000 + " Ende. ") * 3, encoding="utf-8")
+    assert key(splitting.split_files(spark, [str(gaps)], range_bytes=4001, block_tokens=700)) == key(splitting.split_files(spark, [str(gaps)]))
     a, b = (key(splitting.split_files(spark, [str(path)], range_bytes=n)) for n in (501, 1 << 20))
     assert a == b and len(a) > 10 and all(body.encode()[s:e].decode() == x for _, s, e, x in a)
 
