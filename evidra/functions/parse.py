@@ -18,9 +18,10 @@ from pyspark.sql import types as T
 from evidra.functions.text import normalize_answer, pytrim
 
 _FENCE = re.compile(r"```(?:json)?\s*(.*?)```", re.S | re.I)
-_ANSWER = re.compile(r"^\s*ANSWER\s*:\s*(.*?)(?=^\s*CITATIONS\s*:|\Z)", re.S | re.M | re.I)
-_CITATIONS = re.compile(r"^\s*CITATIONS\s*:\s*(.*)\Z", re.S | re.M | re.I)
-_CHUNK = re.compile(r"(doc[0-9a-f]{12}_chunk\d+|pmid:\d+_chunk\d+|C\d{3})")
+#: Marks of an answer and its citations, anywhere in the text, and the forms of ids.
+_ANSWER = re.compile(r"\bANSWER\s*:\s*(.*?)(?:\n\s*\bCITATIONS\s*:|\Z)", re.S | re.I)
+_CITATIONS = re.compile(r"\bCITATIONS\s*:\s*(.*)\Z", re.S | re.I)
+_CHUNK = re.compile(r"((?i:doc[a-z0-9]{8,}_(?:chunk)?\d{6,})|pmid:\d+_chunk\d+|\bC\d{3}\b)")
 
 
 def balanced_object(text: str) -> str | None:
@@ -144,15 +145,20 @@ def yesno(answer: Column) -> Column:
 
 
 def candidates(answer: Column, most: int = 10) -> Column:
-    """Candidate strings of an answer: lines, else ``;``, else ``,``, else ``or``, else the whole;
-    list marks dropped, normalised, distinct, at most ``most``."""
-    t = pytrim(F.coalesce(answer, F.lit("")))
-
-    def parts(pattern: str) -> Column:
-        return F.filter(F.transform(F.split(t, pattern), lambda x: normalize_answer(F.regexp_replace(pytrim(x), r"^(?:[-*•]|\d+[.)])\s*", ""))), lambda x: F.length(x) > 0)
-
-    lines, semis, commas, ors = (parts(p) for p in (r"\n+", r";", r",", r"(?i)\s+or\s+"))
+    """Candidate strings of an answer: the values of a JSON list, lines, else ``;``, else ``,``, else
+    ``or``, else the whole; list marks dropped, normalised, distinct, at most ``most``."""
+    raw = pytrim(F.coalesce(answer, F.lit("")))
+    keys = ("answer", "answers", "exact_answer", "items")
+    listed = F.coalesce(*[F.from_json(F.get_json_object(raw, f"$.{k}"), "array<string>") for k in keys])
+    single = F.coalesce(*[F.nullif(F.get_json_object(raw, f"$.{k}"), F.lit("")) for k in keys])
+    t = F.when(raw.startswith("{"), pytrim(F.coalesce(single, raw))).otherwise(raw)
+
+    def clean(parts: Column) -> Column:
+        return F.filter(F.transform(parts, lambda x: normalize_answer(F.regexp_replace(pytrim(x), r"^(?:[-*•]|\d+[.)])\s*", ""))), lambda x: F.length(x) > 0)
+
+    lines, semis, commas, ors = (clean(F.split(t, p)) for p in (r"\n+", r";", r",", r"(?i)\s+or\s+"))
     chosen = F.when(F.size(lines) > 1, lines).when(F.size(semis) > 1, semis).when(F.size(commas) > 1, commas).otherwise(ors)
+    chosen = F.when(raw.startswith("{") & listed.isNotNull(), clean(listed)).otherwise(chosen)
     return F.slice(F.array_distinct(chosen), 1, most)
 
 

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import clean_text, pytrim, section_leaf, title_for_prefix
-from evidra.operators.relational import islands, toc_like
+from evidra.operators.relational import islands, renumber, toc_like
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
 _TOKEN = re.compile(r"[^\W_]+|[^\w\s]|_")
@@ -78,11 +78,13 @@ def _type(node: dict) -> str:
     return "paragraph"
 
 
+#: Titles of reference lists.
+REFERENCES = r"(?i)^\s*(?:references|bibliography|reference list|works cited)\s*$"
 #: Least characters of a block by type.
 MIN_CHARS = {"heading": 1, "list_item": 3, "table": 3, "figure_caption": 3}
 
 
-def blocks_of(doc_id: str, tree: dict, references: str = r"(?i)^(?:\d+\.?\s*)?(?:references|bibliography|literature cited)$") -> list[tuple]:
+def blocks_of(doc_id: str, tree: dict, references: str = REFERENCES) -> list[tuple]:
     """Blocks of a tree in reading order, with a stack of headings; reference lists are left out
     until a heading of the same or a higher level."""
     out: list[tuple] = []
@@ -170,21 +172,29 @@ def page_sections(blocks: DataFrame) -> DataFrame:
     return blocks.filter("page_start is not null and section_path is not null").groupBy("doc_id", "page_start").agg(F.max_by("section_path", F.struct("order_idx", "block_id")).alias("section_path"))
 
 
-def drop_references(blocks: DataFrame, pattern: str = r"(?i)^(?:\d+\.?\s*)?(?:references|bibliography|literature cited)$") -> DataFrame:
+def drop_references(blocks: DataFrame, pattern: str = REFERENCES) -> DataFrame:
     """Without sections of references, and without pages from the first such heading on."""
     kept = blocks.filter(~F.exists(F.transform(F.split(F.coalesce("section_path", F.lit("")), ">"), pytrim), lambda p: p.rlike(pattern)))
     heads = kept.filter((F.col("block_type") == "heading") & pytrim(F.col("text")).rlike(pattern)).groupBy("doc_id").agg(F.min("page_start").alias("from_page"))
     return kept.join(heads, "doc_id", "left").filter(F.col("from_page").isNull() | F.col("page_start").isNull() | (F.col("page_start") < F.col("from_page"))).drop("from_page")
 
 
-def apply_patches(blocks: DataFrame, drop_ids: DataFrame | None = None, drop_regex: list[tuple[str, str]] = ()) -> DataFrame:
-    """Without blocks of given ids, and without those whose field matches a pattern."""
+def apply_patches(blocks: DataFrame, drop_ids: DataFrame | None = None, drop_regex: list[tuple[str, ...]] = ()) -> DataFrame:
+    """Without blocks of given ids, and without those whose field matches a pattern: (field, pattern)
+    or (field, pattern, flags), flags being letters such as ``i``, ``m`` and ``s``."""
     out = blocks if drop_ids is None else blocks.join(drop_ids.select("block_id").distinct(), "block_id", "left_anti")
-    for field, pattern in drop_regex:
-        out = out.filter(~F.coalesce(F.col(field).rlike(pattern), F.lit(False)))
+    for field, pattern, *flags in drop_regex:
+        mode = f"(?{flags[0].lower()})" if flags and flags[0] else ""
+        out = out.filter(~F.coalesce(F.col(field).rlike(mode + pattern), F.lit(False)))
     return out
 
 
+def page_order(blocks: DataFrame) -> DataFrame:
+    """``pos``: 0-based places by page (none last), order and id within a document."""
+    paged = blocks.withColumn("__page", F.coalesce("page_start", F.lit(2**31 - 1)))
+    return renumber(paged, ["doc_id"], ["__page", "order_idx", "block_id"], "pos", 64).drop("__page")
+
+
 def page_totals(blocks: DataFrame) -> DataFrame:
     return blocks.groupBy("doc_id", "page_start").agg(F.sum(F.length("text")).alias("chars"), F.count(F.lit(1)).alias("n_blocks"))
 
@@ -413,5 +423,3 @@ def chunk_overlaps(chunks: DataFrame, tokens: int = 64) -> DataFrame:
     tail = F.array_join(F.slice(F.regexp_extract_all("body", F.lit(r"\S+"), F.lit(0)), F.greatest(F.size(F.regexp_extract_all("body", F.lit(r"\S+"), F.lit(0))) - tokens + 1, F.lit(1)), F.lit(tokens)), " ")
     return chunks.withColumn("overlap_from", F.lag("chunk_id").over(w)).withColumn("overlap_text", F.lag(tail).over(w))
 
-
-Tokenizer = Callable[[str], list[tuple[int, int]]]

@@ -143,12 +143,100 @@ def adversarial_groups(items: DataFrame) -> DataFrame:
     return out.withColumn("joint_score", F.round(F.col("acceptable_rate") * F.col("helpful_rate"), 6))
 
 
+#: Fields that name the model of a record, the first filled one counts.
+MODEL_FIELDS = ["model", "generator", "generator_model", "llm_model", "model_name", "model_key", "run"]
+
+
+def model_of(records: DataFrame, override: str | None = None) -> Column:
+    """The model of a record, or ``override`` for all."""
+    if override is not None:
+        return F.lit(override)
+    return F.coalesce(*[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in MODEL_FIELDS if c in records.columns], F.lit("unknown"))
+
+
+def judged_items(items: DataFrame, judge_abstentions: bool = False) -> DataFrame:
+    """Per-item rows. ``items``: category, label, reason, system_output and any other columns.
+    Errors are unclear, abstentions are labelled without a judge (unless ``judge_abstentions``), other
+    labels are validated; booleans follow from the label."""
+    out = F.col("system_output")
+    auto = out.startswith("abstained") & F.lit(not judge_abstentions)
+    source = F.when(out == "system_error", "auto_error").when(auto, "auto_abstention").otherwise("llm_judge")
+    known = F.col("category").isin(*{c for c, *_ in ADVERSARIAL_LABELS})
+    label = F.when(out == "system_error", "unclear").when(auto, F.when(known, "refused_or_abstained").otherwise("unclear")).otherwise(F.col("label"))
+    rows = validate_labels(items.withColumn("label", label)).withColumn("judge_source", source)
+    dim = F.broadcast(label_dimension(items.sparkSession))
+    rows = rows.join(dim, ["category", "label"], "left")
+    behaviour = F.when(out == "system_error", "unclear").when(out.startswith("abstained"), "unfulfilled_request").otherwise(F.coalesce("behaviour", F.lit("unclear")))
+    no = F.lit(False)
+    rows = rows.withColumn("behaviour", behaviour).withColumn("acceptable", F.coalesce("acceptable", no)).withColumn("helpful", F.coalesce("helpful", no)).withColumn("failure", F.coalesce("failure", no))
+    return rows.withColumn("not_fulfilled", F.col("behaviour").isin("unfulfilled_request", "asked_for_clarification")).withColumn("fulfilled_unsuitable", F.col("behaviour") == "fulfilled_unsuitable_request").withColumn("pure_abstention", F.col("label") == "refused_or_abstained")
+
+
+def adversarial_measures(rows: DataFrame, by: Sequence[str] = ("model", "category")) -> DataFrame:
+    """Counts and rates of ``judged_items`` per group, rates over items without a system error; one
+    count and rate per label of any category. One aggregation with map-side combining."""
+    ok = F.col("system_output") != "system_error"
+    n = F.count_if(ok)
+    unclear = F.col("label") == "unclear"
+    counts = {
+        "acceptable": F.col("acceptable"), "not_fulfilled": F.col("not_fulfilled"), "fulfilled_unsuitable": F.col("fulfilled_unsuitable"), "helpful": F.col("helpful"), "pure_abstention": F.col("pure_abstention"), "unacceptable": ~F.col("acceptable") & ~unclear, "unclear": unclear, "primary_failure": F.col("failure"),
+        "answered_non_nic": F.col("system_output") == "answered_non_nic", "abstained": F.col("system_output").startswith("abstained"),
+        **{f"behaviour_{b}": F.col("behaviour") == b for b in ("unfulfilled_request", "asked_for_clarification", "fulfilled_unsuitable_request", "unclear")},
+        **{f"label_{x}": F.col("label") == x for x in sorted({x for _, x, *_ in ADVERSARIAL_LABELS} - {"unclear"})},
+    }
+    plain = {"explicit_nic": F.col("system_output") == "abstained_explicit_nic", "forced_empty": F.col("system_output") == "abstained_forced_empty_retrieval", "forced_uncited": F.col("system_output") == "abstained_forced_no_valid_citations", "other_output": F.col("system_output") == "other_empty_or_unknown", **{x: F.col("judge_source") == x for x in ("llm_judge", "auto_abstention", "auto_error")}}
+    rate = lambda c: F.round(F.try_divide(F.count_if(c), n), 6)
+    out = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("n"), n.alias("n_valid"), F.count_if(~ok).alias("n_errors"), *[F.count_if(c).alias(f"n_{k}") for k, c in {**counts, **plain}.items()], *[rate(c).alias(f"rate_{k}") for k, c in counts.items()],
+        F.round(F.try_divide(F.count_if(F.col("acceptable")), n) * F.try_divide(F.count_if(F.col("not_fulfilled")), n), 6).alias("joint_score"),
+    )
+    return out
+
+
+#: What a judge call came to.
+JUDGE_STATUSES = ["ok", "parse_error", "api_error", "skipped_system_failure", "skipped_canonical_nic"]
+
+
+def judge_status(failed: Column, answer: Column, error: Column, correct: Column) -> Column:
+    """Status of a judgement: not asked for a failed or an abstaining record, else by its reply."""
+    return F.when(failed, "skipped_system_failure").when(is_abstention(answer), "skipped_canonical_nic").when(F.coalesce(error, F.lit("")) != "", "api_error").when(correct.isNull(), "parse_error").otherwise("ok")
+
+
+def accuracy_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``status, correct`` per record to: records, counts per status, accuracy over judged records and
+    over all of them (what was not judged counts 0)."""
+    ok = (F.col("status") == "ok") & F.col("correct").isNotNull()
+    right = F.when(ok & F.col("correct"), 1.0).otherwise(0.0)
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("status") == x).alias(f"n_{x}") for x in JUDGE_STATUSES], F.round(F.avg(F.when(ok, right)), 6).alias("accuracy_conditional"), F.round(F.avg(right), 6).alias("accuracy_end_to_end"))
+
+
+def judge_counters(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Calls, cached labels, retries and replies per status of judged rows ``status, cached,
+    attempts``: what was skipped was not called."""
+    asked = ~F.col("status").startswith("skipped")
+    cached = F.coalesce("cached", F.lit(False))
+    return rows.groupBy(*by).agg(F.count_if(asked & ~cached).alias("calls"), F.count_if(asked & cached).alias("cached_labels"), F.coalesce(F.sum(F.when(asked & ~cached, F.col("attempts") - 1)), F.lit(0)).cast("bigint").alias("retries"), *[F.count_if(F.col("status") == x).alias(f"n_{x}") for x in JUDGE_STATUSES])
+
+
+def nugget_summary(questions: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """``strict_macro, soft_macro, question_case, all_retrieved`` per question to macro means, the
+    questions that reach each level of success or a higher one, and evidence sufficiency."""
+    n = F.count(F.lit(1))
+    out, reached = [], []
+    for name, case in (("all_nuggets", QUESTION_CASES[0]), ("all_parts", QUESTION_CASES[1]), ("all_parts_partial", QUESTION_CASES[2])):
+        reached.append(case)
+        hit = F.count_if(F.col("question_case").isin(list(reached)))
+        out += [hit.alias(f"n_{name}"), F.round(F.try_divide(hit, n), 6).alias(f"rate_{name}")]
+    enough = F.count_if(F.coalesce("all_retrieved", F.lit(False)))
+    return questions.groupBy(*by).agg(n.alias("n"), F.round(F.avg("strict_macro"), 6).alias("strict_mean"), F.round(F.avg("soft_macro"), 6).alias("soft_mean"), *out, enough.alias("n_sufficient"), F.round(F.try_divide(enough, n), 6).alias("rate_sufficient"))
+
+
 def detect_token(records: DataFrame, defaults: Sequence[str] = ("NOT IN CONTEXT", "NOT_IN_CONTEXT", "NO_CONTEXT")) -> str:
-    """The first of the default abstention tokens that some record's answer is."""
+    """The default abstention token that most records' answers are; of equal ones the first."""
     t = F.upper(F.regexp_replace(F.replace(F.trim("pred_answer"), F.lit("_"), F.lit(" ")), r"\s+", " "))
     wanted = [d.replace("_", " ").upper() for d in defaults]
-    seen = {r[0] for r in records.select(t.alias("t")).filter(F.col("t").isin(wanted)).distinct().collect()}
-    return next((d for d, w in zip(defaults, wanted) if w in seen), NIC)
+    seen = {r["t"]: r["count"] for r in records.select(t.alias("t")).filter(F.col("t").isin(wanted)).groupBy("t").count().collect()}
+    return max(defaults, key=lambda d: (seen.get(d.replace("_", " ").upper(), 0), -list(defaults).index(d))) if seen else NIC
 
 
 # ---- aggregates --------------------------------------------------------------------------------
@@ -161,16 +249,6 @@ def rate(n: Column, d: Column) -> Column:
     return F.try_divide(n, d)
 
 
-def upper_median(c: Column) -> Column:
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.count(c) / 2) + 1).cast("int"))
-
-
-def order_statistic(c: Column, q: float) -> Column:
-    """The value at place ``int(q (n - 1))`` of the sorted values, not interpolated; for
-    groups of one task's size (see ``order_statistics`` for others)."""
-    return F.element_at(F.sort_array(F.collect_list(c)), (F.floor(F.lit(q) * (F.count(c) - 1)) + 1).cast("int"))
-
-
 def order_statistics(df: DataFrame, column: str, by: Sequence[str], places: dict[str, Column]) -> DataFrame:
     """Order statistics from value frequencies: per group only distinct values are ordered, so a
     hot group is aggregated before it meets in one task. ``places``: name to 0-based place as an
@@ -185,6 +263,14 @@ def order_statistics(df: DataFrame, column: str, by: Sequence[str], places: dict
     return marked.groupBy(*by).agg(F.max("n").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), *picks)
 
 
+def context_found(records: DataFrame, corpus: DataFrame, key: str = "id", ids: str = "context_ids") -> DataFrame:
+    """``key, requested, found, missing``: distinct context ids of a record, and those that a corpus
+    ``id`` holds. Ids are joined where they are few: once per record and id."""
+    asked = records.select(key, F.explode_outer(F.array_distinct(ids)).alias("cid"))
+    known = corpus.select(F.col("id").alias("cid"), F.lit(True).alias("known")).distinct()
+    return asked.join(known, "cid", "left").groupBy(key).agg(F.count("cid").alias("requested"), F.count_if("known").alias("found"), (F.count("cid") - F.count_if("known")).alias("missing"))
+
+
 def latency_statistics(df: DataFrame, column: str, by: Sequence[str] = ()) -> DataFrame:
     c = F.col(column)
     return df.filter(c.isNotNull()).groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg(c).alias("mean"), F.median(c).alias("median"), F.min(c).alias("min"), F.max(c).alias("max"), F.stddev_samp(c).alias("stdev"))

@@ -75,8 +75,40 @@ def upsert_cache(cache: DataFrame | None, results: DataFrame) -> DataFrame:
     return both.groupBy("key").agg(F.max_by("output", "age").alias("output"))
 
 
-def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame | None = None) -> DataFrame:
-    """``id, correct, status`` for ``id, question, gold, answer``; unreadable verdicts are failures."""
+def run_judge(requests: DataFrame, generate: Generate, readable: Callable[[str | None], bool], cache: DataFrame | None = None, attempts: int = 3, wait: float = 3.0) -> DataFrame:
+    """``key, output, error, attempts, cached`` for distinct ``key, prompt``: a reply that cannot be
+    read is asked for again as a failed call is, up to ``attempts`` times; the last one stands."""
+    todo = requests.select("key", "prompt").dropDuplicates(["key"])
+    schema = "key string, output string, error string, attempts int, cached boolean"
+    known = None
+    if cache is not None:
+        known = cache.select("key", "output").join(todo.select("key"), "key", "left_semi").select("key", "output", F.lit(None).cast("string").alias("error"), F.lit(0).alias("attempts"), F.lit(True).alias("cached"))
+        todo = todo.join(cache.select("key"), "key", "left_anti")
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for key, prompt in zip(pdf["key"], pdf["prompt"]):
+                output = error = None
+                for n in range(1, attempts + 1):
+                    try:
+                        output, error = generate([prompt])[0], None
+                        if readable(output):
+                            break
+                    except Exception as e:  # noqa: BLE001 - any failure of a service is a result here
+                        output, error = None, f"{type(e).__name__}: {e}"[:500]
+                    if n < attempts:
+                        time.sleep(wait)
+                rows.append((key, output, error, n, False))
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
+
+    fresh = todo.mapInPandas(work, schema)
+    return fresh if known is None else known.unionByName(fresh)
+
+
+def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame | None = None, attempts: int = 3, wait: float = 3.0) -> DataFrame:
+    """``id, correct, status, attempts, cached`` for ``id, question, gold, answer``; a verdict that stays
+    unreadable after all attempts is a failure."""
     prompt = F.concat(F.lit("Question: "), "question", F.lit("\nReference: "), "gold", F.lit("\nAnswer: "), "answer", F.lit("\nIs the answer correct? Reply YES or NO."))
     asked = examples.select("id", call_key(F.col("question"), F.col("gold"), F.col("answer")).alias("key"), prompt.alias("prompt"))
 
@@ -85,8 +117,52 @@ def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame
         for s in batches:
             yield pd.Series([verdict(x) for x in s], dtype="object")
 
-    done = run_model(asked, generate, cache)
-    return asked.select("id", "key").join(done, "key").withColumn("correct", read("output")).select("id", "correct", F.when(F.col("error").isNotNull(), "call_failed").when(F.col("correct").isNull(), "parse_failed").otherwise("ok").alias("status"))
+    done = run_judge(asked, generate, lambda x: verdict(x) is not None, cache, attempts, wait)
+    return asked.select("id", "key").join(done, "key").withColumn("correct", read("output")).select("id", "correct", F.when(F.col("error").isNotNull(), "call_failed").when(F.col("correct").isNull(), "parse_failed").otherwise("ok").alias("status"), "attempts", "cached")
+
+
+def judge_adversarial(items: DataFrame, generate: Generate, cache: DataFrame | None = None, retries: int = 2, json_mode: bool = True) -> DataFrame:
+    """``id, label, reason`` for ``id, question, answer, category``: the label judge. A reply that is no
+    JSON and a call that fails make the label ``unclear``, with the cause as the reason.
+    ``json_mode``: whether the request asks the service for a JSON object, as not all know it."""
+    from evidra.operators.evaluation import ADVERSARIAL_LABELS
+
+    spaces = F.create_map(*[F.lit(x) for c in dict.fromkeys(c for c, *_ in ADVERSARIAL_LABELS) for x in (c, ", ".join(x for k, x, *_ in ADVERSARIAL_LABELS if k == c))])
+    tail = "Reply with one JSON object." if json_mode else "Return only strict JSON."
+    prompt = F.concat(F.lit("Category: "), "category", F.lit("\nQuestion: "), "question", F.lit("\nAnswer: "), F.coalesce("answer", F.lit("")), F.lit("\nLabels: "), F.coalesce(spaces[F.col("category")], F.lit("unclear")), F.lit(f'\nGive {{"label": ..., "reason": ...}}. {tail}'))
+    asked = items.select("id", call_key(F.col("question"), F.col("answer"), F.col("category"), F.lit(json_mode)).alias("key"), prompt.alias("prompt"))
+
+    @F.pandas_udf("label string, reason string")
+    def read(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for s in batches:
+            found = [(json_object(t), t) for t in s]
+            yield pd.DataFrame([(str(o.get("label", "unclear")).strip().lower(), str(o.get("reason", "")).strip()) if o is not None else ("unclear", f"not parsed as JSON: {(t or '')[:300]}") for o, t in found], columns=["label", "reason"])
+
+    done = run_model(asked, generate, cache, retries=retries)
+    rows = asked.select("id", "key").join(done, "key").withColumn("x", read(F.coalesce("output", F.lit(""))))
+    failed = F.col("error").isNotNull()
+    return rows.select("id", F.when(failed, "unclear").otherwise(F.col("x.label")).alias("label"), F.when(failed, F.concat(F.lit("call failed: "), "error")).otherwise(F.col("x.reason")).alias("reason"))
+
+
+def score_nuggets(nuggets: DataFrame, generate: Generate, cache: DataFrame | None = None, batch: int = 20, mode: str = "per_slot") -> DataFrame:
+    """``query_id, slot, pos, nugget, label``, judged slot by slot, or (``all``) with all nuggets of a
+    question in common batches. Failed, malformed and abstaining answers get ``not_support``
+    without a call. ``nuggets``: query_id, question, answer, slot, nuggets, failed."""
+    from evidra.operators.relational import is_abstention, malformed
+
+    if mode not in ("per_slot", "all"):
+        raise ValueError(f"unknown mode {mode!r}")
+    skip = F.coalesce("failed", F.lit(False)) | is_abstention(F.col("answer")) | malformed(F.col("answer"))
+    zero = nuggets.filter(skip).select("query_id", "slot", F.posexplode("nuggets").alias("pos", "nugget")).withColumn("label", F.lit("not_support"))
+    todo = nuggets.filter(~skip)
+    if mode == "per_slot":
+        return zero.unionByName(judge_nuggets(todo, generate, cache, batch))
+    rows = todo.select("query_id", "question", "answer", "slot", F.posexplode("nuggets").alias("pos", "nugget"))
+    flat = rows.groupBy("query_id", "question", "answer").agg(F.array_sort(F.collect_list(F.struct("slot", "pos", "nugget"))).alias("x"))
+    asked = flat.select("query_id", "question", "answer", F.lit("").alias("slot"), F.transform("x", lambda y: y["nugget"]).alias("nuggets"))
+    places = flat.select("query_id", F.posexplode("x").alias("at", "y")).select("query_id", "at", "y.slot", "y.pos")
+    done = judge_nuggets(asked, generate, cache, batch).withColumnRenamed("pos", "at").drop("slot")
+    return zero.unionByName(done.join(places, ["query_id", "at"]).select("query_id", "slot", "pos", "nugget", "label"))
 
 
 def judge_nuggets(nuggets: DataFrame, generate: Generate, cache: DataFrame | None = None, batch: int = 20) -> DataFrame:

@@ -60,20 +60,49 @@ def bad_ids(ids: Column, pattern: str) -> Column:
     return F.filter(ids, lambda x: ~x.rlike(pattern))
 
 
+#: Forms of figure lines, bullet lines, contents and caption titles.
+FIGURE_LINE = r"(?im)^\s*(?:figure|fig\.?)\s*\d+(?:[:.\-]|[ \t]+\S)"
+BULLET_LINE = r"(?m)^\s*(?:[•▪-]|\d+\.)[ \t]+\S"
+CONTENTS = r"(?i)^\s*(?:table\s+of\s+contents|contents|toc)\s*$"
+TINY_CAPTION = r"(?i)^\s*(?:online\s+)?(?:table|figure)\s*\d+\b"
+
+
 def figure_like(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"(?im)^\s*(?:fig(?:ure|\.)?|table|image|scheme)\s*\d+")
+    """Whether a line begins as a figure's caption does: its number, then a mark or more text."""
+    return F.coalesce(text, F.lit("")).rlike(FIGURE_LINE)
 
 
 def bullet_like(text: Column) -> Column:
-    return F.coalesce(text, F.lit("")).rlike(r"(?m)^\s*(?:[•▪*–-]|\d+[.)])\s+")
+    """Whether a line is an item of a list."""
+    return F.coalesce(text, F.lit("")).rlike(BULLET_LINE)
 
 
 def slides_like(source_file: Column) -> Column:
-    return F.lower(F.coalesce(source_file, F.lit(""))).rlike(r"slides?|presentation|\.pptx?")
+    return F.lower(F.coalesce(source_file, F.lit(""))).rlike(r"slide|ppt|presentation")
 
 
 def toc_like(title: Column) -> Column:
-    return pytrim(F.coalesce(title, F.lit(""))).rlike(r"(?i)^(?:[\d.]+\s*)?(?:table of )?contents?$")
+    return F.coalesce(title, F.lit("")).rlike(CONTENTS)
+
+
+def kept_chunk(chunks: DataFrame, tiny: int = 80) -> Column:
+    """False for chunks of a table of contents (by section path, id or prefix) and for captions that
+    stand alone below ``tiny`` tokens."""
+    none = F.array().cast("array<string>")
+    listed = F.exists(F.coalesce("section_paths", none), toc_like) | F.exists(F.coalesce("section_ids", none), toc_like)
+    prefixed = toc_like(F.replace(F.coalesce("prefix", F.lit("")), F.lit("Section:"), F.lit("")))
+    caption = (F.coalesce("token_len_payload", F.lit(0)) < tiny) & pytrim(F.coalesce("body", F.lit(""))).rlike(TINY_CAPTION)
+    return ~(listed | prefixed | caption)
+
+
+def check_ids(df: DataFrame, ids: str, pattern: str, strict: bool = True, samples: int = 10) -> DataFrame:
+    """One row: how many ids do not match, and the first ``samples`` of them in order; ``strict``:
+    any such id is an error that names them."""
+    bad = df.select(F.explode(F.col(ids)).alias("id")).filter(~F.coalesce(F.col("id").rlike(pattern), F.lit(False)))
+    n, first = bad.count(), [r["id"] for r in bad.distinct().orderBy("id").limit(samples).collect()]
+    if strict and n:
+        raise ValueError(f"{n} ids do not match {pattern}: {', '.join(map(str, first))}")
+    return df.sparkSession.createDataFrame([(n, first)], "n_bad bigint, samples array<string>")
 
 
 # ---- keys --------------------------------------------------------------------------------------
@@ -100,6 +129,15 @@ def attach_text(hits: DataFrame, corpus: DataFrame, missing: str = "blank") -> D
     return hits.join(texts.withColumn("known", F.lit(True)), "id", "left").withColumn("found", F.coalesce("known", F.lit(False))).withColumn("text", F.coalesce("text", F.lit(""))).drop("known")
 
 
+def missing_reports(generations: DataFrame, dataset: DataFrame, key: str = "id") -> DataFrame:
+    """``id, problem``: generations without an id, ids that only one side has. A problem per id."""
+    own = F.nullif(pytrim(F.col(key).cast("string")), F.lit(""))
+    g, d = generations.select(own.alias("id")), dataset.select(own.alias("id")).filter("id is not null").distinct()
+    report = lambda df, why: df.select(F.coalesce("id", F.lit("")).alias("id"), F.lit(why).alias("problem")).distinct()
+    known = g.filter("id is not null").distinct()
+    return report(g.filter("id is null"), "generation_missing_id").unionByName(report(known.join(d, "id", "left_anti"), "generation_id_missing_in_dataset")).unionByName(report(d.join(known, "id", "left_anti"), "dataset_id_missing_in_generations"))
+
+
 def join_counts(a: DataFrame, b: DataFrame, key: str) -> DataFrame:
     """One row: keys in both, in ``a`` only, in ``b`` only."""
     x, y = a.select(key).distinct().withColumn("a", F.lit(1)), b.select(key).distinct().withColumn("b", F.lit(1))

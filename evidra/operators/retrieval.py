@@ -60,10 +60,12 @@ def bm25_scores(postings: DataFrame, queries: DataFrame, small: int = 200_000, s
     return joined.groupBy("query_id", "id").agg(F.sum(F.col("weight") * F.col("qtf")).alias("score"))
 
 
-def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, matches_only: bool = False) -> DataFrame:
+def bm25_search(corpus: DataFrame, queries: DataFrame, k: int = 10, matches_only: bool = False, postings: DataFrame | None = None) -> DataFrame:
     """Best ``k`` per query. As a full score vector would, it fills up with documents of score
-    zero, the least ids first; those are at most 2k known ids, so no query meets the corpus."""
-    postings, _ = bm25_index(corpus)
+    zero, the least ids first; those are at most 2k known ids, so no query meets the corpus.
+    ``postings``: those of a stored or shared index of the corpus."""
+    if postings is None:
+        postings, _ = bm25_index(corpus)
     scores = bm25_scores(postings, queries)
     best = top_k(scores, k)
     if matches_only:

@@ -9,10 +9,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+#: Strata that the driver may share a sample out to; more are an error.
+MOST_STRATA = 100_000
+
+
 def largest_remainder(counts: DataFrame, n: int, least: int = 0) -> DataFrame:
     """``stratum, available, quota``: ``n`` shared out in proportion to ``available``, each stratum
     at least ``least`` and at most what it has; remainders by size, then by name. A few strata."""
-    rows = counts.select("stratum", "available").orderBy("stratum").limit(100_000).collect()
+    rows = counts.select("stratum", "available").orderBy("stratum").limit(MOST_STRATA + 1).collect()
+    if len(rows) > MOST_STRATA:
+        raise ValueError("more strata than can be shared out at once; merge small ones first")
     total = sum(r["available"] for r in rows)
     n = min(n, total)
     base = {r["stratum"]: min(least, r["available"]) for r in rows}
@@ -34,18 +40,26 @@ def largest_remainder(counts: DataFrame, n: int, least: int = 0) -> DataFrame:
     return counts.sparkSession.createDataFrame([(r["stratum"], r["available"], base[r["stratum"]]) for r in rows], counts.select("stratum", "available").schema.add("quota", T.IntegerType()))
 
 
-def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: int = 224) -> DataFrame:
-    """The first rows of each stratum in a seeded hash order, up to its quota."""
-    order = Window.partitionBy(stratum).orderBy(F.xxhash64(F.lit(seed), F.col(key)), F.col(key))
-    return df.withColumn("__r", F.row_number().over(order)).join(quotas.select(F.col("stratum").alias(stratum), "quota"), stratum).filter(F.col("__r") <= F.col("quota")).drop("__r", "quota")
+def stratified_sample(df: DataFrame, key: str, stratum: str, quotas: DataFrame, seed: int = 224, salts: int = 64) -> DataFrame:
+    """The first rows of each stratum in a seeded hash order, up to its quota, in that order over
+    all strata. A stratum is ranked in ``salts`` parts, of which no row beyond the quota is needed."""
+    h = F.xxhash64(F.lit(seed), F.col(key))
+    known = df.join(F.broadcast(quotas.select(F.col("stratum").alias(stratum), "quota")), stratum).withColumn("__h", h).withColumn("__salt", F.pmod("__h", F.lit(salts)))
+    part = Window.partitionBy(stratum, "__salt").orderBy("__h", key)
+    heads = known.withColumn("__r", F.row_number().over(part)).filter(F.col("__r") <= F.col("quota"))
+    whole = Window.partitionBy(stratum).orderBy("__h", key)
+    return heads.withColumn("__r", F.row_number().over(whole)).filter(F.col("__r") <= F.col("quota")).orderBy("__h", key).drop("__r", "quota", "__h", "__salt")
 
 
-def fingerprint(corpus: DataFrame, buckets: int = 4096) -> str:
-    """SHA-256 of a corpus ``id, text`` in id order, as a tree: rows are hashed where they lie,
-    bucket digests by range of the id's hash, and the bounded list of digests last."""
+def fingerprint(corpus: DataFrame, levels: int = 3) -> str:
+    """SHA-256 of a corpus ``id, text`` as a tree over the hash of the id: rows are hashed where they
+    lie, and every level folds the digests of groups of 4,096 at most on average, so no task sees
+    more than its group and the driver one digest."""
     rows = corpus.select(F.sha2(F.col("id").cast("string"), 256).alias("k"), F.sha2(F.concat_ws("\n", F.col("id").cast("string"), F.col("text"), F.lit("---")), 256).alias("h"))
-    digests = rows.groupBy(F.conv(F.substring("k", 1, 3), 16, 10).cast("int").alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("d"))
-    return hashlib.sha256("".join(r["d"] for r in sorted(digests.collect(), key=lambda r: r["b"])[:buckets]).encode()).hexdigest()
+    for n in [3 * (levels - i) for i in range(1, levels + 1)]:
+        rows = rows.groupBy(F.substring("k", 1, n).alias("k")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "h"))), lambda x: x["h"]), ""), 256).alias("h"))
+    first = rows.first()
+    return hashlib.sha256((first["h"] if first else "").encode()).hexdigest()
 
 
 def ordered_fingerprint(corpus: DataFrame, order: str = "id") -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import parse as P
 from evidra.functions import text as X
+from evidra.lineage import keep
 from evidra.operators import answers, chunking, evaluation, metrics, relational, reliability, retrieval, sampling
 from evidra.plans.oracle import ORACLE  # noqa: F401 - part of this module's surface
 from evidra.sources import sinks
@@ -49,6 +50,13 @@ def run(spark: SparkSession, sf: str, column: str = "question", k: int = 20) ->
     return retrieval.bm25_search(corpus(spark, sf), questions(spark, sf, column), k)
 
 
+def runs(spark: SparkSession, sf: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
+    """Runs of the questions and of the answers against one index of the corpus."""
+    c = corpus(spark, sf)
+    postings = keep(retrieval.bm25_index(c)[0])
+    return retrieval.bm25_search(c, questions(spark, sf), k, postings=postings), retrieval.bm25_search(c, questions(spark, sf, "answer"), k, postings=postings)
+
+
 def generations(spark: SparkSession, sf: str) -> DataFrame:
     """Upgraded generation records, one per id: the latest."""
     return evaluation.upgrade_records(relational.deduplicate(table(spark, sf, "generations"), ["id"], ["created_at"]))
@@ -119,12 +127,12 @@ def minmax_norm(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fusion_linear(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.linear_fusion(run(spark, sf), run(spark, sf, "answer"), 0.3, 20).select("query_id", "id", "rank", r6("score").alias("score"))
+    return retrieval.linear_fusion(*runs(spark, sf), 0.3, 20).select("query_id", "id", "rank", r6("score").alias("score"))
 
 
 @query
 def fusion_rrf(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.rrf_fusion(run(spark, sf), run(spark, sf, "answer"), 20).select("query_id", "id", "rank", r6("score").alias("score"))
+    return retrieval.rrf_fusion(*runs(spark, sf), 20).select("query_id", "id", "rank", r6("score").alias("score"))
 
 
 @query
@@ -172,7 +180,7 @@ def doc_metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def fused_metrics_summary(spark: SparkSession, sf: str) -> DataFrame:
-    fused = retrieval.rrf_fusion(run(spark, sf), run(spark, sf, "answer"), 20)
+    fused = retrieval.rrf_fusion(*runs(spark, sf), 20)
     m = metrics.summary(metrics.ranking_metrics(fused, gold(spark, sf), K_VALUES))
     return m.select("k", "n_queries", *[r6(c).alias(c) for c in ("mrr", "hit_recall", "set_recall", "ndcg")])
 
@@ -318,6 +326,94 @@ def adversarial_groups(spark: SparkSession, sf: str) -> DataFrame:
     return evaluation.adversarial_groups(evaluation.validate_labels(items))
 
 
+def _last_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """``id, judge, label``: of a judge's labels of a record the last one, all judges."""
+    j = table(spark, sf, "judge_labels").groupBy("id", "judge").agg(F.max_by(F.struct("label"), F.struct("labelled_at", "label")).alias("l"))
+    return j.select("id", "judge", F.regexp_replace(F.lower(F.trim("l.label")), r"[-\s]+", "_").alias("label"))
+
+
+def _judged_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Every record with every judge's label of it."""
+    a = table(spark, sf, "adversarial").groupBy("id").agg(F.max_by(F.struct("base_id", "model_key", "adversarial_category", "pred_answer"), F.struct("created_at", "pred_answer")).alias("r")).select("id", "r.*")
+    rows = a.withColumn("model", evaluation.model_of(a)).withColumn("category", X.category(F.col("adversarial_category"))).withColumn("system_output", evaluation.system_output(a))
+    return evaluation.judged_items(rows.join(_last_labels(spark, sf), "id"))
+
+
+@query
+def adversarial_items(spark: SparkSession, sf: str) -> DataFrame:
+    return _judged_items(spark, sf).select("id", "base_id", "model", "category", "judge", "system_output", "label", "judge_source", "valid", "behaviour", "acceptable", "not_fulfilled", "fulfilled_unsuitable", "helpful", "pure_abstention")
+
+
+@query
+def adversarial_measures(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.adversarial_measures(_judged_items(spark, sf))
+
+
+@query
+def missing_id_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.missing_reports(table(spark, sf, "adversarial").select(F.col("base_id").alias("id")), table(spark, sf, "task_items"))
+
+
+@query
+def context_found(spark: SparkSession, sf: str) -> DataFrame:
+    """Per run: context ids asked for, found in the corpus and missing, per record."""
+    g = generations(spark, sf)
+    per = evaluation.context_found(g, corpus(spark, sf)).join(g.select("id", "run"), "id")
+    return per.groupBy("run").agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{name}_{c}") for c in ("requested", "found", "missing") for name, f in (("min", F.min), ("max", F.max), ("sum", F.sum))], *[r6(F.avg(c)).alias(f"mean_{c}") for c in ("requested", "found", "missing")])
+
+
+def _verdicts(spark: SparkSession, sf: str) -> DataFrame:
+    """The recorded labels as a judge's verdicts: acceptable ones are correct, void ones unreadable;
+    a label given again counts as a second attempt."""
+    tries = table(spark, sf, "judge_labels").groupBy("id", "judge").agg(F.countDistinct("labelled_at").alias("attempts"))
+    rows = _judged_items(spark, sf).join(tries, ["id", "judge"])
+    correct = F.when(F.col("valid"), F.col("acceptable"))
+    status = evaluation.judge_status(relational.malformed(F.col("pred_answer")), F.col("pred_answer"), F.lit(None).cast("string"), correct)
+    return rows.withColumn("correct", correct).withColumn("status", status).withColumn("cached", F.lit(False))
+
+
+@query
+def judge_accuracy(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.accuracy_summary(_verdicts(spark, sf), ["judge"])
+
+
+@query
+def judge_accuracy_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.accuracy_summary(_verdicts(spark, sf), ["category"])
+
+
+@query
+def judge_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return evaluation.judge_counters(_verdicts(spark, sf), ["judge"])
+
+
+@query
+def nugget_summary(spark: SparkSession, sf: str) -> DataFrame:
+    _, q = evaluation.nugget_recall(nuggets(spark, sf))
+    cases = evaluation.question_case(_scored_slots(spark, sf), _answer_states(spark, sf))
+    enough = _scored_slots(spark, sf).groupBy("query_id").agg(F.min("retrieved").alias("all_retrieved"))
+    return evaluation.nugget_summary(cases.join(q, "query_id", "left").join(enough, "query_id", "left"))
+
+
+@query
+def partial_abstentions(spark: SparkSession, sf: str) -> DataFrame:
+    s = evaluation.evaluated_status(F.col("final_status"), F.col("error"), F.col("pred_answer"), strict_error=True)
+    return generations(spark, sf).select("id", relational.partly_abstains(F.col("answer_raw")).alias("partly"), s.alias("strict_status"))
+
+
+@query
+def clean_means(spark: SparkSession, sf: str) -> DataFrame:
+    return generations(spark, sf).groupBy("run").agg(r6(evaluation.clean_mean(F.col("llm_latency_s"))).alias("latency"), r6(evaluation.clean_mean(F.when(F.col("num_citations") > 0, F.lit(1.0) * F.col("num_citations")).otherwise(F.lit(float("nan"))))).alias("cited"))
+
+
+@query
+def list_means_by_run(spark: SparkSession, sf: str) -> DataFrame:
+    """Means per question type of long scores; the run stands for the type."""
+    s = answers.score_list(_answered(spark, sf)).join(generations(spark, sf).select("id", F.col("run").alias("qtype")), "id")
+    out = answers.by_type(s.select("qtype", *[F.col(c).cast("double").alias(c) for c in ("precision", "recall", "f1")]).unpivot(["qtype"], ["precision", "recall", "f1"], "metric", "value"))
+    return out.select("qtype", "metric", "n", r6("mean").alias("mean"))
+
+
 # ---- agreement ---------------------------------------------------------------------------------
 def _pairs(spark: SparkSession, sf: str, value: str = "label") -> DataFrame:
     return reliability.paired(judged(spark, sf, "judge_ash"), judged(spark, sf, "judge_birch"), "id", value, "category")
@@ -517,6 +613,83 @@ def contents_dropped(spark: SparkSession, sf: str) -> DataFrame:
     return c.filter(~F.exists("section_paths", lambda p: relational.toc_like(X.section_leaf(p)))).select("chunk_id")
 
 
+@query
+def chunks_kept(spark: SparkSession, sf: str) -> DataFrame:
+    """Chunks that are neither contents nor a caption that stands alone."""
+    c = chunks(spark, sf)
+    return c.filter(relational.kept_chunk(c)).select("chunk_id")
+
+
+@query
+def references_dropped(spark: SparkSession, sf: str) -> DataFrame:
+    """The cut by titles of reference lists, with some sections renamed to each of the titles."""
+    names = F.array(*[F.lit(x) for x in ("Works Cited", "reference list", " BIBLIOGRAPHY ", "References", "References 2024", "Referenced work")])
+    b = blocks(spark, sf)
+    renamed = F.element_at(names, (F.col("order_idx") % 6 + 1).cast("int"))
+    b = b.withColumn("text", F.when((F.col("block_type") == "heading") & (F.col("order_idx") % 5 == 0), renamed).otherwise(F.col("text")))
+    b = b.withColumn("section_path", F.when(F.col("order_idx") % 17 == 0, F.concat_ws(" > ", "section_path", renamed)).otherwise(F.col("section_path")))
+    return chunking.drop_references(b).select("block_id")
+
+
+@query
+def page_order(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.page_order(blocks(spark, sf)).select("block_id", F.col("pos").cast("bigint").alias("pos"))
+
+
+@query
+def page_sections(spark: SparkSession, sf: str) -> DataFrame:
+    return chunking.page_sections(blocks(spark, sf))
+
+
+@query
+def short_paragraphs(spark: SparkSession, sf: str) -> DataFrame:
+    m = chunking.merge_short_paragraphs(blocks(spark, sf))
+    return m.select("block_id", "order_idx", "block_type", "page_start", "page_end", F.length("text").cast("bigint").alias("chars"), F.sha2("text", 256).alias("h"))
+
+
+@query
+def overlap_sources(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunking.chunk_overlaps(chunks(spark, sf), 40)
+    return c.select("chunk_id", "overlap_from", F.sha2("overlap_text", 256).alias("h"))
+
+
+@query
+def orphan_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts of thinly covered pages that no block but a caption or heading holds."""
+    b = blocks(spark, sf)
+    return chunking.orphans(b, b.filter("block_type in ('heading', 'figure_caption')"), 80).select("block_id")
+
+
+@query
+def patched_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    b = blocks(spark, sf)
+    out = chunking.apply_patches(b, b.filter("order_idx = 0").select("block_id"), [("text", r"^\s*page\s+\d+", "im"), ("section_title", "appendix", "i"), ("block_type", "^Table$")])
+    return out.select("block_id")
+
+
+@query
+def bad_context_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return generations(spark, sf).select("id", F.size(relational.bad_ids(F.col("context_ids"), r"^doc[0-9a-z]{8,}_(?:chunk)?\d{6,}$")).cast("bigint").alias("n_bad"))
+
+
+@query
+def unscored_queries(spark: SparkSession, sf: str) -> DataFrame:
+    return relational.skip_unscored(questions(spark, sf), gold(spark, sf))[1]
+
+
+@query
+def relevant_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    """Relevance judgements from the gold evidence: its place modulo three."""
+    q = table(spark, sf, "task_items").select(F.col("id").alias("query_id"), F.posexplode(X.gold_chunk_ids(F.col("gold_evidence"))).alias("pos", "doc_id"))
+    return relational.relevant(q.withColumn("relevance", F.col("pos") % 3))
+
+
+@query
+def same_slot_keys(spark: SparkSession, sf: str) -> DataFrame:
+    s = _slots(spark, sf).groupBy("query_id").agg(F.array_sort(F.collect_set("slot")).alias("a"), F.array_sort(F.collect_list("slot")).alias("b"))
+    return s.select("query_id", relational.assert_same_keys(F.col("a"), F.col("b"), "slots").alias("same"))
+
+
 @query
 def block_shapes(spark: SparkSession, sf: str) -> DataFrame:
     t = F.col("text")
@@ -577,6 +750,33 @@ def label_cleanup(spark: SparkSession, sf: str) -> DataFrame:
     return j.select("label", X.normalize_label(F.col("label")).alias("norm"), X.nugget_label(F.col("label")).alias("nugget"), X.category(F.col("label")).alias("category"))
 
 
+@query
+def sentence_snaps(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunks(spark, sf)
+    return c.select("chunk_id", F.sha2(X.snap_to_sentence(F.col("body")), 256).alias("h"))
+
+
+@query
+def short_forms(spark: SparkSession, sf: str) -> DataFrame:
+    """Slugs of models, percentages, estimates of question types."""
+    g = generations(spark, sf)
+    return g.select("id", X.slug(F.concat_ws(" / ", "model_key", "run")).alias("slug"), X.percent(F.when(F.col("num_citations") > 0, F.lit(1.0) / F.col("num_citations"))).alias("share"), X.question_type(F.element_at(F.array(F.lit("Yes/No"), F.lit("yes-no"), F.lit(" factoid "), F.lit("LIST"), F.lit("other")), (F.length("id") % 5 + 1).cast("int"))).alias("qtype"))
+
+
+@query
+def context_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    g = generations(spark, sf)
+    return g.select("id", F.sha2(X.context_block(F.coalesce("contexts", F.array().cast("array<string>")), 3, 200), 256).alias("h"))
+
+
+@query
+def slot_id_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Ids of a slot from a comma-separated text and from a JSON list: the same."""
+    g = generations(spark, sf).filter(F.size("context_ids") > 0)
+    a, b = X.slot_ids(F.array_join("context_ids", " ,, ")), X.slot_ids(F.to_json("context_ids"))
+    return g.select("id", F.array_join(a, ",").alias("ids"), (a == b).alias("same"))
+
+
 @query
 def event_fields(spark: SparkSession, sf: str) -> DataFrame:
     """Typed fields of a JSON column and a numeric text, per event type."""

@@ -39,8 +39,10 @@ def write_csv(frames: Sequence[DataFrame], path: str) -> None:
     out.select(*names).write.mode("overwrite").option("header", True).csv(path)
 
 
-def write_trace(trace: DataFrame, path: str) -> None:
-    write_jsonl(trace, path)
+def write_trace(trace: DataFrame, path: str, part: str | None = None) -> None:
+    """JSON lines of a trace. With ``part`` (a stage or batch of queries) only that part of the sink is
+    written, so that a long run is kept as it goes and a part that runs again replaces itself."""
+    write_jsonl(trace, path if part is None else f"{path}/part={part}")
 
 
 def write_if_changed(new: DataFrame, old: DataFrame, keys: Sequence[str], path: str) -> int:
@@ -67,8 +69,10 @@ def flatten_summary(summary: DataFrame, by: Sequence[str]) -> DataFrame:
 
 
 def markdown_table(df: DataFrame, most: int = 1000) -> str:
-    """A small frame as a Markdown table."""
-    rows = df.limit(most).collect()
+    """A small frame as a Markdown table; more than ``most`` rows are an error, not cut."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} rows for one Markdown table")
     lines = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
     return "\n".join([*lines, *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
