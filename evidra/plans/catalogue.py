@@ -784,6 +784,58 @@ def event_fields(spark: SparkSession, sf: str) -> DataFrame:
     return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), r6(F.avg(X.safe_float(F.col("value").cast("string")))).alias("mean"), F.count_if(F.get_json_object("props", "$.k").isNotNull()).alias("n_k"))
 
 
+def _trees(spark: SparkSession, sf: str) -> DataFrame:
+    """Document trees made of the blocks, 256 places of a document to a tree."""
+    b = blocks(spark, sf).withColumn("tree", F.concat_ws("#", "doc_id", F.floor(F.col("order_idx") / 256).cast("string")))
+    label = F.when(F.col("block_type") == "heading", "section_header").when(F.col("block_type") == "list", "list_item").when(F.col("block_type") == "figure_caption", "caption").otherwise(F.col("block_type"))
+    node = F.struct(label.alias("label"), F.col("text"), F.lit(1).alias("level"), F.when(F.col("page_start").isNotNull(), F.array(F.struct(F.col("page_start").alias("page_no")))).alias("prov"))
+    return b.groupBy(F.col("tree").alias("doc_id")).agg(F.to_json(F.struct(F.struct(F.transform(F.array_sort(F.collect_list(F.struct("order_idx", "block_id", node.alias("node")))), lambda x: x["node"]).alias("children")).alias("body"))).alias("json"))
+
+
+@query
+def tree_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Blocks of document trees in reading order, with pages, sections and without references."""
+    b = chunking.extract_blocks(_trees(spark, sf))
+    return b.select("doc_id", F.col("order_idx").cast("bigint").alias("order_idx"), "block_type", "page_start", "section_title", F.sha2("text", 256).alias("h"))
+
+
+@query
+def parsed_round_trip(spark: SparkSession, sf: str) -> DataFrame:
+    """Answers and citations written as fenced JSON, JSON in prose or bare JSON, and parsed again."""
+    g = generations(spark, sf).filter(~F.contains("answer_raw", F.lit("\\")))
+    body = F.to_json(F.struct(F.col("answer_raw").alias("answer"), F.col("citations_raw").alias("citations")))
+    kind = F.length("id") + F.size("citations_raw")
+    raw = F.when(kind % 3 == 0, F.concat(F.lit("Sure:\n```json\n"), body, F.lit("\n```\nDone."))).when(kind % 3 == 1, F.concat(F.lit("Here it is: "), body, F.lit(" }"))).otherwise(body)
+    parsed = g.select("id", P.parse_structured(raw).alias("p"), P.parse_closed_book(body).alias("c"), P.parse_verdict(F.concat(F.lit("First NO, then\n"), F.when(kind % 2 == 0, "**YES**").otherwise("No."), F.lit("\n"))).alias("verdict"))
+    return parsed.select("id", "p.answer", F.array_join("p.citations", ",").alias("citations"), F.col("c.parse_status").alias("status"), "verdict")
+
+
+@query
+def units_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: segments and tokens in its units, and units too short beside others."""
+    u = units_coalesced(spark, sf)
+    return u.groupBy("doc_id").agg(F.sum("n_segments").alias("segments"), F.sum("token_len").alias("tokens"), F.when(F.count(F.lit(1)) > 1, F.count_if(F.col("token_len") < 140)).otherwise(0).cast("bigint").alias("short"))
+
+
+@query
+def packed_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document: blocks that its chunks hold, and chunks over the cap."""
+    seq = _sequence(spark, sf)
+    units = chunking.coalesce_units(seq.select("doc_id", "seq", "token_len")).select("doc_id", "seq", "unit_no")
+    of_block = seq.join(units, ["doc_id", "seq"]).select("doc_id", "unit_no", F.explode("block_ids").alias("block_id"))
+    rows = blocks(spark, sf).join(of_block, ["doc_id", "block_id"])
+    c = chunking.pack_units(rows.select("doc_id", "unit_no", "order_idx", "block_id", "block_type", "section_path", "text"))
+    held = c.select("doc_id", F.explode("block_ids").alias("b")).groupBy("doc_id").agg(F.countDistinct("b").alias("n_blocks"))
+    return held.join(c.groupBy("doc_id").agg(F.count_if(F.col("token_len") > 510).alias("over")), "doc_id")
+
+
+@query
+def abstracts_totals(spark: SparkSession, sf: str) -> DataFrame:
+    """Per document of any source: that it has chunks, and how many are over the cap."""
+    d = table(spark, sf, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), "title", "text").dropDuplicates(["doc_id"])
+    return chunking.pack_abstracts(d).groupBy("doc_id").agg(F.count_if(F.col("token_len") > 510 + 40).alias("over"))
+
+
 # ---- corpora and samples -----------------------------------------------------------------------
 @query
 def stratified_quota(spark: SparkSession, sf: str) -> DataFrame:
@@ -799,6 +851,11 @@ def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.stratified_sample(d, "doc_id", "source", sampling.largest_remainder(counts, 100, 3))
 
 
+@query
+def sample_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return stratified_sample(spark, sf).groupBy(F.col("source").alias("stratum")).agg(F.count(F.lit(1)).alias("n"))
+
+
 @query
 def fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return sampling.ordered_fingerprint(corpus(spark, sf))

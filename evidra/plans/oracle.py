@@ -513,4 +513,35 @@ ORACLE: dict[str, str] = {
         l AS (SELECT g.run AS qtype, p, r, coalesce(2 * p * r / nullif(p + r, 0), 0.0) AS f FROM s JOIN ({GENERATIONS}) g USING (id))
         SELECT qtype, 'precision' AS metric, count(*) AS n, round(avg(p), 6) AS mean FROM l GROUP BY qtype UNION ALL SELECT qtype, 'recall', count(*), round(avg(r), 6) FROM l GROUP BY qtype UNION ALL SELECT qtype, 'f1', count(*), round(avg(f), 6) FROM l GROUP BY qtype
     """,
+    "sample_counts": """
+        WITH c AS (SELECT source AS stratum, count(DISTINCT doc_id) AS available FROM documents WHERE source IS NOT NULL GROUP BY source),
+        b AS (SELECT *, least(3, available) AS base, available - least(3, available) AS room FROM c),
+        l AS (SELECT *, least(100, sum(available) OVER ()) - sum(base) OVER () AS rest, coalesce((least(100, sum(available) OVER ()) - sum(base) OVER ()) * room::DOUBLE / nullif(sum(room) OVER (), 0), 0) AS share FROM b),
+        r AS (SELECT *, row_number() OVER (ORDER BY share - floor(share) DESC, stratum) AS at_, rest - sum(floor(share)) OVER () AS over_ FROM l)
+        SELECT stratum, (base + floor(share) + CASE WHEN at_ <= over_ THEN 1 ELSE 0 END)::BIGINT AS n FROM r
+    """,
+    "tree_blocks": rf"""
+        WITH b AS (SELECT *, doc_id || '#' || (order_idx // 256) AS tree, {STRIP.format("coalesce(text, '')")} AS t FROM ({BLOCKS})),
+        h AS (SELECT *, last_value(CASE WHEN block_type = 'heading' AND t <> '' THEN t END IGNORE NULLS) OVER w AS head, last_value(page_start IGNORE NULLS) OVER w AS page FROM b WINDOW w AS (PARTITION BY tree ORDER BY order_idx, block_id ROWS UNBOUNDED PRECEDING)),
+        k AS (SELECT * FROM h WHERE t <> '' AND NOT coalesce(regexp_full_match(trim(head), '(?i)(references|bibliography|reference list|works cited)'), false)
+            AND length(t) >= CASE block_type WHEN 'heading' THEN 1 WHEN 'list' THEN 3 WHEN 'table' THEN 3 WHEN 'figure_caption' THEN 3 ELSE 30 END)
+        SELECT tree AS doc_id, row_number() OVER (PARTITION BY tree ORDER BY order_idx, block_id) - 1 AS order_idx, CASE block_type WHEN 'list' THEN 'list_item' ELSE block_type END AS block_type, page AS page_start, head AS section_title, sha256(t) AS h FROM k
+    """,
+    "parsed_round_trip": f"""
+        SELECT id, {STRIP.format("answer_raw")} AS answer, coalesce(array_to_string(list_filter(ids, lambda x, i: list_position(ids, x) = i), ','), '') AS citations,
+            CASE WHEN {STRIP.format("answer_raw")} = '' THEN 'empty' ELSE 'json' END AS status, (length(id) + len(citations_raw)) % 2 = 0 AS verdict
+        FROM (SELECT *, list_transform(citations_raw, lambda c: coalesce(nullif(regexp_extract(c, '(?i)doc[a-z0-9]{{8,}}_(chunk)?[0-9]{{6,}}'), ''), c)) AS ids FROM ({GENERATIONS})) WHERE NOT contains(answer_raw, chr(92))
+    """,
+    "units_totals": f"WITH s AS (SEGMENTS) SELECT doc_id, count(*) AS segments, sum(token_len)::BIGINT AS tokens, 0::BIGINT AS short FROM s GROUP BY doc_id",
+    "packed_totals": rf"""
+        WITH k AS (SELECT *, coalesce(nullif(trim(section_id), ''), nullif(trim(section_path), ''), nullif(trim(section_title), ''), 'no_section') AS key FROM ({BLOCKS})),
+        c AS (SELECT *, CASE WHEN lag(key) OVER w IS NOT DISTINCT FROM key AND row_number() OVER w > 1 THEN 0 ELSE 1 END AS ch FROM k WINDOW w AS (PARTITION BY doc_id ORDER BY order_idx, block_id)),
+        i AS (SELECT *, sum(ch) OVER (PARTITION BY doc_id ORDER BY order_idx, block_id) AS isl FROM c),
+        j AS (SELECT *, first_value(section_path) OVER (PARTITION BY doc_id, isl ORDER BY order_idx, block_id) AS sp FROM i)
+        SELECT doc_id, count(DISTINCT block_id) AS n_blocks, 0::BIGINT AS over FROM j
+        WHERE block_type <> 'heading' AND {STRIP.format("coalesce(text, '')")} <> '' AND NOT regexp_matches(key, '(?i)^\s*(table\s+of\s+contents|contents|toc)\s*$') AND NOT regexp_matches(coalesce(string_split(sp, '>')[-1], ''), '(?i)^\s*(table\s+of\s+contents|contents|toc)\s*$')
+        GROUP BY doc_id
+    """,
+    "abstracts_totals": f"SELECT DISTINCT doc_id::VARCHAR AS doc_id, 0::BIGINT AS over FROM documents WHERE {STRIP.format("coalesce(text, '')")} <> ''",
 }
+ORACLE["units_totals"] = ORACLE["units_totals"].replace("SEGMENTS", ORACLE["segments_islands"])
