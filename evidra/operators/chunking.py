@@ -12,11 +12,13 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import clean_text, pytrim, section_leaf, title_for_prefix
+from evidra.lineage import cut
 from evidra.operators.relational import islands, renumber, toc_like
 
 TOKEN = r"[\p{L}\p{N}]+|[^\s\p{L}\p{N}]"
@@ -222,35 +224,63 @@ def segments(blocks: DataFrame, slides: bool = False) -> DataFrame:
     return out.select("doc_id", F.col("island").cast("int").alias("seg_no"), F.col("key").alias("section_key"), "section_path", "page_start", "page_end", "block_ids", "token_len")
 
 
+_NODE = "doc_id string, node int, ends array<int>, closed array<int>"
+
+
+def _compose(tables: list[tuple[np.ndarray, np.ndarray]], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """One table for stretches that follow each other."""
+    fill, closed = np.arange(least), np.zeros(least, dtype=np.int64)
+    for ends, n in tables:
+        closed, fill = closed + n[fill], ends[fill]
+    return fill, closed
+
+
 def coalesce_units(segs: DataFrame, least: int = 140, stretch: int = 512) -> DataFrame:
     """``doc_id, seq, token_len, unit_no``: consecutive segments (dense ``seq`` from 0) joined until a
-    unit has ``least`` tokens; a last unit below that is merged into the one before."""
-    pieces = segs.withColumn("part", F.floor(F.col("seq") / stretch).cast("int"))
-    packed = pieces.groupBy("doc_id", "part").agg(F.array_sort(F.collect_list(F.struct("seq", "token_len"))).alias("s"))
+    unit has ``least`` tokens; a last unit below that is merged into the one before. Stretches of
+    ``stretch`` segments are summed up in tables, these by ``stretch`` again and so on, until a
+    document has few; starting states are then handed down the same levels."""
+    pieces = segs.withColumn("node", F.floor(F.col("seq") / stretch).cast("int"))
+    packed = pieces.groupBy("doc_id", "node").agg(F.array_sort(F.collect_list(F.struct("seq", "token_len"))).alias("s"))
 
     def trace(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         # for every fill the buffer may start with: fill at the end, and units closed on the way
         for pdf in batches:
             out = []
-            for doc, part, s in zip(pdf["doc_id"], pdf["part"], pdf["s"]):
-                sizes = [x["token_len"] or 0 for x in s]
-                ends, closed = [], []
-                for fill in range(least):
-                    n = 0
-                    for v in sizes:
-                        fill += v
-                        if fill >= least:
-                            fill, n = 0, n + 1
-                    ends.append(fill)
-                    closed.append(n)
-                out.append((doc, part, ends, closed, sizes[-1] if sizes else 0))
-            yield pd.DataFrame(out, columns=["doc_id", "part", "ends", "closed", "last_size"])
-
-    table = packed.mapInPandas(trace, "doc_id string, part int, ends array<int>, closed array<int>, last_size int")
-    nested = table.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("part", "ends", "closed"))).alias("p"))
-    zero = F.struct(F.lit(0).alias("fill"), F.lit(0).alias("units"), F.array().cast("array<struct<part:int,fill:int,units:int>>").alias("starts"))
-    state = F.aggregate("p", zero, lambda a, x: F.struct(F.element_at(x["ends"], a["fill"] + 1).alias("fill"), (a["units"] + F.element_at(x["closed"], a["fill"] + 1)).alias("units"), F.array_append(a["starts"], F.struct(x["part"].alias("part"), a["fill"].alias("fill"), a["units"].alias("units"))).alias("starts")))
-    starts = nested.select("doc_id", state.alias("z")).select("doc_id", F.col("z.units").alias("total"), F.col("z.fill").alias("tail"), F.explode("z.starts").alias("x")).select("doc_id", "total", "tail", "x.part", "x.fill", "x.units")
+            for doc, node, s in zip(pdf["doc_id"], pdf["node"], pdf["s"]):
+                fill, closed = np.arange(least), np.zeros(least, dtype=np.int64)
+                for x in s:
+                    fill = fill + (x["token_len"] or 0)
+                    full = fill >= least
+                    fill, closed = np.where(full, 0, fill), closed + full
+                out.append((doc, node, fill.tolist(), closed.tolist()))
+            yield pd.DataFrame(out, columns=["doc_id", "node", "ends", "closed"])
+
+    def up(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        fill, closed = _compose([(np.array(e), np.array(c)) for e, c in pdf.sort_values("node")[["ends", "closed"]].itertuples(index=False)], least)
+        return pd.DataFrame([(*key, fill.tolist(), closed.tolist())], columns=["doc_id", "node", "ends", "closed"])
+
+    levels = [cut(packed.mapInPandas(trace, _NODE))]
+    nodes = (segs.agg(F.max("seq")).first()[0] or 0) // stretch
+    while nodes >= stretch:
+        levels.append(cut(levels[-1].groupBy("doc_id", F.floor(F.col("node") / stretch).cast("int").alias("node")).applyInPandas(up, _NODE)))
+        nodes //= stretch
+
+    def down(key: tuple, own: pd.DataFrame, start: pd.DataFrame) -> pd.DataFrame:
+        fill, units, out = int(start["fill"].iloc[0]) if len(start) else 0, int(start["units"].iloc[0]) if len(start) else 0, []
+        for node, ends, closed in own.sort_values("node")[["node", "ends", "closed"]].itertuples(index=False):
+            out.append((own["doc_id"].iloc[0], node, fill, units))
+            fill, units = int(ends[fill]), units + int(closed[fill])
+        return pd.DataFrame(out, columns=["doc_id", "node", "fill", "units"])
+
+    started = "doc_id string, node int, fill int, units int"
+    starts = levels[-1].limit(0).select("doc_id", "node", F.lit(0).alias("fill"), F.lit(0).alias("units"))
+    for tables in reversed(levels):
+        grouped = tables.withColumn("parent", F.floor(F.col("node") / stretch).cast("int")).groupBy("doc_id", "parent")
+        above = starts.select(F.col("doc_id").alias("d"), F.col("node").alias("parent_"), "fill", "units").groupBy("d", "parent_")
+        starts = grouped.cogroup(above).applyInPandas(down, started)
+    # units of a document: those closed in its last stretch and before
+    ends = starts.join(levels[0], ["doc_id", "node"]).groupBy("doc_id").agg(F.max(F.col("units") + F.element_at("closed", F.col("fill") + 1)).alias("total"))
 
     def replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -265,7 +295,7 @@ def coalesce_units(segs: DataFrame, least: int = 140, stretch: int = 512) -> Dat
                         fill, unit = 0, unit + 1
             yield pd.DataFrame(out, columns=["doc_id", "seq", "token_len", "unit_no"])
 
-    return packed.join(starts, ["doc_id", "part"]).mapInPandas(replay, "doc_id string, seq int, token_len int, unit_no int")
+    return packed.join(starts, ["doc_id", "node"]).join(ends, "doc_id").mapInPandas(replay, "doc_id string, seq int, token_len int, unit_no int")
 
 
 # ---- chunks ------------------------------------------------------------------------------------

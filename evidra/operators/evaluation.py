@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.text import first_nonblank
-from evidra.operators.relational import NIC, abstention_like, is_abstention, malformed, split_citations, truthy_error
+from evidra.operators.relational import NIC, abstention_like, is_abstention, malformed, running_counts, split_citations, truthy_error
 
 #: Case names of the taxonomies, in reporting order.
 SLOT_CASES = ["retrieved_and_supported", "retrieved_partially_supported", "retrieved_but_not_used", "retrieved_but_abstained", "not_retrieved_and_not_supported", "not_retrieved_but_answered"]
@@ -253,12 +253,10 @@ def order_statistics(df: DataFrame, column: str, by: Sequence[str], places: dict
     """Order statistics from value frequencies: per group only distinct values are ordered, so a
     hot group is aggregated before it meets in one task. ``places``: name to 0-based place as an
     expression over ``n``."""
-    from pyspark.sql import Window
-
     counts = df.filter(F.col(column).isNotNull()).groupBy(*by, column).agg(F.count(F.lit(1)).alias("c"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    run = w.orderBy(column).rowsBetween(Window.unboundedPreceding, 0)
-    marked = counts.withColumn("upto", F.sum("c").over(run)).withColumn("n", F.sum("c").over(w))
+    marked = running_counts(counts, column, "c", "below", by).withColumn("upto", F.col("below") + F.col("c"))
+    total = marked.groupBy(*by).agg(F.sum("c").alias("n"))
+    marked = marked.join(total, list(by)) if by else marked.crossJoin(F.broadcast(total))  # one row
     picks = [F.min(F.when(F.col("upto") > place.cast("bigint"), F.col(column))).alias(name) for name, place in places.items()]
     return marked.groupBy(*by).agg(F.max("n").alias("n"), F.min(column).alias("least"), F.max(column).alias("most"), *picks)
 

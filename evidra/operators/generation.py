@@ -106,9 +106,9 @@ def run_judge(requests: DataFrame, generate: Generate, readable: Callable[[str |
     return fresh if known is None else known.unionByName(fresh)
 
 
-def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame | None = None, attempts: int = 3, wait: float = 3.0) -> DataFrame:
-    """``id, correct, status, attempts, cached`` for ``id, question, gold, answer``; a verdict that stays
-    unreadable after all attempts is a failure."""
+def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame | None = None, attempts: int = 3, wait: float = 3.0, counted: bool = False) -> DataFrame:
+    """``id, correct, status`` for ``id, question, gold, answer``, with ``attempts, cached`` if they are
+    to be ``counted``; a verdict that stays unreadable after all attempts is a failure."""
     prompt = F.concat(F.lit("Question: "), "question", F.lit("\nReference: "), "gold", F.lit("\nAnswer: "), "answer", F.lit("\nIs the answer correct? Reply YES or NO."))
     asked = examples.select("id", call_key(F.col("question"), F.col("gold"), F.col("answer")).alias("key"), prompt.alias("prompt"))
 
@@ -118,7 +118,7 @@ def judge_correctness(examples: DataFrame, generate: Generate, cache: DataFrame
             yield pd.Series([verdict(x) for x in s], dtype="object")
 
     done = run_judge(asked, generate, lambda x: verdict(x) is not None, cache, attempts, wait)
-    return asked.select("id", "key").join(done, "key").withColumn("correct", read("output")).select("id", "correct", F.when(F.col("error").isNotNull(), "call_failed").when(F.col("correct").isNull(), "parse_failed").otherwise("ok").alias("status"), "attempts", "cached")
+    return asked.select("id", "key").join(done, "key").withColumn("correct", read("output")).select("id", "correct", F.when(F.col("error").isNotNull(), "call_failed").when(F.col("correct").isNull(), "parse_failed").otherwise("ok").alias("status"), *(["attempts", "cached"] if counted else []))
 
 
 def judge_adversarial(items: DataFrame, generate: Generate, cache: DataFrame | None = None, retries: int = 2, json_mode: bool = True) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions.text import chunk_number, pytrim
+from evidra.lineage import cut
 
 NIC = "NOT IN CONTEXT"
 #: Spellings that count as a full abstention, and marks of an unusable answer.
@@ -224,12 +225,24 @@ def renumber(df: DataFrame, partition: Sequence[str], order: Sequence[str], out:
     return _null_safe(rows, sizes, keys).withColumn(out, (F.col("__r") + F.col("__base")).cast("int")).drop("__s", "__r", "__base")
 
 
+def running_counts(counts: DataFrame, column: str, n: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
+    """Sum of ``n`` over the smaller values of ``column``. Without a partition the values are cut
+    into ranges, which are summed up side by side and stitched by their totals."""
+    before = lambda w: w.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    if partition:
+        return counts.withColumn(out, F.coalesce(F.sum(n).over(before(Window.partitionBy(*partition))), F.lit(0)))
+    ranged = cut(counts.repartitionByRange(F.col(column)).withColumn("__range", F.spark_partition_id()))
+    totals = ranged.groupBy("__range").agg(F.sum(n).alias("__t"))  # as many rows as partitions
+    base = totals.select("__range", F.coalesce(F.sum("__t").over(Window.partitionBy(F.lit(0)).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
+    own = ranged.withColumn(out, F.coalesce(F.sum(n).over(before(Window.partitionBy("__range"))), F.lit(0)))
+    return own.join(F.broadcast(base), "__range").withColumn(out, F.col(out) + F.col("__base")).drop("__range", "__base")
+
+
 def average_rank(df: DataFrame, column: str, out: str, partition: Sequence[str] = ()) -> DataFrame:
     """1-based ranks, ties share their mean. Counted from value frequencies, so ordering concerns
     distinct values, not rows."""
     counts = df.groupBy(*partition, column).agg(F.count(F.lit(1)).alias("__n"))
-    w = Window.partitionBy(*[F.col(p) for p in partition], F.lit(0)).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.withColumn("__below", F.coalesce(F.sum("__n").over(w), F.lit(0))).withColumn(out, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below")
+    ranks = running_counts(counts, column, "__n", "__below", partition).withColumn(out, F.col("__below") + (F.col("__n") + 1) / 2).drop("__n", "__below")
     return df.join(ranks, [*partition, column])
 
 

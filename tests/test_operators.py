@@ -335,3 +335,129 @@ def test_cleanup_covers_every_block_type(spark, small):
     got = {r["block_id"]: r["h"] for r in catalogue.QUERIES["clean_text_all"](spark, small).collect()}
     assert len({r["block_type"] for r in rows}) > 1
     assert got == {r["block_id"]: hashlib.sha256(brute(r["text"]).encode()).hexdigest() for r in rows}
+
+
+# ---- forms that must match, judges, summaries ---------------------------------------------------
+def test_forms_of_lines_and_titles(spark):
+    assert [one(spark, x, relational.figure_like) for x in ("Figure 3: a", "x\n fig. 2 shows", "Figure 3", "Table 1: a", "fig2.b", None)] == [True, True, False, False, True, False]
+    assert [one(spark, x, relational.bullet_like) for x in ("• a", "a\n 1. b", "1) b", "* a", "- a", "-", "")] == [True, True, False, False, True, False, False]
+    assert [one(spark, x, relational.toc_like) for x in (" TOC ", "Table  of contents", "Contents", "1 Contents", "Content")] == [True, True, True, False, False]
+    df = spark.createDataFrame([("a", ["X > TOC"], ["toc"], "", "text", 5), ("b", ["Intro"], [], "Section: Contents", "text", 5), ("c", ["Intro"], [], "", "Online Table 2 lists", 79), ("d", ["Intro"], [], "", "Online Table 2 lists", 80), ("e", None, None, None, None, None)], "chunk_id string, section_paths array<string>, section_ids array<string>, prefix string, body string, token_len_payload int")
+    assert {r[0] for r in df.filter(relational.kept_chunk(df)).select("chunk_id").collect()} == {"d", "e"}
+    b = spark.createDataFrame([("d", "1", "heading", 3, "A", "Works Cited", 1), ("d", "2", "paragraph", 2, "A", "x", 0), ("d", "3", "paragraph", 1, "A > Reference List", "x", 2), ("d", "4", "paragraph", 4, "A", "x", 3)], "doc_id string, block_id string, block_type string, page_start int, section_path string, text string, order_idx int")
+    assert {r[0] for r in chunking.drop_references(b).select("block_id").collect()} == {"2"}
+    assert {r[0] for r in chunking.apply_patches(b, None, [("text", "^works", "i"), ("section_path", "LIST")]).select("block_id").collect()} == {"2", "3", "4"}
+
+
+@pytest.mark.parametrize(
+    "raw, answer, cites",
+    [
+        ("see below. Answer: it is so\n citations: DOC12345678_000123 and doc0123456789ab_chunk000001, doc123_000001", "it is so", ["DOC12345678_000123", "doc0123456789ab_chunk000001"]),
+        ("no marks doc12345678_000001", "no marks doc12345678_000001", ["doc12345678_000001"]),
+    ],
+)
+def test_answers_without_json(raw, answer, cites):
+    assert P.structured(raw) == (answer, cites)
+
+
+def test_candidates_of_json(spark):
+    assert one(spark, '{"answers": ["B cell", "a", "a"]}', P.candidates) == ["b cell", "a"]
+    assert one(spark, '{"answer": "x; y"}', P.candidates) == ["x", "y"] and one(spark, "{x", P.candidates) == ["x"]
+
+
+def test_context_ids_are_checked(spark):
+    df = spark.createDataFrame([(["doc1", "bad"],), (["worse", "bad"],), (None,)], "ids array<string>")
+    assert tuple(relational.check_ids(df, "ids", r"^doc\d+$", strict=False).first()) == (3, ["bad", "worse"])
+    with pytest.raises(ValueError, match="3 ids"):
+        relational.check_ids(df, "ids", r"^doc\d+$")
+
+
+def test_unreadable_verdicts_are_asked_again(spark, tmp_path):
+    log = tmp_path / "calls"
+
+    def model(prompts):
+        with open(log, "a") as f:
+            f.write("x\n" * len(prompts))
+        n = log.read_text().count("x")
+        if "never" in prompts[0]:
+            return ["perhaps"]
+        return ["YES"] if n > 2 else ["hm"]
+
+    ex = spark.createDataFrame([("1", "q", "g", "a")], "id string, question string, gold string, answer string")
+    assert tuple(generation.judge_correctness(ex, model, wait=0.0, counted=True).first()) == ("1", True, "ok", 3, False)
+    never = spark.createDataFrame([("2", "q never", "g", "a")], ex.schema)
+    assert tuple(generation.judge_correctness(never, model, wait=0.0, counted=True).first())[1:4] == (None, "parse_failed", 3)
+    rows = spark.createDataFrame([("ok", True, False, 3), ("ok", False, True, 0), ("parse_error", None, False, 3), ("skipped_canonical_nic", None, False, 1)], "status string, correct boolean, cached boolean, attempts int")
+    c = evaluation.judge_counters(rows).first()
+    assert (c["calls"], c["cached_labels"], c["retries"], c["n_ok"], c["n_skipped_canonical_nic"]) == (2, 1, 4, 2, 1)
+    a = evaluation.accuracy_summary(rows).first()
+    assert (a["accuracy_conditional"], a["accuracy_end_to_end"]) == (0.5, 0.25)
+
+
+def test_label_judge(spark):
+    def model(prompts):
+        return [{"a": '{"label": " Corrected ", "reason": "r"}', "b": "no json"}["a" if "Answer: yes" in p else "b"] for p in prompts]
+
+    items = spark.createDataFrame([("1", "q", "yes", "false_presupposition"), ("2", "q", None, "nonsensical"), ("3", "q", "x", "odd")], "id string, question string, answer string, category string")
+    got = {r["id"]: (r["label"], r["reason"]) for r in generation.judge_adversarial(items, model).collect()}
+    assert got["1"] == ("corrected", "r") and got["2"][0] == got["3"][0] == "unclear" and "no json" in got["2"][1]
+
+    def broken(prompts):
+        raise RuntimeError("down")
+
+    assert {(r["label"], r["reason"][:11]) for r in generation.judge_adversarial(items, broken, retries=0).collect()} == {("unclear", "call failed")}
+
+
+def test_nuggets_by_slot_and_all_together(spark):
+    n = spark.createDataFrame([("q", "?", "full answer", "s1", ["a", "b"], False), ("q", "?", "full answer", "s2", ["c"], False), ("f", "?", "x", "s", ["d"], True), ("n", "?", "not in context", "s", ["e"], False)], "query_id string, question string, answer string, slot string, nuggets array<string>, failed boolean")
+
+    def model(prompts):
+        return [json.dumps({"labels": ["support" if x in ("a", "c") else "partial" for x in p.split("\n")[3:]]}) for p in prompts]
+
+    rows = lambda mode: {tuple(r) for r in generation.score_nuggets(n, model, mode=mode).collect()}
+    assert rows("per_slot") == rows("all") == {("q", "s1", 0, "a", "support"), ("q", "s1", 1, "b", "partial_support"), ("q", "s2", 0, "c", "support"), ("f", "s", 0, "d", "not_support"), ("n", "s", 0, "e", "not_support")}
+    with pytest.raises(ValueError):
+        generation.score_nuggets(n, model, mode="some")
+
+
+def test_reports_and_parts_of_sinks(spark, tmp_path):
+    g, d = spark.createDataFrame([("a",), ("x",), (" ",), (None,)], "id string"), spark.createDataFrame([("a",), ("b",)], "id string")
+    assert {tuple(r) for r in relational.missing_reports(g, d).collect()} == {("", "generation_missing_id"), ("x", "generation_id_missing_in_dataset"), ("b", "dataset_id_missing_in_generations")}
+    with pytest.raises(ValueError, match="Markdown"):
+        sinks.markdown_table(spark.range(5), 4)
+    for part in ("one", "two", "one"):
+        sinks.write_trace(g.filter("id = 'a'"), str(tmp_path / "trace"), part)
+    assert spark.read.json(str(tmp_path / "trace")).count() == 2
+    assert evaluation.detect_token(spark.createDataFrame([("no context",), ("NO_CONTEXT",), ("not in context",)], "pred_answer string")) == "NO_CONTEXT"
+
+
+@pytest.mark.parametrize("stretch", [2, 3, 512])
+def test_units_of_stretches_within_stretches(spark, stretch):
+    """Levels of tables give the units of a plain walk, for documents of any length."""
+    import random
+
+    rng = random.Random(stretch)
+    rows = [(d, i, rng.choice([0, 30, 70, 139, 200])) for d, n in (("a", 40), ("b", 1), ("c", 7)) for i in range(n)] + [("n", 0, None)]
+    got = {(r["doc_id"], r["seq"]): r["unit_no"] for r in chunking.coalesce_units(spark.createDataFrame(rows, "doc_id string, seq int, token_len int"), 140, stretch).collect()}
+    for d in "abcn":
+        fill, unit, want = 0, 0, []
+        for _, i, v in (r for r in rows if r[0] == d):
+            want.append(unit)
+            fill += v or 0
+            if fill >= 140:
+                fill, unit = 0, unit + 1
+        want = [min(u, max(unit - 1, 0)) for u in want]
+        assert [got[d, i] for i in range(len(want))] == want
+
+
+def test_ranks_and_order_statistics_without_groups(spark):
+    import random
+
+    rng = random.Random(1)
+    values = [rng.randint(0, 40) for _ in range(300)]
+    df = spark.createDataFrame([(v,) for v in values], "x int").repartition(5)
+    up = sorted(values)
+    ranks = {r["x"]: r["r"] for r in relational.average_rank(df, "x", "r").collect()}
+    assert all(ranks[v] == up.index(v) + (up.count(v) + 1) / 2 for v in set(values))
+    s = evaluation.order_statistics(df, "x", [], {"p50": F.floor(F.col("n") / 2), "p90": F.floor(0.9 * (F.col("n") - 1))}).first()
+    assert (s["n"], s["least"], s["most"], s["p50"], s["p90"]) == (300, up[0], up[-1], up[150], up[269])
