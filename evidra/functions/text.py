@@ -142,6 +142,17 @@ def pmid_from_url(url: Column) -> Column:
     return F.when(F.size(parts) > 0, F.concat(F.lit("pmid:"), F.element_at(parts, -1)))
 
 
+def document_ids(urls: Column) -> Column:
+    """Distinct document ids of a list of addresses, in their order; other addresses are dropped."""
+    ids = F.transform(F.coalesce(urls, F.array().cast("array<string>")), pmid_from_url)
+    return F.array_distinct(F.filter(ids, lambda x: x.isNotNull()))
+
+
+def snippets(value: Column) -> Column:
+    """Snippets ``document, text`` with the document as an id where its address holds one."""
+    return F.transform(value, lambda s: F.struct(F.coalesce(pmid_from_url(s["document"]), F.trim(F.coalesce(s["document"], F.lit("")))).alias("document"), F.trim(F.coalesce(s["text"], F.lit(""))).alias("text")))
+
+
 def slot_ids(value: Column) -> Column:
     """Ids of a slot given as a JSON list or as a comma-separated text."""
     listed = F.when(F.startswith(F.ltrim(value), F.lit("[")), F.from_json(value, "array<string>")).otherwise(F.split(value, ","))

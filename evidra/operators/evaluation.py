@@ -42,6 +42,14 @@ def classify_outcome(answer: Column, cited: Column, known: Column) -> Column:
     return F.struct(status.alias("final_status"), F.when(status == "forced_nic_no_valid_citations", NIC).otherwise(pred).alias("pred_answer"), F.when(answered, valid).otherwise(none).alias("citations"), F.when(answered, invalid).otherwise(none).alias("invalid_citations"), answered.alias("is_grounded"))
 
 
+def closed_book_record(answer: Column, how: Column, error: Column) -> Column:
+    """Record fields of a closed-book answer: answered unless the call failed, without citations; how
+    the answer was parsed is a status of its own."""
+    failed = truthy_error(error)
+    none = F.array().cast("array<string>")
+    return F.struct(F.when(failed, "error").otherwise("answered").alias("final_status"), F.when(failed, F.lit("")).otherwise(F.coalesce(answer, F.lit(""))).alias("pred_answer"), none.alias("citations"), none.alias("invalid_citations"), F.lit(False).alias("is_grounded"), F.lit(True).alias("closed_book"), F.when(failed, "not_parsed").otherwise(how).alias("parse_status"))
+
+
 def evaluated_status(status: Column, error: Column, answer: Column, strict_error: bool = False) -> Column:
     """Status as evaluated: failed generations and malformed answers are set apart.
     ``strict_error``: any error text counts as a failure, not the status alone."""

@@ -10,6 +10,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -164,6 +165,25 @@ def hashed_embedding(dims: int = 64) -> Callable[[Column], Column]:
     return embed
 
 
+Encode = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def embed_texts(texts: DataFrame, encode: Encode, how: str = "mean", prompt: str = "", batch: int = 32) -> DataFrame:
+    """``id, vector`` of ``id, text`` by a model: ``encode`` gives token states and a mask for a batch
+    of texts, which are pooled and scaled to length one. ``prompt`` is put before queries only."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for a in range(0, len(pdf), batch):
+                part = pdf.iloc[a : a + batch]
+                v = pool(*encode([prompt + (t or "") for t in part["text"]]), how).astype(np.float64)
+                v /= np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+                yield pd.DataFrame({"id": part["id"], "vector": list(v)})
+
+    kind = texts.schema["id"].dataType.simpleString()
+    return texts.select("id", "text").mapInPandas(work, f"id {kind}, vector array<double>")
+
+
 def pool(hidden: np.ndarray, mask: np.ndarray, how: str) -> np.ndarray:
     """Pool token states ``batch x tokens x dims``: first token, mean over the mask, last token."""
     if how == "cls":
@@ -219,6 +239,27 @@ def rerank(run: DataFrame, texts: DataFrame, questions: DataFrame, scorer: Calla
     return scored.withColumn("rank", F.row_number().over(order)).select("query_id", "id", "rank", "score", F.col("old").alias("rank_before"))
 
 
+Logits = Callable[[list[str]], np.ndarray]
+
+
+def pointwise_scorer(logits: Logits, instruction: str = "Judge whether the document answers the query.", batch: int = 16) -> Callable[[Column, Column], Column]:
+    """A scorer for ``rerank``: ``logits`` gives the logits of "no" and "yes" for each prompt of a
+    batch, and the score is the probability of "yes" between the two."""
+
+    @F.pandas_udf("double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for q, d in batches:
+            prompts = [f"<Instruct>: {instruction}\n<Query>: {x or ''}\n<Document>: {y or ''}" for x, y in zip(q, d)]
+            out = []
+            for a in range(0, len(prompts), batch):
+                two = np.asarray(logits(prompts[a : a + batch]), dtype=np.float64)
+                two = np.exp(two - two.max(axis=1, keepdims=True))
+                out += (two[:, 1] / two.sum(axis=1)).tolist()
+            yield pd.Series(out, dtype="float64")
+
+    return score
+
+
 def overlap_scorer(question: Column, passage: Column) -> Column:
     """A deterministic stand-in for a reranking model: share of the question's words found."""
     q = F.array_distinct(bm25_tokens(question))
@@ -251,28 +292,58 @@ def adversarial_pipeline(corpus: DataFrame, questions: DataFrame, embed: Callabl
 
 
 # ---- persisted indexes -------------------------------------------------------------------------
-def write_index(corpus: DataFrame, path: str, vectors: DataFrame | None = None) -> None:
-    """Postings, term statistics, ids and metadata as Parquet, partitioned for term look-ups."""
+def write_index(corpus: DataFrame, path: str, vectors: DataFrame | None = None, model_key: str | None = None) -> None:
+    """Postings, term statistics, ids in order and metadata as Parquet; vectors with their model and
+    dimension."""
     spark = corpus.sparkSession
     postings, idf = bm25_index(corpus)
     postings.repartition(F.col("term")).sortWithinPartitions("term", "id").write.mode("overwrite").parquet(f"{path}/postings")
     idf.write.mode("overwrite").parquet(f"{path}/terms")
-    corpus.select("id").write.mode("overwrite").parquet(f"{path}/ids")
-    if vectors is not None:
-        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+    corpus.select("id").orderBy("id").write.mode("overwrite").parquet(f"{path}/ids")
     from evidra.operators.sampling import fingerprint
 
     meta = {"n": corpus.count(), "fingerprint": fingerprint(corpus), "k1": K1, "b": B}
+    if vectors is not None:
+        vectors.write.mode("overwrite").parquet(f"{path}/vectors")
+        first = vectors.select(F.size("vector").alias("d")).first()
+        meta |= {"model_key": model_key, "dim": first["d"] if first else 0, "n_vectors": vectors.count()}
     spark.createDataFrame([(json.dumps(meta, sort_keys=True),)], "meta string").coalesce(1).write.mode("overwrite").text(f"{path}/meta")
 
 
 def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, dict]:
-    meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
-    return spark.read.parquet(f"{path}/postings"), spark.read.parquet(f"{path}/terms"), meta
+    """Postings, terms and metadata; a part that is missing, or ids that are not as many as stated,
+    is an error."""
+    try:
+        meta = json.loads(spark.read.text(f"{path}/meta").first()[0])
+        postings, terms, ids = (spark.read.parquet(f"{path}/{x}") for x in ("postings", "terms", "ids"))
+    except AnalysisException as e:
+        raise FileNotFoundError(f"index {path} lacks a part: {e.getCondition()}") from e
+    n = ids.count()
+    if n != meta["n"]:
+        raise ValueError(f"index {path}: {n} ids, {meta['n']} stated")
+    return postings, terms, meta
+
+
+def read_vectors(spark: SparkSession, path: str, model_key: str | None = None, dim: int | None = None) -> DataFrame:
+    """Stored vectors ``id, vector``; another model than stated, another dimension than a probe of it
+    has, or another number of vectors is an error."""
+    _, _, meta = read_index(spark, path)
+    if "dim" not in meta:
+        raise FileNotFoundError(f"index {path} has no vectors")
+    if model_key is not None and meta["model_key"] is not None and model_key != meta["model_key"]:
+        raise ValueError(f"index of {meta['model_key']}, asked for {model_key}")
+    vectors = spark.read.parquet(f"{path}/vectors")
+    odd = vectors.filter(F.size("vector") != meta["dim"]).count()
+    if odd or (dim is not None and dim != meta["dim"]):
+        raise ValueError(f"index {path}: dimension {meta['dim']}, asked for {dim}, {odd} vectors of another")
+    if vectors.count() != meta["n_vectors"]:
+        raise ValueError(f"index {path}: not the {meta['n_vectors']} vectors stated")
+    return vectors
 
 
 def verify_index(spark: SparkSession, path: str, corpus: DataFrame, queries: DataFrame) -> DataFrame:
-    """``check, ok, detail``: sizes, ids, fingerprint and finite scores of a stored index."""
+    """``check, ok, detail``: sizes, ids, their order, fingerprint, dimensions and finite scores of a
+    stored index."""
     from evidra.operators.sampling import fingerprint
 
     postings, terms, meta = read_index(spark, path)
@@ -280,5 +351,14 @@ def verify_index(spark: SparkSession, path: str, corpus: DataFrame, queries: Dat
     n, n_ids, missing = corpus.count(), ids.count(), corpus.select("id").join(ids, "id", "left_anti").count()
     odd = bm25_scores(postings, queries).filter(F.isnan("score") | F.col("score").isNull()).count()
     unknown = postings.join(terms, "term", "left_anti").count()
-    rows = [("size", n == n_ids == meta["n"], f"{n} documents, {n_ids} ids"), ("ids", missing == 0, f"{missing} missing"), ("fingerprint", fingerprint(corpus) == meta["fingerprint"], meta["fingerprint"]), ("terms", unknown == 0, f"{unknown} postings without a term"), ("finite scores", odd == 0, f"{odd} not finite")]
+    # stored in order: each file's ids rise, and files follow each other by their least ids
+    w = Window.partitionBy("f").orderBy("at")
+    at = ids.select("id", F.input_file_name().alias("f"), F.monotonically_increasing_id().alias("at"))
+    falls = at.withColumn("last", F.lag("id").over(w)).filter(F.col("last") > F.col("id")).count()
+    spans = sorted((r["a"], r["z"]) for r in at.groupBy("f").agg(F.min("id").alias("a"), F.max("id").alias("z")).collect())  # a row per file
+    falls += sum(a[1] > b[0] for a, b in zip(spans, spans[1:]))
+    rows = [("size", n == n_ids == meta["n"], f"{n} documents, {n_ids} ids"), ("ids", missing == 0, f"{missing} missing"), ("order", falls == 0, f"{falls} out of order"), ("fingerprint", fingerprint(corpus) == meta["fingerprint"], meta["fingerprint"]), ("terms", unknown == 0, f"{unknown} postings without a term"), ("finite scores", odd == 0, f"{odd} not finite")]
+    if "dim" in meta:
+        wrong = spark.read.parquet(f"{path}/vectors").filter((F.size("vector") != meta["dim"]) | F.exists("vector", lambda x: F.isnan(x) | x.isNull())).count()
+        rows.append(("dimension", wrong == 0, f"{meta['dim']}, {wrong} vectors of another or not finite"))
     return spark.createDataFrame(rows, "check string, ok boolean, detail string")

@@ -29,6 +29,24 @@ def read_jsonl_checked(spark: SparkSession, path: str, schema: str) -> tuple[Dat
     return parsed.filter(~bad).select(*[f"r.{n}" for n in names]), parsed.filter(bad).select("value")
 
 
+def read_jsonl_strict(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Records of a file in which every line must be an object: the first faulty lines are named by
+    their number in the file. Lines are numbered only where there is a fault."""
+    good, faults = read_jsonl_checked(spark, path, schema)
+    if faults.limit(1).count():
+        bad = {r["value"] for r in faults.distinct().limit(10).collect()}
+        numbered = spark.sparkContext.textFile(path).zipWithIndex().filter(lambda x: x[0] in bad).take(10)
+        raise ValueError(f"{path}: " + "; ".join(f"line {i + 1}: {line[:80]}" for line, i in numbered))
+    return good
+
+
+def read_last(spark: SparkSession, path: str, key: str, value: str) -> DataFrame:
+    """``id, text`` of JSON lines; of a repeated id the last line stands, in the order of the file."""
+    lines = spark.read.text(path).filter(F.length(F.trim("value")) > 0).withColumn("at", F.monotonically_increasing_id())
+    rows = lines.select("at", F.from_json("value", f"{key} STRING, {value} STRING", {"mode": "FAILFAST"}).alias("r")).select("at", F.col(f"r.{key}").alias("id"), F.col(f"r.{value}").alias("text"))
+    return rows.filter((F.length(F.trim("id")) > 0) & F.col("text").isNotNull()).groupBy("id").agg(F.max_by("text", "at").alias("text"))
+
+
 def read_text_tolerant(spark: SparkSession, path: str) -> DataFrame:
     """``path, text`` of files in UTF-8, with or without a mark, else in a Western code page."""
 
@@ -61,12 +79,13 @@ def read_chunks(spark: SparkSession, path: str) -> DataFrame:
     return df.filter((F.length(F.trim("chunk_id")) > 0) & (F.length(pytrim(F.col("text"))) > 0)).select(F.col("chunk_id").alias("id"), "text")
 
 
-def corpus_store(df: DataFrame, strict: bool = True) -> DataFrame:
+def corpus_store(df: DataFrame, strict: bool = True, order: str | None = None) -> DataFrame:
     """``id, text`` with unique ids. Strict: a blank id, a null text, a repeated id or no row at all is
-    an error; lenient: bad rows are left out and the last text (greatest, rows have no order) stands."""
+    an error; lenient: bad rows are left out and the last text stands, by ``order`` (without one rows
+    have no order, and the greatest text stands)."""
     bad = F.col("id").isNull() | (F.length(F.trim("id")) == 0) | F.col("text").isNull()
     if not strict:
-        return df.filter(~bad).groupBy("id").agg(F.max("text").alias("text"))
+        return df.filter(~bad).groupBy("id").agg(F.max_by("text", F.struct(order, "text") if order else F.col("text")).alias("text"))
     faults = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(bad).alias("bad")).first()
     repeated = df.groupBy("id").count().filter("count > 1").limit(1).count()
     if not faults["n"] or faults["bad"] or repeated:
@@ -83,8 +102,13 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_blocks(spark: SparkSession, pattern: str) -> DataFrame:
-    """Block files; order within a document is by ``order_idx, block_id``."""
-    return read_jsonl(spark, pattern, schemas.BLOCK)
+    """Block files in the order ``order_idx, block_id``. Numbers may come as texts; what is no number
+    is null, and an order that is none is 0."""
+    raw = re.sub(r"\b(order_idx|page_start|page_end|char_len) INT", r"\1 STRING", schemas.BLOCK)
+    df = read_jsonl(spark, pattern, raw)
+    for name in ("order_idx", "page_start", "page_end", "char_len"):
+        df = df.withColumn(name, F.trim(name).try_cast("double").cast("int"))
+    return df.withColumn("order_idx", F.coalesce("order_idx", F.lit(0))).orderBy("order_idx", "block_id")
 
 
 # ---- traces and records ------------------------------------------------------------------------

@@ -31,7 +31,8 @@ def write_csv(frames: Sequence[DataFrame], path: str) -> None:
     """Rows of several frames under the union of their columns, in first-seen order."""
     if not frames:
         os.makedirs(path, exist_ok=True)
-        return
+        with open(os.path.join(path, "part-00000.csv"), "w", encoding="utf-8"):
+            return
     names = list(dict.fromkeys(c for f in frames for c in f.columns))
     out = frames[0]
     for f in frames[1:]:
@@ -78,10 +79,18 @@ def markdown_table(df: DataFrame, most: int = 1000) -> str:
     return "\n".join([*lines, *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]])
 
 
-def write_subset(questions: DataFrame, folder: str) -> None:
+def write_subset(questions: DataFrame, folder: str, meta: dict | None = None) -> None:
     """Queries, relevance judgements and document ids of a question set ``query_id, question, type,
-    documents``, each as its own output."""
+    documents`` (and any gold columns), each as its own output: queries, qrels, gold answers,
+    query ids, document ids, bare document numbers, and counts with ``meta``."""
     write_jsonl(questions.select("query_id", F.col("question").alias("text"), "type"), f"{folder}/queries")
+    write_jsonl(questions, f"{folder}/gold")
+    questions.select(F.col("query_id").alias("value")).orderBy("value").write.mode("overwrite").text(f"{folder}/ids")
     pairs = questions.select("query_id", F.explode(F.array_distinct("documents")).alias("doc_id"))
     pairs.withColumn("relevance", F.lit(1)).write.mode("overwrite").option("sep", "\t").option("header", True).csv(f"{folder}/qrels")
-    pairs.select(F.col("doc_id").alias("value")).distinct().write.mode("overwrite").text(f"{folder}/documents")
+    documents = pairs.select(F.col("doc_id").alias("value")).distinct()
+    documents.write.mode("overwrite").text(f"{folder}/documents")
+    documents.select(F.regexp_replace("value", "^pmid:", "").alias("value")).orderBy("value").write.mode("overwrite").text(f"{folder}/pmids")
+    types = {r["type"]: r["count"] for r in questions.groupBy("type").count().collect()}
+    text = json.dumps({**(meta or {}), "num_selected_questions": sum(types.values()), "type_counts": types, "num_unique_pmids": documents.count()}, sort_keys=True, default=str)
+    questions.sparkSession.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/meta")

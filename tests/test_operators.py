@@ -461,3 +461,29 @@ def test_ranks_and_order_statistics_without_groups(spark):
     assert all(ranks[v] == up.index(v) + (up.count(v) + 1) / 2 for v in set(values))
     s = evaluation.order_statistics(df, "x", [], {"p50": F.floor(F.col("n") / 2), "p90": F.floor(0.9 * (F.col("n") - 1))}).first()
     assert (s["n"], s["least"], s["most"], s["p50"], s["p90"]) == (300, up[0], up[-1], up[150], up[269])
+
+
+def test_more_readers_and_sinks(spark, tmp_path):
+    f = tmp_path / "x.jsonl"
+    f.write_text('{"chunk_id": "a", "text": "1"}\n\n[1]\n{"chunk_id": "a", "text": "2"}\n{bad\n')
+    with pytest.raises(ValueError, match="line 3: .*line 5"):
+        readers.read_jsonl_strict(spark, str(f), "chunk_id STRING, text STRING").collect()
+    f.write_text('{"chunk_id": "a", "text": "z"}\n{"chunk_id": "b", "text": "1"}\n{"chunk_id": "a", "text": "y"}\n')
+    assert readers.read_jsonl_strict(spark, str(f), "chunk_id STRING, text STRING").count() == 3
+    assert {tuple(r) for r in readers.read_last(spark, str(f), "chunk_id", "text").collect()} == {("a", "y"), ("b", "1")}
+    df = spark.createDataFrame([("a", "z", 1), ("a", "y", 2), ("", "q", 3)], "id string, text string, at int")
+    assert [tuple(r) for r in readers.corpus_store(df, strict=False, order="at").collect()] == [("a", "y")]
+    g = tmp_path / "b.jsonl"
+    g.write_text('{"block_id": "x", "order_idx": "2", "page_start": 3.0}\n{"block_id": "y", "order_idx": 1, "page_start": "p"}\n{"block_id": "w", "order_idx": null}\n')
+    assert [(r["block_id"], r["order_idx"], r["page_start"]) for r in readers.read_blocks(spark, str(g)).collect()] == [("w", 0, None), ("y", 1, None), ("x", 2, 3)]
+    sinks.write_csv([], str(tmp_path / "none"))
+    assert [x.name for x in (tmp_path / "none").iterdir()] == ["part-00000.csv"]
+    q = spark.createDataFrame([("1", "q?", "list", ["pmid:7", "pmid:7"], "gold")], "query_id string, question string, type string, documents array<string>, exact_answer string")
+    sinks.write_subset(q, str(tmp_path / "s"), {"seed": 1})
+    assert json.loads(spark.read.text(str(tmp_path / "s/meta")).first()[0]) == {"seed": 1, "num_selected_questions": 1, "type_counts": {"list": 1}, "num_unique_pmids": 1}
+    assert spark.read.json(str(tmp_path / "s/gold")).first()["exact_answer"] == "gold" and spark.read.text(str(tmp_path / "s/pmids")).first()[0] == "7"
+    s = spark.createDataFrame([([("http://x/pubmed/5", " a "), ("other", None)],)], "v array<struct<document:string,text:string>>")
+    assert [tuple(x) for x in s.select(X.snippets(F.col("v")).alias("r")).first()["r"]] == [("pmid:5", "a"), ("other", "")]
+    assert one(spark, ["http://x/pubmed/5", "y", "http://z/5", None], X.document_ids, "array<string>") == ["pmid:5"]
+    r = spark.createDataFrame([("x", "json", None), (None, "empty", "down")], "a string, h string, e string").select(evaluation.closed_book_record(F.col("a"), F.col("h"), F.col("e")).alias("r")).select("r.final_status", "r.pred_answer", "r.parse_status").collect()
+    assert [tuple(x) for x in r] == [("answered", "x", "json"), ("error", "", "not_parsed")]

@@ -152,3 +152,50 @@ def test_dense_ties_beyond_a_batch_edge(spark, drop_self):
         scored = sorted((-round(x[0] * w[0] + x[1] * w[1], 9), i) for i, x in data if not (drop_self and i == name))
         want += [(name, i) for _, i in scored[:5]]
     assert got == want
+
+
+def test_index_parts_are_checked(spark, tmp_path):
+    import numpy as np
+
+    c = corpus(spark, ["a b", "c d", "e f g"])
+    path = str(tmp_path / "ix")
+    with pytest.raises(FileNotFoundError):
+        retrieval.read_index(spark, path)
+
+    def encode(texts):
+        return np.array([[[len(t), 1.0], [0.0, 1.0]] for t in texts]), np.ones((len(texts), 2))
+
+    v = retrieval.embed_texts(c, encode, "cls")
+    assert all(abs(sum(x * x for x in r["vector"]) - 1) < 1e-9 for r in v.collect())
+    one = lambda p: retrieval.embed_texts(c, encode, "cls", prompt=p).orderBy("id").first()["vector"]
+    assert one("query: ") != one("")
+    retrieval.write_index(c, path, v, "m")
+    assert {r["check"] for r in retrieval.verify_index(spark, path, c, queries(spark, ["a"])).collect() if r["ok"]} == {"size", "ids", "order", "fingerprint", "terms", "finite scores", "dimension"}
+    assert retrieval.read_vectors(spark, path, "m", 2).count() == 3
+    for wrong in (("other", 2), ("m", 3)):
+        with pytest.raises(ValueError):
+            retrieval.read_vectors(spark, path, *wrong)
+    c.limit(2).select("id").write.mode("overwrite").parquet(f"{path}/ids")
+    with pytest.raises(ValueError, match="ids"):
+        retrieval.read_index(spark, path)
+
+
+@pytest.mark.parametrize("how, want", [("cls", [[1, 2]]), ("mean", [[2, 3]]), ("last", [[3, 4]])])
+def test_pooling(how, want):
+    import numpy as np
+
+    hidden, mask = np.array([[[1, 2], [3, 4], [9, 9]]], dtype=float), np.array([[1, 1, 0]])
+    assert retrieval.pool(hidden, mask, how).tolist() == want
+    with pytest.raises(ValueError):
+        retrieval.pool(hidden, mask, "max")
+
+
+def test_pointwise_reranking(spark):
+    import numpy as np
+
+    c = corpus(spark, ["a b", "good a", "a c"])
+    q = queries(spark, ["a"])
+    run = retrieval.bm25_search(c, q, 3)
+    scorer = retrieval.pointwise_scorer(lambda prompts: np.array([[0.0, 2.0 if "good" in p else -2.0] for p in prompts]))
+    top = retrieval.rerank(run, c, q, scorer, 3).orderBy("rank").collect()
+    assert abs(top[0]["score"] - 1 / (1 + np.exp(-2))) < 1e-12 and [r["rank"] for r in top] == [1, 2, 3] and top[1]["rank_before"] < top[2]["rank_before"]
