@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
@@ -46,19 +47,25 @@ def score_list(df: DataFrame, most: int = 100) -> DataFrame:
     return out.withColumn("f1", f1).withColumn("mention_recall", F.coalesce(F.try_divide(mentioned, F.size("groups")), F.lit(0.0))).drop("gold")
 
 
+def _overlap(a: str | None, b: str | None, n: int) -> tuple[float, float, float]:
+    x, y = (Counter(zip(*(w[i:] for i in range(n)))) for w in (re.findall(r"[a-z0-9]+", (t or "").lower()) for t in (a, b)))
+    both = sum((x & y).values())
+    p, r = (both / sum(c.values()) if c else 0.0 for c in (x, y))
+    return p, r, 2 * p * r / (p + r) if p + r else 0.0
+
+
 def rouge_n(a: Column, b: Column, n: int = 2) -> tuple[Column, Column, Column]:
-    """Precision, recall and F of n-gram overlap (multisets), without stemming."""
-
-    def grams(c: Column) -> Column:
-        w = F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"[a-z0-9]+"), F.lit(0))
-        m = F.size(w) - n + 1
-        return F.when(m > 0, F.transform(F.sequence(F.lit(1), F.greatest(m, F.lit(1))), lambda i: F.array_join(F.slice(w, i, F.lit(n)), " "))).otherwise(F.array().cast("array<string>"))
-
-    x, y = grams(a), grams(b)
-    count = lambda arr, g: F.size(F.filter(arr, lambda v: v == g))
-    both = F.aggregate(F.array_distinct(x), F.lit(0), lambda s, g: s + F.least(count(x, g), count(y, g)))
-    p, r = F.coalesce(F.try_divide(both, F.size(x)), F.lit(0.0)), F.coalesce(F.try_divide(both, F.size(y)), F.lit(0.0))
-    return p, r, F.coalesce(F.try_divide(2 * p * r, p + r), F.lit(0.0))
+    """Precision, recall and F of n-gram overlap (multisets), without stemming. Arrow-batched: as an
+    expression over arrays the multiset count is quadratic in the text."""
+
+    @F.pandas_udf("p double, r double, f double")
+    def score(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for x, y in batches:
+            yield pd.DataFrame([_overlap(u, v, n) for u, v in zip(x, y)], columns=["p", "r", "f"])
+
+    s = score(a, b)
+    return s["p"], s["r"], s["f"]
+
 
 
 def light_stem(word: str) -> str:

@@ -46,15 +46,27 @@ def gold(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "task_items").select(F.col("id").alias("query_id"), F.explode(X.gold_chunk_ids(F.col("gold_evidence"))).alias("id"))
 
 
+_INDEXES: dict[tuple, DataFrame] = {}
+
+
+def index(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of the chunks, kept as a table that the queries of a session share; built anew when
+    the files of the chunks have changed."""
+    files = table(spark, sf, "chunks").select("_metadata.file_path", "_metadata.file_modification_time", "_metadata.file_size").distinct().collect()
+    key = (spark.sparkContext.applicationId, sf, tuple(sorted(map(tuple, files))))
+    if key not in _INDEXES:
+        _INDEXES.clear()
+        _INDEXES[key] = keep(retrieval.bm25_index(corpus(spark, sf))[0])
+    return _INDEXES[key]
+
+
 def run(spark: SparkSession, sf: str, column: str = "question", k: int = 20) -> DataFrame:
-    return retrieval.bm25_search(corpus(spark, sf), questions(spark, sf, column), k)
+    return retrieval.bm25_search(corpus(spark, sf), questions(spark, sf, column), k, postings=index(spark, sf))
 
 
 def runs(spark: SparkSession, sf: str, k: int = 20) -> tuple[DataFrame, DataFrame]:
     """Runs of the questions and of the answers against one index of the corpus."""
-    c = corpus(spark, sf)
-    postings = keep(retrieval.bm25_index(c)[0])
-    return retrieval.bm25_search(c, questions(spark, sf), k, postings=postings), retrieval.bm25_search(c, questions(spark, sf, "answer"), k, postings=postings)
+    return run(spark, sf, k=k), run(spark, sf, "answer", k)
 
 
 def generations(spark: SparkSession, sf: str) -> DataFrame:
