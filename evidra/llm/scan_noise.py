@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from evidra.lineage import cut, keep, ship_package
 
 MARKS = "-‐¬­"
+_MARK_SET = frozenset(MARKS)
 #: What a printed character or pair (right) is often misread as (left).
 MISREADINGS: list[tuple[str, str]] = [
     ("c", "e"), ("e", "c"), ("o", "e"), ("b", "h"), ("h", "b"), ("f", "t"), ("t", "f"), ("l", "i"), ("i", "l"), ("n", "u"), ("u", "n"),
@@ -77,6 +78,7 @@ _PAGE_FORMS = [
 _HEAD_NUMBER = [re.compile(rf"^{_NUMBER}(?:\s{{2,}}|\s*\|\s*|\s*[-–—]\s+)(?=\S)", re.I), re.compile(rf"(?:\s{{2,}}|\s*\|\s*|\s+[-–—]\s+)(?:page|p\.)?\s*{_NUMBER}$", re.I)]
 
 
+_VERSION = re.compile(r"\s*[-–—,|]?\s*\(?(?:rev|version|v|issue|edition)\.?\s*[\d.]+\)?$", re.I)
 _NUMERALS = frozenset("0123456789ivxlcdmIVXLCDM")
 _PAGE_STARTS = _NUMERALS | frozenset("pPsS-–—[(")
 
@@ -130,8 +132,10 @@ def _near(a: str, b: str) -> bool:
 
 
 @lru_cache(maxsize=20_000)
-def _together(document: frozenset[str], section: frozenset[str]) -> frozenset[str]:
-    return document | section | {x for d in document for t in section for x in (d + t, t + d)}
+def _together(document: frozenset[str], section: frozenset[str]) -> tuple[frozenset[str], int]:
+    """Titles and pairs of them, and the length of the longest."""
+    known = document | section | {x for d in document for t in section for x in (d + t, t + d)}
+    return known, max(map(len, known), default=0)
 
 
 def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, str | None, bool]:
@@ -144,9 +148,10 @@ def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, s
             if m := form.match(s):
                 if page_value(m.group(1)) is not None:
                     return False, m.group(1), plain
-    known = _together(frozenset(document), frozenset(section))
+    known, longest = _together(frozenset(document), frozenset(section))
     # a title with a number and a version beside it; longer lines are near no title
-    if not known or len(_fold(s)) > max(map(len, known)) * 9 / 8 + 40:
+    folded = _fold(s)
+    if not known or len(folded) > longest * 9 / 8 + 40:
         return False, None, False
     tries: list[tuple[str, str | None]] = [(s, None)]
     for form, end in zip(_HEAD_NUMBER, (s[0], s[-1])):
@@ -154,17 +159,20 @@ def furniture(line: str, document: set[str], section: set[str]) -> tuple[bool, s
             tries.append((s[: m.start()] + s[m.end() :], m.group(1)))
     bodies = []
     for body, number in tries:
-        body = re.sub(r"\s*[-–—,|]?\s*\(?(?:rev|version|v|issue|edition)\.?\s*[\d.]+\)?$", "", body.strip(), flags=re.I)
-        folded = _fold(body)
-        if len(folded) >= 4:
-            bodies.append((folded, number))
+        body = body.strip()
+        bare = _VERSION.sub("", body) if any(map(str.isdigit, body)) else body
+        own = folded if bare is body and body == s else _fold(bare)
+        if len(own) >= 4:
+            bodies.append((own, number))
     # an exact title first; then without a number; a near match of the whole line last, lest a
     # number of one digit pass for a misread character
     if any(f in known for f, number in bodies if number is None):
         return True, None, True
-    for folded, number in sorted(bodies, key=lambda x: x[1] is None):
-        if any(_near(folded, t) for t in known):
-            return True, number, True
+    for own, number in sorted(bodies, key=lambda x: x[1] is None):
+        n = len(own)
+        for t in known:
+            if abs(len(t) - n) <= min(len(t), n) // 8 and _near(own, t):
+                return True, number, True
     return False, None, False
 
 
@@ -203,8 +211,7 @@ def _pairs(lines: list[tuple[str, tuple[bool, str | None, bool]]]) -> list[tuple
     """(line, next line, first half, mark, second half) of words broken at line ends."""
     out = []
     for i, (line, _) in enumerate(lines):
-        m = _BREAK.search(line)
-        if not m:
+        if (line[-2:-1] if line[-1:] == " " else line[-1:]) not in _MARK_SET or not (m := _BREAK.search(line)):
             continue
         j = i + 1
         while j < len(lines) and (lines[j][1][0] or lines[j][1][1] is not None):
