@@ -181,7 +181,7 @@ class Mix:
     def selected(self) -> DataFrame:
         """``doc_id, source, tokens, uses``: how often each selected document is used."""
         spark = self.texts.sparkSession
-        routes = spark.createDataFrame(self.flow or [("", 0, "", 0, 0)], "pattern string, use int, source string, lo bigint, hi bigint")
+        routes = spark.createDataFrame(self.flow, "pattern string, use int, source string, lo bigint, hi bigint")
         if len(self.flow) <= MOST_PATTERNS:  # one pattern may hold most texts, so they stay in place
             routes = F.broadcast(routes)
         # running sums of tokens in a seeded order, without gathering a pattern in one task:
@@ -201,6 +201,6 @@ class Mix:
         """``source, target_share, share, tokens, documents, most_uses, max_repeats``."""
         spark = self.texts.sparkSession
         used = self.selected().groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("t"), F.count(F.lit(1)).alias("d"), F.max("uses").alias("m"))
-        goals = spark.createDataFrame([(s, float(v), self.repeats[s]) for s, v in self.shares.items()] or [("", 0.0, 0)], "source string, target_share double, max_repeats int")
+        goals = spark.createDataFrame([(s, float(v), self.repeats[s]) for s, v in self.shares.items()], "source string, target_share double, max_repeats int")
         out = goals.join(used, "source", "left").select("source", "target_share", F.coalesce("t", F.lit(0)).alias("tokens"), F.coalesce("d", F.lit(0)).alias("documents"), F.coalesce("m", F.lit(0)).alias("most_uses"), "max_repeats")
         return out.withColumn("share", F.try_divide("tokens", F.sum("tokens").over(Window.partitionBy(F.lit(1)))))

@@ -6,7 +6,8 @@ others. A document treats every subject that at least ``share`` of its sentences
 
 Defined results: a null or empty text has no sentences and so no subject; a document whose
 sentences treat no subject gets the one with the highest posterior over its whole text;
-repeated rows give the same rows once; extra columns are ignored.
+repeated rows give the same rows once; extra columns are ignored; without labelled examples no
+document has a subject.
 """
 
 from __future__ import annotations
@@ -164,7 +165,7 @@ class SubjectModel:
         w = np.log(own / rest).reshape(k, BUCKETS)
         # words that documents of every subject hold, as those of set phrases, say little of any
         d = held.reshape(blocks, BLOCK)
-        idf = np.log((d.max(1, keepdims=True) + 1) / (d + 1)) / np.log(k)
+        idf = np.log((d.max(1, keepdims=True) + 1) / (d + 1)) / np.log(max(k, 2))
         self.w = np.ascontiguousarray((w * (np.clip(idf, 0.0, 1.0) ** 2).reshape(1, BUCKETS)).T.astype(np.float32))
         self.slope, self.shift = np.full(k, 0.5), np.full(k, -2.0)
 
@@ -325,6 +326,10 @@ def assign_subjects(documents: DataFrame, examples: DataFrame, model: SubjectMod
     """``doc_id, subject_code, share``."""
     spark = documents.sparkSession
     ship_package(spark)
+    kind = documents.schema["doc_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, subject_code string, share double"
+    if model is None and not examples.filter("text is not null and subject_code is not null").limit(1).count():
+        return spark.createDataFrame([], schema)
     features = featurize(documents)
     model = model or train(features, examples, rounds)
     shared = spark.sparkContext.broadcast(model)
@@ -336,5 +341,4 @@ def assign_subjects(documents: DataFrame, examples: DataFrame, model: SubjectMod
             n = np.repeat(np.arange(len(found)), [len(x) for x in found])
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(n)), pa.array([s for x in found for s, _ in x], pa.string()), pa.array([float(v) for x in found for _, v in x], pa.float64())], names=["doc_id", "subject_code", "share"])
 
-    kind = documents.schema["doc_id"].dataType.simpleString()
-    return features.mapInArrow(work, f"doc_id {kind}, subject_code string, share double")
+    return features.mapInArrow(work, schema)

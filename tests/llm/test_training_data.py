@@ -91,6 +91,12 @@ def test_defects_edges(spark, t):
     model = A.train(g, sample_rows=200, rounds=0)
     assert A.find_defects(g.unionByName(g), model).select("id", "defect").distinct().count() == A.find_defects(g, model).select("id", "defect").distinct().count()
     assert A.find_defects(empty(g), model).count() == 0
+    # nothing, or hardly anything, to train on
+    assert A.find_defects(empty(g)).count() == 0
+    few = spark.createDataFrame([("a", "Is it?", None, None, False), ("b", "Is it?", "```\n```", None, False)], "id string, question string, raw_output string, error string, forced_nic_empty_retrieval boolean")
+    assert {(r["id"], r["defect"]) for r in A.find_defects(few).collect()} == {("a", "empty"), ("b", "empty")}
+    one = few.unionByName(spark.createDataFrame([("c", "Is it?", "The valve is open at both ends.", None, False)], few.schema))
+    assert A.find_defects(one).filter("id = 'a'").count() == 1
 
 
 # ---- problem 2 ---------------------------------------------------------------------------------
@@ -474,6 +480,8 @@ def test_subjects_on_held_out_examples(spark):
     odd = spark.createDataFrame([(1, None), (2, ""), (3, "???"), (None, "x")], "doc_id bigint, text string")
     assert {r["doc_id"] for r in subjects.assign_subjects(odd, ex, model).collect()} == {3}
     assert subjects.assign_subjects(empty(odd), ex, model).count() == 0
+    assert subjects.assign_subjects(empty(odd), ex).count() == 0 and subjects.assign_subjects(odd, empty(ex)).count() == 0
+    assert {r["subject_code"] for r in subjects.assign_subjects(test.limit(3), ex.filter("subject_code = 'science'" if ex.filter("subject_code = 'science'").count() else "example_id < 2")).collect()} <= {r["subject_code"] for r in ex.collect()}
 
 
 def test_features_are_those_of_brute_force():
